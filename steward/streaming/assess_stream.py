@@ -19,7 +19,7 @@ def flagged(stream: DataFrame, mappings: list[Mapping], fields: dict[str, Field]
 
 def violations_by_window(stream: DataFrame, mappings: list[Mapping], fields: dict[str, Field], time: str, width: str, late: str) -> DataFrame:
     """Failures by event-time window, mapping and type; rows later than the watermark are left out."""
-    found = checked(stream.withWatermark(time, late), mappings, fields)
+    found = checked(stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late), mappings, fields)
     entries = F.array_compact(F.array(*(F.when(~F.col(f"_dq_{m.id}")["result"], F.struct(F.lit(m.id).alias("MappingID"), F.col(f"_dq_{m.id}")["violation_type"].alias("ViolationType"))) for m in mappings)))
     return found.select(time, F.explode(entries).alias("v")).groupBy(F.window(time, width), "v.MappingID", "v.ViolationType").agg(F.count("*").alias("RecordCount"))
 
