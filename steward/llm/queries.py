@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, jaccard_join, lang_id, lm_score, minhash, pii, segmentation, sharding, token_count
-from .common import crc_class, table
+from .common import table
+from .oracles import ORACLES
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +65,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_language_id, op4_personal_data, op5_chat_formatting, op6_decontamination, op7_fingerprints, op8_jaccard_join, op9_sentence_pieces, op10_sharding)}
-ORACLES: dict[str, str] = {}
+

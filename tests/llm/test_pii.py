@@ -1,0 +1,81 @@
+import hashlib
+import random
+import re
+
+from helpers import documents
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from steward.llm import pii
+
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def passes(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in found.split("."))
+    if kind == "card":
+        total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits))))
+        return 14 <= len(digits) <= 19 and total % 10 == 0
+    return kind != "phone" or 10 <= len(digits) <= 15
+
+
+def brute(text):
+    out = [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in p.finditer(text) if passes(k, m.group())]
+    return sorted(out, key=lambda x: (x[1], pii.BASE.index(x[0])))
+
+
+def base(text):
+    return [s for s in pii.find(text) if s[0] in pii.BASE]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="a1.@+- ()%_9é0", max_size=60))
+def test_base_spans_are_the_patterns(text):
+    assert base(text) == brute(text)
+
+
+def test_base_spans_on_dense_text():
+    rng = random.Random(3)
+    parts = ["a@b.co", "x.y@z", "1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "+1 (555) 010-9999", "+12", "@", ".", "-", " ", "4111111111111111", "12", "İ", "٣", "token=ab12cd34"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert base(text) == brute(text)
+
+
+def test_whole_table(spark, sf_dir):
+    for r in pii.detect(documents(spark, sf_dir)).collect():
+        want = brute(r["text"] or "")
+        assert r["base_sha256"] == hashlib.sha256(pii.joined(want).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in want) for k in pii.BASE]
+
+
+def test_cues_add_spans():
+    text = "IBAN: DE89370400440532013000, http://bob:s3cret9@host.org/ and 12 Baker Street, password=tr0ub4dor3"
+    kinds = {k: text[a:b] for k, a, b in pii.find(text)}
+    assert kinds["account"] == "tr0ub4dor3" and kinds["login"] == "bob:s3cret9" and kinds["address"] == "12 Baker Street"
+    assert ("account", 6, 28) in pii.find(text)
+    assert pii.find("the secret of accounting, token ring, a lane") == []
+
+
+def test_redaction_leaves_nothing():
+    text = "mail a@b.co or +1 (555) 010-9999, 10.0.0.1 and 4111 1111 1111 1111 end"
+    assert pii.redact(text) == "mail [EMAIL] or [PHONE], [IP] and [CARD] end"
+    assert pii.redact("clean") == "clean" and pii.redact(None) is None
+
+
+def test_linear_on_hostile_text():
+    for t in ("@" * 200000, "a@" * 100000, "1" * 200000, "1." * 100000, "1-" * 100000, "+1 " * 70000, "token=" * 30000, "://" * 60000, "9 lane " * 20000):
+        pii.find(t)
+
+
+def test_edges(edge, empty):
+    out = pii.detect(edge)
+    assert out.count() == edge.count() and out.where("doc_id = 1").first()["spans"] == ""
+    assert pii.detect(empty).count() == 0
+    assert "spans_2" in pii.detect(edge.withColumn("spans", F.lit(0))).columns
