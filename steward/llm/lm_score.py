@@ -74,20 +74,30 @@ class Lexicon:
         return Look(self.ids)
 
 
-def tokens(texts, look) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(token ids with SIDE edges around each text, text number of each or -1 for an edge), a few texts at a time."""
+def ids_of(text: str | None, look: dict) -> np.ndarray:
+    words = _words(text.lower()) if text else []
+    return np.fromiter(map(look.__getitem__, words), np.uint16, len(words))
+
+
+def joined(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(token ids with SIDE edges around each text, text number of each or -1 for an edge), a few texts at a time; texts: arrays of ids."""
     ids, owner, size = [], [], 0
-    edge = np.full(SIDE, EDGE, np.int32)
+    edge, none = np.full(SIDE, EDGE, np.uint16), np.full(SIDE, -1)
     for i, t in enumerate(texts):
-        words = _words(t.lower()) if t else []
-        ids += [edge, np.fromiter(map(look.__getitem__, words), np.int32, len(words))]
-        owner += [np.full(SIDE, -1), np.full(len(words), i)]
-        size += len(words)
+        ids += [edge, t]
+        owner += [none, np.full(len(t), i)]
+        size += len(t)
         if size > 200_000:
-            yield np.concatenate([*ids, edge]), np.concatenate([*owner, np.full(SIDE, -1)])
+            yield np.concatenate([*ids, edge]), np.concatenate([*owner, none])
             ids, owner, size = [], [], 0
     if size:
-        yield np.concatenate([*ids, edge]), np.concatenate([*owner, np.full(SIDE, -1)])
+        yield np.concatenate([*ids, edge]), np.concatenate([*owner, none])
+
+
+def read(column, look: dict | None) -> Iterator[np.ndarray]:
+    """Arrays of ids of a column of texts, or of ids as bytes."""
+    for t in column:
+        yield np.frombuffer(t, np.uint16) if isinstance(t, (bytes, bytearray)) else ids_of(t, look)
 
 
 class Network:
@@ -105,7 +115,7 @@ class Network:
     @staticmethod
     def context(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         steps = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-        return np.stack([ids[at + s] + k * (TOKENS + 1) for k, s in enumerate(steps)])
+        return np.stack([ids[at + s] + np.uint16(k * (TOKENS + 1)) for k, s in enumerate(steps)])  # 16 bits: sorted by radix
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.embed[context[0]]
@@ -166,11 +176,27 @@ def lexicon(docs: DataFrame, text: str) -> Lexicon:
     return Lexicon(ids, total)
 
 
+def encoded(docs: DataFrame, known: Lexicon, text: str) -> DataFrame:
+    """docs with ids (two bytes a token) in the place of the text, so that it is cut into words once."""
+    held = docs.sparkSession.sparkContext.broadcast(known)  # VOCABULARY words and TOKENS counts
+    shape = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in docs.schema.fields])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = held.value.look()
+        for b in batches:
+            yield b.assign(**{text: [ids_of(t, look).tobytes() for t in b[text]]})
+
+    return docs.mapInPandas(work, shape)
+
+
 def train(docs: DataFrame, text: str, known: Lexicon, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after rounds over every token of docs."""
+    """Weights after rounds over every token of docs; the column has texts, or ids from encoded()."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(text).cast("string").alias("text"))
-    weights = Network().all
+    rows = docs.select(F.col(text).alias("text"))
+    first = Network()
+    shares = np.bincount(known.classes, known.counts + 1.0, CLASSES)
+    first.bias[:] = np.log(shares / shares.sum())  # without context a class has its share of the corpus
+    weights = first.all
     shape = "weights binary, n double"
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,7 +214,7 @@ def train(docs: DataFrame, text: str, known: Lexicon, rounds: int = ROUNDS) -> n
             known, weights = held.value
             net, look, n = Network(weights), known.look(), 0
             for b in batches:
-                for ids, owner in tokens(b["text"], look):
+                for ids, owner in joined(read(b["text"], look)):
                     at = np.flatnonzero(owner >= 0)
                     at = at[np.random.default_rng(len(at)).permutation(len(at))]
                     for i in range(0, len(at), BATCH):
@@ -224,7 +250,7 @@ def score(docs: DataFrame, known: Lexicon, weights: np.ndarray, text: str = "tex
         net, look = Network(weights), known.look()
         for b in batches:
             n, total = np.zeros(len(b), np.int64), np.zeros(len(b))
-            for ids, owner in tokens(b[text], look):
+            for ids, owner in joined(read(b[text], look)):
                 at = np.flatnonzero(owner >= 0)
                 for i in range(0, len(at), BATCH):
                     part = at[i : i + BATCH]
@@ -241,6 +267,8 @@ def score(docs: DataFrame, known: Lexicon, weights: np.ndarray, text: str = "tex
 
 
 def score_corpus(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """Train on all of docs, then score all of docs."""
+    """Train on all of docs, then score all of docs: the other columns of docs and the results."""
+    require(docs, text)
     known = lexicon(docs, text)
-    return score(docs, known, train(docs, text, known, rounds), text)
+    ids = saved(encoded(docs, known, text))
+    return score(ids, known, train(ids, text, known, rounds), text).drop(text)

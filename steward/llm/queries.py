@@ -12,7 +12,7 @@ from .oracles import ORACLES
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score_corpus(docs.select("doc_id", "text")).drop("text")
+    return lm_score.score_corpus(docs.select("doc_id", "text"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
