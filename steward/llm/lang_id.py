@@ -1,12 +1,11 @@
 """Language identification: script ranges, then Viterbi over per-word scores with a switching penalty.
 
-Fit: every learnable document is counted, none is sampled. A partition counts its words per language, turns
-them into hashed counts of features (the whole word, its letters, the 3-grams of the padded word) and emits only
-the non-empty buckets, so what is shuffled and what the driver gets is bounded by languages x BUCKETS.
-Letters per (language, script) are counted along; a language is a candidate for a word only if at least
-SCRIPT_SHARE of its letters are in the word's script.
+Fit: every learnable document is counted, none is sampled. A partition adds up hashed counts of the 3-grams around each letter
+per language, and the letters per script, and emits the non-empty ones once, so what is shuffled and what the
+driver gets is bounded by languages x BUCKETS. A language is a candidate for a word only if at least SCRIPT_SHARE of its
+letters are in the word's script.
 
-Predict: words get one log score per language (mean log-odds of their n-grams), a Viterbi pass over the words
+Predict: words get one log score per language (the sum over their 3-grams), a Viterbi pass over the words
 labels spans; changing the language between words costs SWITCH. The language with the most letters wins; the score
 is its share of all letters.
 """
@@ -14,8 +13,7 @@ is its share of all letters.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_64_intdigest
 
 from .common import crc_class, require, result_columns, schema_with
 
-BUCKETS = 1 << 15
-SWITCH = 6.0
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
+SWITCH = 10.0
 SCRIPT_SHARE = 0.001
 #: At most so many languages are learned (the most frequent ones); bounds the model.
 MAX_LANGS = 400
@@ -50,18 +48,15 @@ SCRIPT_STARTS = [
     (0xFB50, "Arabic"), (0xFE00, "Other"), (0xFE70, "Arabic"), (0xFF00, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Hangul"),
     (0xFFE0, "Other"), (0x20000, "Han"), (0x40000, "Other"),
 ]
-_starts = [a for a, _ in SCRIPT_STARTS]
 SCRIPTS = sorted({s for _, s in SCRIPT_STARTS})
-_script_index = [SCRIPTS.index(s) for _, s in SCRIPT_STARTS]
+_script = np.zeros(0x110000, np.uint8)
+for _start, _name in SCRIPT_STARTS:
+    _script[_start:] = SCRIPTS.index(_name)
 _words = re.compile(r"[^\W\d_]+").findall
 #: Longer words (scripts without spaces, junk) are scored by pieces of this many letters, so no letter is left out.
 PIECE = 24
-
-
-def script_of(word: str) -> int:
-    """Index of the script that most of the word's letters are in."""
-    c = [_script_index[bisect_right(_starts, ord(x)) - 1] for x in (word[0], word[len(word) // 2], word[-1])]
-    return c[1] if c[1] in (c[0], c[2]) else c[0]
+#: Characters handled at a time; bounds the memory for texts of any length.
+BLOCK = 200_000
 
 
 def words_of(text: str) -> list[str]:
@@ -72,10 +67,32 @@ def words_of(text: str) -> list[str]:
     return found
 
 
-def features(word: str) -> list[int]:
-    padded = f"^{word}$"
-    grams = [f"={word}", *word, *(padded[i : i + 3] for i in range(len(word)))]
-    return [xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+def blocks(words: list[str]) -> Iterator[list[str]]:
+    size, low = 0, 0
+    for i, w in enumerate(words):
+        size += len(w) + 1
+        if size > BLOCK:
+            yield words[low : i + 1]
+            size, low = 0, i + 1
+    if low < len(words):
+        yield words[low:]
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a few words: the bucket of the 3-gram around each letter (a space before and after each word), where each word starts
+    in these, and each word's script: that of two of its first, middle and last letter, else of the first.
+    """
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    letter = np.flatnonzero(c != 32)
+    wide = c.astype(np.uint64)
+    h = wide[letter - 1] * np.uint64(0x9E3779B97F4A7C15) + wide[letter] * np.uint64(0xC2B2AE3D27D4EB4F) + wide[letter + 1] * np.uint64(0x165667B19E3779F9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    starts = np.cumsum(sizes) - sizes
+    script = _script[c[letter]]
+    first, middle, last = script[starts], script[starts + sizes // 2], script[starts + sizes - 1]
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), starts, np.where((middle == first) | (middle == last), middle, first)
 
 
 @dataclass
@@ -86,11 +103,20 @@ class LanguageModel:
     weights: np.ndarray
     allowed: np.ndarray
 
-    def word_scores(self, word: str) -> np.ndarray:
-        out = self.weights[features(word)].sum(axis=0)
-        out = out - out.max()
-        allowed = self.allowed[script_of(word)]
-        return np.where(allowed, out, -1e6) if allowed.any() else np.full(len(self.langs), np.nan, np.float32)
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row per word: log score per language, 0 for the best; nan where no language has the word's script."""
+        out = np.empty((len(words), len(self.langs)), np.float32)
+        at = 0
+        for part in blocks(words):
+            bucket, starts, script = grams(part)
+            sums = np.add.reduceat(self.weights[bucket], starts, axis=0)
+            allowed = self.allowed[script]
+            sums[~allowed] = -1e6
+            sums -= sums.max(axis=1, keepdims=True)
+            sums[~allowed.any(axis=1)] = np.nan
+            out[at : at + len(part)] = sums
+            at += len(part)
+        return out
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -99,26 +125,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMode
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[str, Counter] = defaultdict(Counter)
-
-        def flush() -> pd.DataFrame:
-            out = []
-            for name, c in words.items():
-                grams, scripts = np.zeros(BUCKETS), Counter()
-                for w, n in c.items():
-                    np.add.at(grams, features(w), n)
-                    scripts[script_of(w)] += n * len(w)
-                i = np.flatnonzero(grams)
-                out.append(pd.DataFrame({"lang": name, "bucket": np.r_[i, [-1 - s for s in scripts]].astype("int64"), "n": np.r_[grams[i], [*scripts.values()]].astype("int64")}))
-            words.clear()
-            return pd.concat(out) if out else pd.DataFrame({"lang": [], "bucket": [], "n": []}).astype({"lang": str, "bucket": "int64", "n": "int64"})
-
+        total: dict[str, np.ndarray] = {}
         for b in batches:
             for name, t in zip(b["lang"], b["text"], strict=True):
-                words[name].update(words_of(t))
-                if sum(map(len, words.values())) > 200_000:
-                    yield flush()
-        yield flush()
+                if name not in total:
+                    total[name] = np.zeros(BUCKETS + len(SCRIPTS), np.int64)
+                for part in blocks(words_of(t)):
+                    bucket, starts, script = grams(part)
+                    sizes = np.diff(starts, append=len(bucket))
+                    total[name][:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+                    total[name][BUCKETS:] += np.bincount(script, sizes, len(SCRIPTS)).astype(np.int64)
+        for name, n in total.items():
+            i = np.flatnonzero(n)
+            yield pd.DataFrame({"lang": name, "bucket": i, "n": n[i]})
 
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     langs = sorted(r["lang"] for r in top)
@@ -126,11 +145,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMode
     got = counts.toPandas()  # at most MAX_LANGS x (BUCKETS + scripts) rows
     at = {name: i for i, name in enumerate(langs)}
     col = got["lang"].map(at).to_numpy(dtype=int)
-    grams, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(SCRIPTS), len(langs)))
-    b, n = got["bucket"].to_numpy(dtype=int), got["n"].to_numpy(dtype=float)
-    grams[b[b >= 0], col[b >= 0]] = n[b >= 0]
-    scripts[-1 - b[b < 0], col[b < 0]] = n[b < 0]
-    weights = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS))
+    counted = np.zeros((BUCKETS + len(SCRIPTS), len(langs)))
+    counted[got["bucket"].to_numpy(dtype=int), col] = got["n"].to_numpy(dtype=float)
+    seen, scripts = counted[:BUCKETS], counted[BUCKETS:]
+    weights = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * BUCKETS))
     allowed = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0))
     return LanguageModel(langs, weights.astype(np.float32), allowed)
 
@@ -138,15 +156,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMode
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best label per row of scores (rows x labels) when each change of label costs switch; ties: the earlier label.
 
-    A constant path is best, with no need to search, if no other label gains more than one switch over it on any
-    interval: a path with m other spans changes label at least m times.
+    The label of the greatest total is best throughout, with no need to search, if no other label gains more than one switch
+    over it on any interval (a path that keeps it somewhere and has m other spans changes m times at least), and if
+    the best other label of each word, taken together, gains no more than one switch (paths that keep it nowhere).
     """
     total = scores.sum(axis=0)
     best = int(total.argmax())
-    gain = np.cumsum(scores - scores[:, [best]], axis=0)
+    other = scores - scores[:, [best]]
+    gain = np.cumsum(other, axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros(scores.shape[1], gain.dtype), gain[:-1]]), axis=0)
     if (gain - low).max() <= switch:
-        return np.full(len(scores), best)
+        other[:, best] = -np.inf
+        if other.max(axis=1).sum() <= switch:
+            return np.full(len(scores), best)
     n = scores.shape[1]
     back, v = [], [float(x) for x in scores[0]]
     for row in scores[1:].tolist():
@@ -162,33 +184,15 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 class Labeller:
-    """Remembers word scores; the memory is bounded."""
-
     def __init__(self, model: LanguageModel):
-        self.model, self.index = model, {}
-        self.rows = np.empty((min(1 << 18, max(1 << 13, (1 << 24) // max(1, len(model.langs)))), len(model.langs)), np.float32)
-
-    def _row(self, word: str) -> int:
-        i = self.index.get(word)
-        if i is None:
-            i = len(self.index)
-            self.index[word] = i
-            self.rows[i] = self.model.word_scores(word)
-        return i
+        self.model = model
 
     def spans(self, text: str | None) -> list[tuple[str, int]]:
         """(language, letters) of each span; "und" where no language fits the script."""
         words = words_of(text or "")
         if not words or not self.model.langs:
             return [(UNKNOWN, sum(map(len, words)))] if words else []
-        scores = np.empty((len(words), len(self.model.langs)), np.float32)
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            if len(self.index) + len(part) > len(self.rows):
-                self.index.clear()
-            get, row = self.index.get, self._row
-            idx = [i if (i := get(w)) is not None else row(w) for w in part]
-            scores[at : at + len(part)] = self.rows[idx]
+        scores = self.model.word_scores(words)
         sizes = np.fromiter(map(len, words), int, len(words))
         none = np.isnan(scores[:, 0])
         labels = np.full(len(words), len(self.model.langs))
