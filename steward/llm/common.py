@@ -62,23 +62,45 @@ def schema_with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
 
 
-class WordHash(dict):
-    """bytes -> 64-bit hash, remembered for at most REMEMBERED words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hash = WordHash()
+#: Bytes hashed at a time, and the longest word that is hashed so (longer ones by xxhash): bounds the tables and the memory.
+SEGMENT, LONGEST = 1 << 18, 1 << 16
+_space = np.zeros(256, bool)
+_space[[9, 10, 11, 12, 13, 32]] = True
+_code = np.random.default_rng(41).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_code[_space] = 0  # white space adds nothing to a sum
+_base = 0x9E3779B97F4A7C15
+_power = np.cumprod(np.r_[np.uint64(1), np.full(SEGMENT + LONGEST, _base, np.uint64)])
+_inverse = np.cumprod(np.r_[np.uint64(1), np.full(SEGMENT + LONGEST, pow(_base, -1, 2**64), np.uint64)])
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the text's words: A-Z lower-cased, split at ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of the text's words: A-Z lower-cased, split at ASCII white space.
+
+    A word's hash is the sum of its bytes' codes times powers of an odd base, modulo 2**64. The sums of all words are taken at once over the
+    text, with powers by place in the text, and divided by the power at the word's start (the base has an inverse).
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    b = np.frombuffer(raw, np.uint8)
+    inside = ~_space[b]
+    change = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+    starts, ends = change[::2], change[1::2]
+    out = np.empty(len(starts), np.uint64)
+    sizes = ends - starts
+    low = 0
+    while low < len(starts):
+        if sizes[low] > LONGEST:
+            out[low] = xxhash.xxh3_64_intdigest(raw[starts[low] : ends[low]])
+            low += 1
+            continue
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + SEGMENT)))
+        if (long := np.flatnonzero(sizes[low:high] > LONGEST)).size:
+            high = low + int(long[0])
+        first, last = starts[low], ends[high - 1]
+        terms = _code[b[first:last]] * _power[: last - first]
+        at = starts[low:high] - first
+        out[low:high] = np.add.reduceat(terms, at) * _inverse[at]
+        low = high
+    return mixed(out + sizes.astype(np.uint64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -90,16 +112,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of k consecutive words; fewer words: the whole sequence as one; none: empty."""
+def shingles(text: str | None, k: int, distinct: bool = True) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of k consecutive words; fewer words: the whole sequence as one; none: empty.
+
+    distinct=False: all of them as they come.
+    """
     h = word_hashes(text)
     if not len(h):
         return h
     k = min(k, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+        out = out * np.uint64(0xD6E8FEB86659FD93) + h[i : len(h) - k + 1 + i]
+        out ^= out >> np.uint64(32)
+    out = mixed(out)
+    return np.unique(out) if distinct else out
 
 
 def longs(x: np.ndarray) -> np.ndarray:
