@@ -3,11 +3,13 @@
 The distance 1 - J is a metric on shingle sets; two sets link at a distance of TAU = 0.1 at most. What is done:
 
 1. Equal sets are folded into one representative, so groups of exact copies cost one row.
-2. The pivots of the whole space are the one-shingle sets, in one order for all (rare by a bounded sketch of the corpus,
-   then by hash). A set's nearest pivot, ties broken by the order, is its first shingle: its Voronoi region. A set
-   within TAU has its first shared shingle among the first |S| - ceil(overlap) + 1, so a set is replicated to these regions and no more
-   (the window). A region keeps together what the sizes allow (triangle inequality with the empty set:
-   sizes within 9/10, and a rank i in the order leaves at most |S| - i shared). Regions carry ids, sizes and ranks only.
+2. The pivots of the whole space are the one-shingle sets, in one order for all (rare first by a bounded sketch of the corpus,
+   then by hash). A set's nearest pivot, ties broken by the order, is its first shingle: its Voronoi region. Two sets within TAU
+   share l shingles among the first |S| - overlap + l of either, for any l up to the overlap, so a set is replicated to these
+   regions and no more (the window). A region falls apart where the sizes allow no link (triangle inequality with the
+   empty set: sizes within 9/10, and a place in the order bounds what can be shared). Regions carry ids, sizes and places only.
+   l is EXTRA of the size: two sets that meet in small regions only (SMALL sets at most) must meet in l of them;
+   sets that meet in a larger one are kept together without counting.
 3. What shares a region is a candidate neighbourhood (components of the candidate graph). Its sets are shipped once. One with
    more than LIMIT_SETS sets or LIMIT_GRAMS shingles is split again: documents as pivots, exact distances, a
    document goes to its nearest pivot's region and to every pivot q with d(x, q) <= d(x, nearest) + 2 TAU (no linked pair is
@@ -37,9 +39,14 @@ SHINGLE = 3
 #: Links need PERCENT * |x | y| <= 100 * |x & y|.
 PERCENT = 90
 #: Counters of the corpus sketch (8 bytes each, summed over partitions; its size doesn't depend on the corpus).
-SKETCH = 1 << 17
+SKETCH_BITS = 20
+SKETCH = 1 << SKETCH_BITS
+#: Shared shingles asked for, for each hundred of a set, beyond the first.
+EXTRA = 3
+#: Sets of a region whose pairs are counted; SMALL * (SMALL - 1) / 2 rows at most.
+SMALL = 12
 LIMIT_SETS = 2048
-LIMIT_GRAMS = 2_000_000
+LIMIT_GRAMS = 4_000_000
 #: Sets compared by one matrix product.
 LEAF = 256
 ROUNDS = 3
@@ -52,48 +59,59 @@ def linked(both, x, y, percent: int = PERCENT):
 
 def ranked(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The set in the order of the pivots: rare first by the sketch, then by hash."""
-    return grams[np.lexsort((grams, level[grams >> np.uint64(47)]))]
+    return grams[np.argsort(level[grams >> SHIFT], kind="stable")]  # grams ascend already
+
+
+SHIFT = np.uint64(64 - SKETCH_BITS)
+
+
+def least_shared(n: int, percent: int = PERCENT) -> int:
+    """l: shared shingles that a set of n asks for; no more than it must share with any set that it links with."""
+    return min(1 + EXTRA * n // 100, -(-percent * n // 100))
 
 
 def window(n: int, percent: int = PERCENT) -> tuple[int, np.ndarray]:
-    """Regions a set of n shingles goes to, and for each rank the greatest size of a partner that may share it first.
+    """Regions a set of n shingles goes to, and for each place the greatest size of a partner that may share it among the first l.
 
-    With t = percent/100 linked sets of n and m share at least t/(1+t) * (n + m), and m >= t*n; the i shingles before
-    the first shared one aren't shared: n - i >= t/(1+t) * (n + m).
+    With t = percent/100 linked sets of n and m share at least t/(1+t) * (n + m), and m >= t*n. Before the l-th shared
+    shingle stand at most l - 1 shared ones and those that aren't shared: place i leaves n - (i - l + 1) to share.
     """
-    need = -(-percent * n // 100)
-    count = n - need + 1
-    i = np.arange(count, dtype=np.int64)
+    need, l = -(-percent * n // 100), least_shared(n, percent)
+    count = min(n, n - need + l)
+    i = np.maximum(0, np.arange(count, dtype=np.int64) - (l - 1))
     reach = (n - i) * (100 + percent) // percent - n
     return count, np.minimum(reach, n * 100 // percent)
 
 
 def sketch(docs: DataFrame, text: str) -> np.ndarray:
-    """Level of each counter: how many times the mean count, as a power of two. Counts all shingles of all documents."""
+    """Level of each counter: how many times the mean count, in steps of a fourth of a power of two. Counts all shingles of all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.int32)
         for b in batches:
-            for t in b["text"]:
-                total += np.bincount((shingles(t, SHINGLE) >> np.uint64(47)).astype(np.int64), minlength=SKETCH) if t and len(t) > 200_000 else 0
-                if t and len(t) <= 200_000:
-                    np.add.at(total, (shingles(t, SHINGLE) >> np.uint64(47)).astype(np.int64), 1)
+            held, size = [], 0
+            for t in [*b["text"], None]:
+                held.append((shingles(t, SHINGLE, distinct=False) >> SHIFT).astype(np.int32))
+                size += len(held[-1])
+                if size > SKETCH or t is None:
+                    total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
+                    held, size = [], 0
         yield pd.DataFrame({"counts": [total.tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SKETCH, np.int64)
         for b in batches:
             for c in b["counts"]:
-                total += np.frombuffer(c, np.int64)
-        yield pd.DataFrame({"counts": [total.tobytes()]})
+                total += np.frombuffer(c, np.int32)
+        yield pd.DataFrame({"counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
     parts = saved(docs.select(F.col(text).cast("string").alias("text")).mapInPandas(count, "counts binary"))
     n = parts.count()
     while n > 1:  # in rounds, so that no task adds up more than 32 of them
         n = -(-n // 32)
         parts = parts.repartition(n).mapInPandas(add, "counts binary")
-    total = sum((np.frombuffer(r["counts"], np.int64) for r in parts.collect()), np.zeros(SKETCH, np.int64))
-    return np.log2(1 + total / max(1.0, total.mean())).astype(np.int8)
+    total = sum((np.frombuffer(r["counts"], np.int32) for r in parts.collect()), np.zeros(SKETCH))
+    return np.minimum(127, 4 * np.log2(1 + total / max(1.0, total.mean()))).astype(np.int8)
 
 
 class Sets:
@@ -208,13 +226,24 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     known = rows.where("same is not null and doc_id is not null")
     reps = saved(known.groupBy("same").agg(F.min("doc_id").alias("rep")))
 
-    # Regions of the first level: ids and sizes only. In the order of sizes a chain breaks where no smaller set reaches further.
-    own = known.join(reps, (known["doc_id"] == reps["rep"]) & (known["same"] == reps["same"]), "left_semi").select("doc_id", "n", F.explode(F.arrays_zip("first", "reach")).alias("z"))
-    own = own.select("doc_id", "n", F.col("z.first").alias("key"), F.col("z.reach").alias("reach"))
+    # Regions of the first level: ids and sizes only. In the order of sizes an island ends where no smaller set reaches further.
+    own = known.join(reps, (known["doc_id"] == reps["rep"]) & (known["same"] == reps["same"]), "left_semi").select("doc_id", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("first", "reach")).alias("z"))
+    own = own.select("doc_id", "n", F.col("z.first").alias("key"), F.col("z.reach").cast("int").alias("reach"))
     by = Window.partitionBy("key").orderBy("n", "doc_id")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    chained = own.withColumn("top", F.max("reach").over(before)).withColumn("last", F.lag("doc_id").over(by)).where("n <= top and doc_id <> last")
-    near = saved(connected(chained.select(F.col("doc_id").alias("src"), F.col("last").alias("dst")).distinct()))
+    starts = F.coalesce(F.col("n") > F.max("reach").over(before), F.lit(True))
+    islands = own.withColumn("starts", starts).withColumn("island", F.sum(F.col("starts").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = islands.withColumn("sets", F.count("*").over(Window.partitionBy("key", "island")).cast("int"))
+    islands = saved(islands.where("sets > 1").withColumn("last", F.when(F.col("sets") > SMALL, F.lag("doc_id").over(Window.partitionBy("key", "island").orderBy("n", "doc_id")))).select("key", "island", "sets", "doc_id", "n", "reach", "last"))
+    kept = islands.where("last is not null and last <> doc_id").select(F.col("doc_id").alias("src"), F.col("last").alias("dst")).distinct()
+    member = F.struct("n", "doc_id", "reach")
+    small = islands.where(F.col("sets") <= SMALL).groupBy("key", "island").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    pair = lambda x, y: F.struct(x["doc_id"].alias("src"), y["doc_id"].alias("dst"), x["n"].alias("n"))
+    meets = lambda x, y: (y["n"] <= x["reach"]) & (x["n"] <= y["reach"]) & (y["doc_id"] != x["doc_id"])
+    each = F.transform("m", lambda x, i: F.transform(F.filter(F.col("m"), lambda y, j: (j > i) & meets(x, y)), lambda y: pair(x, y)))
+    met = small.select(F.explode_outer(F.flatten(each)).alias("p")).where("p is not null").groupBy("p.src", "p.dst", "p.n").agg(F.count("*").alias("c"))
+    asked = F.least(1 + F.floor(F.col("n") * EXTRA / 100), F.ceil(F.col("n") * percent / 100))
+    near = saved(connected(kept.union(met.where(F.col("c") >= asked).select("src", "dst"))))
 
     # Each candidate's set is shipped once, to its neighbourhood.
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +263,7 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
             links = found if links is None else links.union(found)
             break
         todo = now.join(large.drop("old"), "region")
-        stuck = F.lit(depth == ROUNDS) | (F.col("sets") > 0.7 * F.col("old"))
+        stuck = F.lit(depth == ROUNDS) | (F.col("sets") > 0.7 * F.col("old"))  # the last split didn't help
         found = found.union(local(blocks(todo.where(F.coalesce(stuck, F.lit(False)))), percent))
         links = saved(found if links is None else links.union(found))
         now = saved(split(todo.where(~F.coalesce(stuck, F.lit(False))), depth, percent))

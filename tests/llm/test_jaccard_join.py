@@ -78,14 +78,24 @@ def test_rows_join_exactly(monkeypatch):
 
 
 def test_window_is_enough():
-    for n in range(1, 120):
+    for n in range(1, 150):
         count, reach = J.window(n)
-        for m in range(n, 140):
+        l = J.least_shared(n)  # noqa: E741
+        for m in range(n, 170):
+            other, back = J.window(m)
             for both in range(1, n + 1):
                 if J.linked(both, n, m):
-                    # at most n - both of the smaller set come before the first shared one
-                    assert n - both < count and m <= reach[n - both]
-                    assert m - both < J.window(m)[0]
+                    # the l-th shared shingle comes after l - 1 shared ones and all that aren't shared at the latest
+                    assert l <= both
+                    assert n - both + l - 1 < count and m <= reach[n - both + l - 1]
+                    assert m - both + l - 1 < other and n <= back[m - both + l - 1]
+
+
+def test_pairs_are_counted_and_large_regions_kept(spark, monkeypatch):
+    monkeypatch.setattr(J, "SMALL", 3)
+    monkeypatch.setattr(J, "EXTRA", 20)
+    rows = fixture(random.Random(21))
+    assert result(J.component_ids(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
 def test_sql(spark, sf_dir):
