@@ -1,22 +1,21 @@
 """The piece lattice that token counting and n-best segmentation share.
 
-Vocabulary: the pieces and scores of a SentencePiece model file (its path is a parameter). The path's bytes are read on
+Vocabulary: the pieces and scores of a SentencePiece model file (its path is a parameter). The file's bytes are read on
 the driver and broadcast (the file bounds their size); executors need no local file. Scores are used as a unigram
 model's log probabilities, in 64-bit arithmetic.
 
-Normalisation is the file's own: spaces become U+2581, and one is put in front. A literal U+2581 of the text is spelled in
-bytes, so that decoding gives the text back exactly. A character that no one-character piece covers costs the least
-score less 10 and is spelled as its UTF-8 bytes.
+Normalisation is the file's own: spaces become U+2581, and one is put in front. A character that no piece has, and a literal
+U+2581 of the text, costs the least score less 10 and is spelled as its UTF-8 bytes, so that decoding gives the text back exactly.
 
-A text is cut where no piece of the vocabulary reaches over (before a space that follows another character, and
-around line breaks): the best paths of the parts are the best path of the whole, and each part is solved once and
-remembered. Within a part an Aho-Corasick automaton enumerates all pieces.
+A text is cut where no piece of the vocabulary reaches over (before a space that follows another character, between letters and
+others, and around characters that no piece has): the best paths of the parts are the best path of the whole. A part is solved once and
+remembered; new parts are solved many at a time, by one pass of an Aho-Corasick automaton over all of them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import sentencepiece
@@ -28,6 +27,11 @@ from .common import REMEMBERED
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Characters of new parts that are solved in one pass.
+TOGETHER = 200_000
+#: Longer parts seldom come again and aren't remembered.
+LONG = 64
+LEAST = float("-inf")
 
 
 class Vocabulary:
@@ -38,89 +42,109 @@ class Vocabulary:
         self.scores = [float(sp.get_score(i)) for i in range(self.size)]
         normal = [i for i in range(self.size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.bytes_ = {int(self.pieces[i][3:-1], 16): i for i in range(self.size) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes_.items()}
         self.unknown = min(self.scores[i] for i in normal) - UNKNOWN_PENALTY
-        if any(SPACE in self.pieces[i].lstrip(SPACE) or "\n" in self.pieces[i] for i in normal):
-            raise ValueError("pieces reach over spaces or line breaks; texts can't be cut there")
+        #: Each id as four bytes, and what it stands for, as bytes.
+        self.code = [i.to_bytes(4, "little") for i in range(self.size)]
+        self.raw = [p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p in self.pieces]
+        for b, i in self.bytes_.items():
+            self.raw[i] = bytes([b])
+        known = {self.pieces[i] for i in normal if len(self.pieces[i]) == 1}
+        if any(SPACE in self.pieces[i].lstrip(SPACE) for i in normal) or {c for i in normal for c in self.pieces[i]} - known or "\n" in known:
+            raise ValueError("pieces reach over spaces, or have characters that aren't pieces: texts can't be cut there")
+        if any(a.isalpha() != b.isalpha() for i in normal if (p := self.pieces[i].lstrip(SPACE)) for a, b in zip(p, p[1:], strict=False)):
+            raise ValueError("pieces have letters next to others: texts can't be cut there")
+        letters, others = ("".join(re.escape(c) for c in sorted(known - {SPACE, " "}) if c.isalpha() == kind) for kind in (True, False))
+        #: Parts: spaces with the letters, or the other characters, that follow them; letters; others; a character without a piece.
+        self._parts = re.compile(rf" +(?:[{letters}]+|[{others}]+)?|[{letters}]+|[{others}]+|[^ {letters}{others}]").findall
+        self._has = known - {SPACE}
         self.automaton = ahocorasick.Automaton()
         for i in normal:
             self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), self.scores[i], i))
         self.automaton.make_automaton()
 
-    def edges(self, part: str, literal: bool = False) -> list[list[tuple[int, float, int]]]:
-        """For each end in part: (start, score, id) of all pieces, by start; id -1: a character spelled in bytes."""
-        out: list[list[tuple[int, float, int]]] = [[] for _ in range(len(part) + 1)]
-        if not literal:
-            for last, (n, score, i) in self.automaton.iter(part):
-                out[last + 1].append((last + 1 - n, score, i))
-        for end in range(1, len(part) + 1):
-            found = out[end]
-            found.sort()
-            if not found or found[-1][0] != end - 1:
-                found.append((end - 1, self.unknown, -1))
-        return out
+    def parts(self, text: str) -> list[str]:
+        """The parts that the best path can be put together from."""
+        return self._parts(" " + text) if text else []
+
+    def is_spelled(self, part: str) -> bool:
+        """Whether the part is a character that is spelled in bytes."""
+        return len(part) == 1 and part != " " and part not in self._has
 
     def spelled(self, character: str) -> list[int]:
         return [self.bytes_[b] for b in character.encode("utf-8", "surrogatepass")]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The text that ids stand for; the space put in front is dropped."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-                raw.clear()
-            out.append(self.pieces[i].replace(SPACE, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "surrogatepass"))
-        return "".join(out)[1:]
-
-
-#: Parts of a text: a line break; a literal U+2581; spaces with what follows them up to the next of these; other characters.
-parts_of = re.compile(rf"\n|{SPACE}| +[^ \n{SPACE}]*|[^ \n{SPACE}]+").findall
-
+        raw = self.raw
+        return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
-def parts(text: str) -> list[str]:
-    """The parts that the best path can be put together from; a literal U+2581 is a part of its own."""
-    return parts_of(" " + text) if text else []
+    def matches(self, parts: list[str]) -> tuple[list[int], Iterator]:
+        """Where each part starts in all of them put together, and the pieces found there: (last place, (length, score, id)),
+        by last place, of one the longest first.
+        """
+        starts, at = [], 0
+        for p in parts:
+            starts.append(at)
+            at += len(p) + 1
+        return starts, self.automaton.iter("\n".join(parts).replace(" ", SPACE))
 
 
-def solved(vocabulary: Vocabulary, part: str) -> tuple[float, int]:
-    """Best score of the part and its number of pieces: count-only Viterbi, nothing is kept to trace back.
+def solved(v: Vocabulary, parts: list[str]) -> list[tuple[float, int]]:
+    """Best score and number of pieces of each part: count-only Viterbi, nothing is kept to trace back.
 
-    Ties as the unigram tokenizer resolves them: edges are tried by rising start and must be better to replace, so of
-    equal paths the one whose last piece is longest wins.
+    Ties as the unigram tokenizer resolves them: edges into a place are tried by rising start and must be better to
+    replace, so of equal paths the one whose last piece is longest wins.
     """
-    literal = part == SPACE
-    edges = vocabulary.edges(part if literal else part.replace(" ", SPACE), literal)
-    best, count = [0.0] * (len(part) + 1), [0] * (len(part) + 1)
-    for end in range(1, len(part) + 1):
-        top, n = None, 0
-        for start, score, i in edges[end]:
-            new = best[start] + score
-            if top is None or new > top:
-                top, n = new, count[start] + (1 if i >= 0 else len(part[start].encode("utf-8", "surrogatepass")))
-        best[end], count[end] = top, n
-    return best[-1], count[-1]
-
-
-class Remembered(dict):
-    """part -> what solve says of it; emptied when full. Long parts, which seldom come again, aren't kept."""
-
-    def __init__(self, solve):
-        super().__init__()
-        self.solve = solve
-
-    def __missing__(self, part: str):
-        value = self.solve(part)
-        if len(part) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[part] = value
-        return value
+    starts, found = v.matches(parts)
+    size = starts[-1] + len(parts[-1]) + 2 if parts else 1
+    best, count = [LEAST] * size, [0] * size  # places are counted by the character before them
+    for s in starts:
+        best[s - 1] = 0.0
+    for at, (n, score, _) in found:
+        new = best[at - n] + score
+        if new > best[at]:
+            best[at] = new
+            count[at] = count[at - n] + 1
+    return [(v.unknown, len(p.encode("utf-8", "surrogatepass"))) if v.is_spelled(p) else (best[s + len(p) - 1], count[s + len(p) - 1]) for p, s in zip(parts, starts, strict=True)]
+
+
+class Remembered:
+    """What solve says of parts, for many new parts at a time. Two generations: when the young one is full the old one goes,
+    and what is used again becomes young.
+    """
+
+    def __init__(self, solve: Callable[[list[str]], list]):
+        self.solve, self.young, self.old = solve, {}, {}
+
+    def of(self, texts: list[list[str]]) -> Iterator[list]:
+        """The values of the parts of each text, in order. New parts of several texts are solved together."""
+        held, new, size = [], set(), 0
+        for parts in texts:
+            held.append(parts)
+            fresh = set(parts).difference(self.young, new)
+            if fresh:
+                for p in fresh:
+                    if p in self.old:
+                        self.young[p] = self.old[p]
+                    else:
+                        new.add(p)
+                        size += len(p)
+            if size > TOGETHER:
+                yield from self._settle(held, list(new))
+                held, new, size = [], set(), 0
+        yield from self._settle(held, list(new))
+
+    def _settle(self, held: list[list[str]], new: list[str]) -> Iterator[list]:
+        young = self.young
+        if new:
+            young.update(zip(new, self.solve(new), strict=True))
+        for parts in held:
+            yield [young[p] for p in parts]
+        for p in new:
+            if len(p) > LONG:
+                del young[p]
+        if len(young) > REMEMBERED // 2:
+            self.old, self.young = young, {}
 
 
 def broadcast(df: DataFrame, model: str) -> Broadcast:
@@ -136,8 +160,3 @@ def vocabulary(held: Broadcast) -> Vocabulary:
     if _last[0] != hash(held.value):
         _last[:] = [hash(held.value), Vocabulary(held.value)]
     return _last[1]
-
-
-def texts(batches: Iterator, column: str) -> Iterator[tuple]:
-    for b in batches:
-        yield b, ["" if t is None else t for t in b[column]]

@@ -1,64 +1,136 @@
 """N-best segmentation: forward Viterbi scores are the exact heuristic of a backward A* search over the piece lattice.
 
-A part of a text (see pieces) is solved once: the forward pass gives each position the best score from the start; the
-search goes back from the end, and the score so far plus the position's forward score is exactly that of the best
-completion, so complete paths come out best first. Parts don't interact: the N best segmentations of a text combine the
-parts' lists, and only the N alternatives that lose least can take part in them.
+The forward pass gives each place of a part (see pieces) the best score from the start; the search goes back from the end, and the
+score so far plus the place's forward score is exactly that of the best completion, so complete paths come out best
+first. As the heuristic is exact, a state is followed to the start at once by the best edges, and only the edges not taken
+are queued; the queue keeps no more of them than paths are still wanted.
+
+Parts don't interact: the N best segmentations of a text combine the parts' lists, and only the N - 1 parts whose second path loses
+least can take part in them. So a part's first path is followed and what its second would lose is noted, and both are remembered; the
+search goes on only for the parts of a text that lose least.
 """
 
 from __future__ import annotations
 
-import heapq
+import gc
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
+from heapq import nsmallest
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import require, result_columns, schema_with
-from .pieces import MODEL, SPACE, Remembered, Vocabulary, broadcast, parts, texts, vocabulary
+from .pieces import LEAST, MODEL, Remembered, Vocabulary, broadcast, vocabulary
 
 N_BEST = 3
 
 
-def n_best(v: Vocabulary, part: str, n: int = N_BEST) -> list[tuple[float, tuple[int, ...]]]:
-    """(score, ids) of the n best paths through a part, best first; ties: the path whose last differing piece is longest."""
-    literal = part == SPACE
-    edges = v.edges(part if literal else part.replace(" ", SPACE), literal)
-    best = [0.0] * (len(part) + 1)
-    for end in range(1, len(part) + 1):
-        best[end] = max(best[start] + score for start, score, _ in edges[end])
-    queue, serial, out = [(-best[-1], (), len(part), 0.0, None)], 0, []
-    while queue and len(out) < n:
-        _, starts, at, done, path = heapq.heappop(queue)
-        if at == 0:
-            ids: list[int] = []
+class Lattice:
+    """Many parts put together; places are counted by the character before them. best: score of the best path from a part's start to each place."""
+
+    def __init__(self, v: Vocabulary, parts: list[str]):
+        self.v, self.parts = v, parts
+        self.starts, found = v.matches(parts)
+        size = self.starts[-1] + len(parts[-1]) + 2 if parts else 1
+        self.found = found = list(found)
+        self.first = first = [0] * size  # of the edges into a place
+        self.taken = taken = [0] * size  # the best of them; of equal ones the longest
+        self.best = best = [LEAST] * size
+        for s in self.starts:
+            best[s - 1] = 0.0  # of the first part: the last place of all, which is nowhere else used
+        for k, (at, (n, score, _)) in enumerate(found):
+            new = best[at - n] + score
+            old = best[at]
+            if new > old:
+                if old == LEAST:
+                    first[at] = k
+                best[at] = new
+                taken[at] = k
+        found.append((-1, (0, 0.0, 0)))
+
+    def first_path(self, p: int) -> tuple[float, list[int], float]:
+        """Score and ids of the best path of a part, and what the second one loses (infinite if there is none)."""
+        part, start = self.parts[p], self.starts[p]
+        if self.v.is_spelled(part):
+            return self.v.unknown, self.v.spelled(part), -LEAST
+        found, first, taken, best = self.found, self.first, self.taken, self.best
+        at = start + len(part) - 1
+        total, done, second, ids = best[at], 0.0, LEAST, []
+        while at >= start:
+            k, mine = first[at], taken[at]
+            last, edge = found[k]
+            while last == at:
+                if k != mine:
+                    f = done + edge[1] + best[at - edge[0]]
+                    if f > second:
+                        second = f
+                k += 1
+                last, edge = found[k]
+            n, score, i = found[mine][1]
+            ids.append(i)
+            done += score
+            at -= n
+        ids.reverse()
+        return total, ids, total - second
+
+    def paths(self, p: int, n: int) -> list[tuple[float, list[int]]]:
+        """(score, ids) of the n best paths of a part, best first."""
+        part, start = self.parts[p], self.starts[p]
+        if self.v.is_spelled(part):
+            return [(self.v.unknown, self.v.spelled(part))]
+        found, first, taken, best = self.found, self.first, self.taken, self.best
+        out: list[tuple[float, list[int]]] = []
+        end = start + len(part) - 1
+        queue: list[tuple] = [(best[end], end, 0.0, None)]  # falling: score of the best completion, place, score so far, path so far
+        while queue and len(out) < n:
+            total, at, done, path = queue.pop(0)
+            room = n - len(out) - 1
+            while at >= start:
+                k, mine = first[at], taken[at]
+                while found[k][0] == at:
+                    if k != mine and room:
+                        size, score, i = found[k][1]
+                        f = done + score + best[at - size]
+                        if len(queue) < room or f > queue[-1][0]:
+                            j = len(queue)
+                            while j and queue[j - 1][0] < f:
+                                j -= 1
+                            queue.insert(j, (f, at - size, done + score, (i, path)))
+                            del queue[room:]
+                    k += 1
+                size, score, i = found[mine][1]
+                done, path, at = done + score, (i, path), at - size
+            ids = []
             while path:
-                start, i, path = path
-                ids += [i] if i >= 0 else v.spelled(part[start])
-            out.append((done, tuple(ids)))
-            continue
-        for start, score, i in edges[at]:
-            serial += 1
-            # of equal scores the earlier start, that is the longer piece, comes first, and the first difference from the end decides
-            heapq.heappush(queue, (-(done + score + best[start]), (*starts, start) if len(part) <= 64 else (start, serial), start, done + score, (start, i, path)))
-    return out
+                i, path = path
+                ids.append(i)
+            out.append((total, ids))
+        return out
+
+
+def n_best(v: Vocabulary, parts: list[str], n: int = N_BEST) -> list[list[tuple[float, list[int]]]]:
+    """The n best paths of each part."""
+    lattice = Lattice(v, parts)
+    return [lattice.paths(p, n) for p in range(len(parts))]
+
+
+def nearest(losses: list[float], n: int) -> list[int]:
+    """The n - 1 parts whose second path loses least, if they have one."""
+    return [p for x, p in nsmallest(n - 1, zip(losses, range(len(losses)), strict=True)) if x < -LEAST]
 
 
 def combined(lists: list[list[tuple]], n: int = N_BEST) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
-    """The n best choices of one path for each part: (score, ((part, rank), ...)) with the parts whose best isn't taken.
+    """The n best choices of one path for each part: (what it loses, ((part, rank), ...)) with the parts whose best isn't taken.
 
-    A choice among the n best takes no alternative that loses more than the n - 1 least losses, so these suffice.
+    lists: (score, ...) of each part's paths, best first; the parts that lose least suffice.
     """
-    total = sum(x[0][0] for x in lists)
-    losses = heapq.nsmallest(n - 1, ((x[0][0] - x[k][0], p, k) for p, x in enumerate(lists) for k in range(1, len(x))))
     choices: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-    for loss, p, k in losses:
-        choices += [(c + loss, (*taken, (p, k))) for c, taken in choices if all(q != p for q, _ in taken)]
-        choices = heapq.nsmallest(n, choices)
-    return [(total - c, taken) for c, taken in choices]
+    for p, x in enumerate(lists):
+        choices = nsmallest(n, choices + [(c + x[0][0] - x[k][0], (*taken, (p, k))) for k in range(1, len(x)) for c, taken in choices])
+    return choices
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n: int = N_BEST) -> DataFrame:
@@ -74,7 +146,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n: int = N_B
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, got in segmented(batches, text, held, n):
-            yield b.assign(**dict(zip(names, ([array_list(g[0]) for g in got], [g[1] for g in got], [g[2] for g in got], [g[3] for g in got]), strict=True)))
+            yield b.assign(**dict(zip(names, ([array("i", g[0]).tolist() for g in got], [g[1] for g in got], [g[2] for g in got], [g[3] for g in got]), strict=True)))
 
     kinds = (T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType()), T.StringType())
     return docs.mapInPandas(work, schema_with(docs, *zip(names, kinds, strict=True)))
@@ -94,43 +166,36 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
     return docs.select(doc_id, text).mapInPandas(work, f"doc_id {kind}, n_pieces long, ids_sha256 string, scores array<double>, sizes array<long>, round_trip boolean")
 
 
-def array_list(raw: bytes) -> list[int]:
-    return array("i", raw).tolist()
-
-
 def segmented(batches: Iterator[pd.DataFrame], column: str, held, n: int) -> Iterator[tuple[pd.DataFrame, list]]:
     """Per batch: (ids as bytes, scores, sizes, decoded) of each text."""
     v = vocabulary(held)
-    text_of = [p.replace(SPACE, " ") for p in v.pieces]
 
-    def solve(part: str) -> tuple:
-        found = n_best(v, part, n)
-        ids = found[0][1]
-        return [(s, len(i)) for s, i in found], array("i", ids).tobytes()
-
-    look = Remembered(solve).__getitem__
-    for b, rows in texts(batches, column):
+    def first(parts: list[str]) -> list[tuple[float, int, float, bytes]]:
+        lattice, code = Lattice(v, parts), v.code
         out = []
-        for t in rows:
-            got = list(map(look, parts(t)))
-            raw = b"".join([g[1] for g in got])
-            size = len(raw) // 4
-            if got:
-                best = combined([g[0] for g in got], n)
-                scores = [float(s) for s, _ in best]
-                sizes = [size + sum(got[p][0][k][1] - got[p][0][0][1] for p, k in taken) for _, taken in best]
-            else:
-                scores, sizes = [0.0], [0]
-            out.append((raw, scores, sizes, decoded(v, text_of, raw)))
-        yield b, out
-
-
-
-
-
-def decoded(v: Vocabulary, text_of: list[str], raw: bytes) -> str:
-    """What the ids alone say: pieces joined; runs of byte pieces are decoded together."""
-    ids = array("i", raw)
-    if not any(map(v.byte_of.__contains__, ids)):
-        return "".join([text_of[i] for i in ids])[1:]
-    return v.decode(ids)
+        for p in range(len(parts)):
+            score, ids, loss = lattice.first_path(p)
+            out.append((score, len(ids), loss, b"".join([code[i] for i in ids])))
+        return out
+
+    gc.disable()  # millions of tuples, none in a cycle; counting references frees them
+    try:
+        known = Remembered(first)
+        more = Remembered(lambda parts: [[(s, len(ids)) for s, ids in paths] for paths in n_best(v, parts, n)])
+        for b in batches:
+            rows, wanted = [], []
+            texts = [v.parts(t or "") for t in b[column]]
+            for parts, got in zip(texts, known.of(texts), strict=True):
+                raw = b"".join([g[3] for g in got])
+                wanted.append([parts[p] for p in nearest([g[2] for g in got], n)])
+                rows.append((raw, sum([g[0] for g in got])))
+            out = []
+            for (raw, total), lists in zip(rows, more.of(wanted), strict=True):
+                size = len(raw) // 4
+                best = combined(lists, n)
+                scores = [float(total - c) for c, _ in best]
+                sizes = [size + sum([lists[p][k][1] - lists[p][0][1] for p, k in taken]) for _, taken in best]
+                out.append((raw, scores, sizes, v.decode(array("i", raw))))
+            yield b, out
+    finally:
+        gc.enable()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import require, result_columns, schema_with
-from .pieces import MODEL, Remembered, broadcast, parts, solved, texts, vocabulary
+from .pieces import MODEL, Remembered, broadcast, solved, vocabulary
 
 
 def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
@@ -24,13 +24,12 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL) -> Dat
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(held)
-        look = Remembered(lambda part: solved(v, part)).__getitem__
-        for b, rows in texts(batches, text):
+        known = Remembered(lambda parts: solved(v, parts))
+        for b in batches:
             scores, counts = [], []
-            for t in rows:
-                s, n = zip(*found, strict=True) if (found := list(map(look, parts(t)))) else ((), ())
-                scores.append(float(sum(s)))
-                counts.append(sum(n))
+            for found in known.of([v.parts(t or "") for t in b[text]]):
+                scores.append(float(sum([f[0] for f in found])))
+                counts.append(sum([f[1] for f in found]))
             yield b.assign(**{names[0]: counts, names[1]: scores})
 
     return docs.mapInPandas(count, schema_with(docs, (names[0], T.LongType()), (names[1], T.DoubleType())))

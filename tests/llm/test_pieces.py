@@ -25,38 +25,37 @@ def unigram(v):
     return Tokenizer(Unigram(list(zip(v.pieces, v.scores, strict=True)), unk_id=0, byte_fallback=True))
 
 
-def count(v, text):
-    return sum(pieces.solved(v, p)[1] for p in pieces.parts(text))
-
-
 def test_counts_are_the_unigram_tokenizers(v, unigram, spark, sf_dir):
     texts = [t for t in TEXTS if "▁" not in t] + [r[0][:3000] for r in documents(spark, sf_dir).select("text").limit(60).collect()]
     for t in texts:
         # parts don't interact, so each is compared; over a whole text the library's running sums lose precision
-        for p in pieces.parts(t):
-            assert pieces.solved(v, p)[1] == len(unigram.encode(p.replace(" ", "▁"), add_special_tokens=False).ids), p
+        parts = v.parts(t)
+        for p, (_, n) in zip(parts, pieces.solved(v, parts), strict=True):
+            assert n == len(unigram.encode(p.replace(" ", "▁"), add_special_tokens=False).ids), p
 
 
 def all_paths(v, part):
-    literal = part == pieces.SPACE
-    edges = v.edges(part if literal else part.replace(" ", pieces.SPACE), literal)
+    """(score, ids) of every path, by the vocabulary alone."""
+    if v.is_spelled(part):
+        return [(v.unknown, tuple(v.spelled(part)))]
+    text, normal = part.replace(" ", pieces.SPACE), {p: i for i, p in enumerate(v.pieces) if i > 2 and i not in v.bytes_.values()}
     paths = {0: [(0.0, ())]}
-    for end in range(1, len(part) + 1):
-        paths[end] = [(s + score, (*p, *([i] if i >= 0 else v.spelled(part[start])))) for start, score, i in edges[end] for s, p in paths[start]]
-    return paths[len(part)]
+    for end in range(1, len(text) + 1):
+        paths[end] = [(s + v.scores[normal[text[start:end]]], (*p, normal[text[start:end]])) for start in range(end) if text[start:end] in normal for s, p in paths[start]]
+    return paths[len(text)]
 
 
 def test_n_best_is_exhaustive(v):
     rng = random.Random(5)
-    for _ in range(150):
-        part = rng.choice(["", " "]) + "".join(rng.choice("theringsa.é") for _ in range(rng.randint(1, 9)))
-        if not part.strip():
-            continue
-        got = segmentation.n_best(v, part, 5)
-        want = sorted((s for s, _ in all_paths(v, part)), reverse=True)[:5]
-        assert [s for s, _ in got] == want
-        assert got[0][0] == pieces.solved(v, part)[0] and len(got[0][1]) == pieces.solved(v, part)[1]
-        assert len({p for _, p in got}) == len(got)
+    parts = [p for _ in range(250) for p in v.parts("".join(rng.choice("theringsa.é9 ") for _ in range(rng.randint(1, 9)))) if p.strip()]
+    lattice = segmentation.Lattice(v, parts)
+    for k, (part, got, first) in enumerate(zip(parts, segmentation.n_best(v, parts, 5), pieces.solved(v, parts), strict=True)):
+        every = sorted(all_paths(v, part), key=lambda x: -x[0])
+        assert [s for s, _ in got] == [s for s, _ in every[:5]]
+        assert {tuple(p) for _, p in got} <= {p for _, p in every} and len({tuple(p) for _, p in got}) == len(got)
+        assert got[0][0] == first[0] and len(got[0][1]) == first[1]
+        score, ids, loss = lattice.first_path(k)
+        assert (score, ids) == got[0] and (loss == score - every[1][0] if len(every) > 1 else loss == float("inf"))
 
 
 def test_combined_is_exhaustive():
@@ -64,12 +63,37 @@ def test_combined_is_exhaustive():
     for _ in range(200):
         lists = [sorted(((-rng.randint(0, 9), i) for i in range(rng.randint(1, 4))), reverse=True) for _ in range(rng.randint(1, 5))]
         want = sorted((sum(c) for c in itertools.product(*([s for s, _ in x] for x in lists))), reverse=True)[:4]
-        assert [s for s, _ in segmentation.combined(lists, 4)] == want
+        losses = [x[0][0] - x[1][0] if len(x) > 1 else float("inf") for x in lists]
+        near = [lists[p] for p in segmentation.nearest(losses, 4)]
+        assert [sum(x[0][0] for x in lists) - c for c, _ in segmentation.combined(near, 4)] == want
 
 
 def test_parts_lose_nothing(v):
     for t in TEXTS:
-        assert "".join(pieces.parts(t)) == (" " + t if t else "")
+        assert "".join(v.parts(t)) == (" " + t if t else "")
+
+
+def test_whole_texts_are_best(v):
+    """Cutting a text changes no best score: every path of a few short texts is tried."""
+    for t in ("ab. cd", "a1b", " x  y", "né!a", "a▁\nb"):
+        inner = (" " + t).replace(" ", pieces.SPACE)
+        normal = {p: i for i, p in enumerate(v.pieces) if i > 2 and i not in v.bytes_.values()}
+        best = [0.0]
+        literal = {i for i, c in enumerate(" " + t) if v.is_spelled(c)}
+        for end in range(1, len(inner) + 1):
+            best.append(max([best[s] + v.scores[normal[inner[s:end]]] for s in range(end) if inner[s:end] in normal and not literal & set(range(s, end))] + ([best[end - 1] + v.unknown] if end - 1 in literal else [])))
+        assert best[-1] == sum(s for s, _ in pieces.solved(v, v.parts(t)))
+
+
+def test_memory_is_bounded(v, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    monkeypatch.setattr(pieces, "TOGETHER", 30)
+    known = pieces.Remembered(lambda parts: pieces.solved(v, parts))
+    rng = random.Random(3)
+    texts = [v.parts(" ".join(rng.choice("abcdefgh") * rng.randint(1, 80) for _ in range(rng.randint(0, 6)))) for _ in range(300)]
+    for parts, got in zip(texts, known.of(texts), strict=True):
+        assert got == pieces.solved(v, parts)
+    assert len(known.young) < 60 and len(known.old) < 60
 
 
 def test_cuts_cross_no_piece(v):
