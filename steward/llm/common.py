@@ -40,6 +40,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids (some 20 bytes each) that are broadcast at most, after they were counted; beyond that a join shuffles both sides.
+BROADCAST_IDS = 1_000_000
+
+
+def counted(ids: DataFrame) -> DataFrame:
+    """A table of ids, written and counted, with a broadcast hint if it has BROADCAST_IDS rows at most."""
+    ids = saved(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

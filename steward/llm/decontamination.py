@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, result_columns, saved
+from .common import counted, require, result_columns, saved
 
 WINDOW = 10
 K = 5
@@ -159,5 +159,5 @@ def bounded(df: DataFrame, counted: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all their columns, that no benchmark window occurs in."""
     bad, = result_columns(docs, "own")
-    hit = contaminated(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias(bad))
+    hit = counted(contaminated(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias(bad)))
     return docs.join(hit, docs[doc_id].eqNullSafe(hit[bad]), "left_anti")

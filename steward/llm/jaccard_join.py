@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
-from .common import longs, mixed, require, saved, shingles
+from .common import counted, longs, require, saved, shingles
 from .components import connected
 
 SHINGLE = 3
@@ -243,7 +243,7 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     each = F.transform("m", lambda x, i: F.transform(F.filter(F.col("m"), lambda y, j: (j > i) & meets(x, y)), lambda y: pair(x, y)))
     met = small.select(F.explode_outer(F.flatten(each)).alias("p")).where("p is not null").groupBy("p.src", "p.dst", "p.n").agg(F.count("*").alias("c"))
     asked = F.least(1 + F.floor(F.col("n") * EXTRA / 100), F.ceil(F.col("n") * percent / 100))
-    near = saved(connected(kept.union(met.where(F.col("c") >= asked).select("src", "dst"))))
+    near = connected(kept.union(met.where(F.col("c") >= asked).select("src", "dst")))
 
     # Each candidate's set is shipped once, to its neighbourhood.
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +252,8 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
             yield pd.DataFrame({"region": b["component"], "doc_id": b["doc_id"], "n": [len(g) for g in got], "grams": [g.tobytes() for g in got]})
 
     shape = "region long, doc_id long, n long, grams binary"
-    texts = docs.where("doc_id is not null").join(near.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.where("doc_id is not null").join(counted(near.withColumnRenamed("node", "doc_id")), "doc_id")
+    # rows that repeat an id come to the same region, where one of them is taken
     now = saved(texts.mapInPandas(sets_of, shape).withColumn("region", F.col("region").cast("string")).withColumn("old", F.lit(None).cast("long")))
     links = None
     for depth in range(ROUNDS + 1):
