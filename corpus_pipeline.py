@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steward.llm import decontamination, jaccard_join, lang_id, pii, segmentation
-from steward.llm.common import shared_folder, table
+from steward.llm.common import counted, shared_folder, table
 
 #: Documents go if less than this share of their letters is in one language.
 LEAST_SHARE = 0.3
@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the least doc_id of each group of linked documents."""
     groups = jaccard_join.component_ids(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = counted(groups.where("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
