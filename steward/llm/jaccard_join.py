@@ -1,13 +1,14 @@
 """Exact Jaccard join of documents as a join in metric space, and its connected components.
 
-The distance 1 - J is a metric on shingle sets; two sets link at a distance of TAU = 0.1 at most. What is done:
+The distance 1 - J is a metric on shingle sets; two sets link at a distance of TAU at most (0.1 unless
+told otherwise). What is done:
 
 1. Equal sets are folded into one representative, so groups of exact copies cost one row.
 2. The pivots of the whole space are the one-shingle sets, in one order for all (rare first by a bounded sketch of the corpus,
    then by hash). A set's nearest pivot, ties broken by the order, is its first shingle: its Voronoi region. Two sets within TAU
    share l shingles among the first |S| - overlap + l of either, for any l up to the overlap, so a set is replicated to these
    regions and no more (the window). A region falls apart where the sizes allow no link (triangle inequality with the
-   empty set: sizes within 9/10, and a place in the order bounds what can be shared). Regions carry ids, sizes and places only.
+   empty set: sizes within the threshold, and a place in the order bounds what can be shared). Regions carry ids, sizes and places only.
    l is EXTRA of the size: two sets that meet in small regions only (SMALL sets at most) must meet in l of them;
    sets that meet in a larger one are kept together without counting.
 3. What shares a region is a candidate neighbourhood (components of the candidate graph). Its sets are shipped once. One with
@@ -38,6 +39,8 @@ from .components import connected
 SHINGLE = 3
 #: Links need PERCENT * |x | y| <= 100 * |x & y|.
 PERCENT = 90
+#: Words and percentage of near duplicates where nothing else is asked for.
+NEAR = {"k": 5, "percent": 80}
 #: Counters of the corpus sketch (8 bytes each, summed over partitions; its size doesn't depend on the corpus).
 SKETCH_BITS = 20
 SKETCH = 1 << SKETCH_BITS
@@ -83,7 +86,7 @@ def window(n: int, percent: int = PERCENT) -> tuple[int, np.ndarray]:
     return count, np.minimum(reach, n * 100 // percent)
 
 
-def sketch(docs: DataFrame, text: str) -> np.ndarray:
+def sketch(docs: DataFrame, text: str, k: int = SHINGLE) -> np.ndarray:
     """Level of each counter: how many times the mean count, in steps of a fourth of a power of two. Counts all shingles of all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +94,7 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
         for b in batches:
             held, size = [], 0
             for t in [*b["text"], None]:
-                held.append((shingles(t, SHINGLE, distinct=False) >> SHIFT).astype(np.int32))
+                held.append((shingles(t, k, distinct=False) >> SHIFT).astype(np.int32))
                 size += len(held[-1])
                 if size > SKETCH or t is None:
                     total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
@@ -202,8 +205,8 @@ def join_rows(sets: Sets, rows: np.ndarray, groups: Groups, percent: int, depth:
                 compare(sets, np.unique(np.concatenate([x, y])), groups, percent)
 
 
-def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs.
+def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs: links at percent of Jaccard similarity of k-word shingles.
 
     Null or blank texts have no shingles and link with nothing. Rows that repeat a doc_id share its component; a null
     doc_id is an id of its own that nothing reaches: component_id null. Extra columns are not read.
@@ -211,13 +214,13 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     require(docs, doc_id, text)
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    level = spark.sparkContext.broadcast(sketch(docs, "text"))  # bounded: SKETCH bytes
+    level = spark.sparkContext.broadcast(sketch(docs, "text", k))  # bounded: SKETCH bytes
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for t in b["text"]:
-                g = shingles(t, SHINGLE)
+                g = shingles(t, k)
                 count, reach = window(len(g), percent) if len(g) else (0, np.empty(0, int))
                 out.append((len(g), xxh3_128_digest(g.tobytes()) if len(g) else None, longs(ranked(g, level.value)[:count]), reach))
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": [o[0] for o in out], "same": [o[1] for o in out], "first": [o[2] for o in out], "reach": [o[3] for o in out]})
@@ -248,7 +251,7 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     # Each candidate's set is shipped once, to its neighbourhood.
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [shingles(t, SHINGLE) for t in b["text"]]
+            got = [shingles(t, k) for t in b["text"]]
             yield pd.DataFrame({"region": b["component"], "doc_id": b["doc_id"], "n": [len(g) for g in got], "grams": [g.tobytes() for g in got]})
 
     shape = "region long, doc_id long, n long, grams binary"

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from compare import actual, duck, expected
 from helpers import documents
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from steward.llm.components import connected
 from steward.llm.oracles import OP8
 
 
-def brute(rows):
-    sets = {i: set(J.shingles(t, 3).tolist()) for i, t in rows if i is not None}
+def brute(rows, k=3, percent=90):
+    sets = {i: set(J.shingles(t, k).tolist()) for i, t in rows if i is not None}
     up = {i: i for i in sets}
 
     def root(i):
@@ -23,7 +24,7 @@ def brute(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 90 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -58,6 +59,13 @@ def test_brute_force(spark):
         assert result(J.component_ids(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_other_thresholds(spark):
+    rows = fixture(random.Random(5))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(J.component_ids(df, **J.NEAR)) == brute(rows, **J.NEAR)
+    assert result(J.component_ids(df, percent=60, k=1)) == brute(rows, 1, 60)
+
+
 def test_recursion_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "LIMIT_SETS", 12)
     monkeypatch.setattr(J, "LEAF", 6)
@@ -77,14 +85,15 @@ def test_rows_join_exactly(monkeypatch):
     assert len(groups.links) < len(grams)
 
 
-def test_window_is_enough():
-    for n in range(1, 150):
-        count, reach = J.window(n)
-        l = J.least_shared(n)  # noqa: E741
-        for m in range(n, 170):
-            other, back = J.window(m)
+@pytest.mark.parametrize("percent", [90, 80, 55])
+def test_window_is_enough(percent):
+    for n in range(1, 110):
+        count, reach = J.window(n, percent)
+        l = J.least_shared(n, percent)  # noqa: E741
+        for m in range(n, 140):
+            other, back = J.window(m, percent)
             for both in range(1, n + 1):
-                if J.linked(both, n, m):
+                if J.linked(both, n, m, percent):
                     # the l-th shared shingle comes after l - 1 shared ones and all that aren't shared at the latest
                     assert l <= both
                     assert n - both + l - 1 < count and m <= reach[n - both + l - 1]

@@ -2,9 +2,10 @@ import corpus_pipeline as P
 from compare import duck, expected
 from helpers import documents
 from pyspark.sql import functions as F
+from test_jaccard_join import brute
 
-from steward.llm import lang_id, pieces, pii, segmentation
-from steward.llm.oracles import OP6, OP8
+from steward.llm import jaccard_join, lang_id, pieces, pii, segmentation
+from steward.llm.oracles import OP6
 
 
 def ids(df):
@@ -21,9 +22,8 @@ def test_stages_against_brute_force(spark, sf_dir):
     want = {r["doc_id"] for r in docs.collect() if (p := label.predict(r["text"]))[0] != "und" and p[1] >= P.LEAST_SHARE}
     assert ids(kept) == want and len(want) > 0.9 * docs.count()
     kept = P.near_duplicates(spark, docs, sf_dir)
-    columns, rows = expected(con, OP8)
-    own, first = columns.index("doc_id"), columns.index("component_id")
-    assert kept.columns == docs.columns and ids(kept) == {r[own] for r in rows if r[own] == r[first]}
+    groups = brute([(r["doc_id"], r["text"]) for r in docs.collect()], **jaccard_join.NEAR)
+    assert kept.columns == docs.columns and ids(kept) == {i for i, (_, first) in groups.items() if i == first}
     kept = P.benchmark(spark, docs, sf_dir)
     columns, rows = expected(con, OP6)
     assert kept.columns == docs.columns and ids(kept) == {r[columns.index("doc_id")] for r in rows if not r[columns.index("contaminated")]}
