@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least doc_id of each group of linked documents."""
-    groups = jaccard_join.component_ids(docs)
+    """Keep the least doc_id of each group of near duplicates (five words, a similarity of 0.8 or more, directly or by others)."""
+    groups = jaccard_join.component_ids(docs, **jaccard_join.NEAR)
     gone = counted(groups.where("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
