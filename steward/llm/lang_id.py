@@ -203,21 +203,27 @@ class Labeller:
         return [(names[labels[a]], int(n)) for a, n in zip(cuts, np.add.reduceat(sizes, cuts), strict=True)]
 
     def predict(self, text: str | None) -> tuple[str, float, int]:
-        """(language, share of the letters, number of spans)."""
+        """(language, share of the letters, number of spans).
+
+        A text whose letters are in scripts of no language gets the language of the greatest score all the same, with a share of 0.
+        """
         spans = self.spans(text)
         letters: Counter = Counter()
         for name, n in spans:
             letters[name] += n
-        if not letters:
+        if not letters or not self.model.langs:
             return UNKNOWN, 0.0, 0
         name = min(letters, key=lambda x: (x == UNKNOWN, -letters[x], x))
-        return name, letters[name] / sum(letters.values()) if name != UNKNOWN else 0.0, len(spans)
+        if name == UNKNOWN:
+            total = sum(self.model.weights[grams(part)[0]].sum(axis=0) for part in blocks(words_of(text or "")))
+            return self.model.langs[int(np.argmax(total))], 0.0, len(spans)
+        return name, letters[name] / sum(letters.values()), len(spans)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """docs plus lang_pred, score (share of letters in that language) and n_spans.
 
-    Null text, or one without a letter: "und", 0. No other column is read. Repeated rows give equal results; an
+    Null text, or one without a letter: "und", 0. Letters in scripts of no learned language: some learned one, 0. No other column is read. Repeated rows give equal results; an
     empty table an empty one; names that clash get a suffix. A text is handled whole, at any length.
     """
     require(docs, text)
