@@ -217,9 +217,11 @@ def dq_resolve_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(CONFIG_RULES.frame(spark), PATTERNS.frame(spark)).select("FullFieldName", "PatternID", "PatternName", "IsPatternAllowed", "Specificity")
 
 
+CONFIG_FIELDS = Values("_ID int,FullFieldName string", [(1, "s.part.name"), (2, "s.part.type"), (2, "s.cust.name")])
+
+
 def dq_config_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = Values("_ID int,FullFieldName string", [(1, "s.part.name"), (2, "s.part.type"), (2, "s.cust.name")]).frame(spark)
-    return config.issues(fields, CONFIG_VALUES.frame(spark), CONFIG_RULES.frame(spark), CONFIG_CUSTOM.frame(spark), mapping_frame(spark, ALL), PATTERNS.frame(spark))
+    return config.issues(CONFIG_FIELDS.frame(spark), CONFIG_VALUES.frame(spark), CONFIG_RULES.frame(spark), CONFIG_CUSTOM.frame(spark), mapping_frame(spark, ALL), PATTERNS.frame(spark))
 
 
 def dq_rule_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,3 +289,17 @@ ORACLES |= {
     "dq_rule_listing": f"""select 's.part.name' as FullFieldName, 'L01' as Level, 1 as RuleID, 'length 8..14' as Rule, true as IsAllowed, 'curated' as TargetSchemaName, 'part' as TargetTableName, 'p_name' as TargetFieldName
       union all select 's.part.name', 'L03', _ID, PatternName, false, 'curated', 'part', 'p_name' from {PATTERNS.sql} p where PatternCategory in ('DataEmptiness', 'SpaceFound') or PatternSubCategory = 'Symbol'""",
 }
+_id_sources = {"masterField": CONFIG_FIELDS.sql, "configFieldValues": CONFIG_VALUES.sql, "configFieldAllowedPattern": CONFIG_RULES.sql, "configCustomQuery": CONFIG_CUSTOM.sql, "mapDQChecks": _map.replace("MappingID", "_ID")}
+ORACLES["dq_config_issues"] = " union all ".join(
+    [f"select 'duplicate_id' as CheckName, '{t}' as TableName, _ID::varchar as KeyText, count(*) as Count from {sql} x group by _ID having count(*) > 1" for t, sql in _id_sources.items()]
+    + [f"select 'duplicate_rule', 'configFieldAllowedPattern', concat_ws('|', FullFieldName, coalesce(PatternCategory, ''), coalesce(PatternSubCategory, ''), coalesce(PatternName, '')), count(*) from {CONFIG_RULES.sql} x group by 3 having count(*) > 1"]
+    + [f"select 'unknown_reference', '{t}', FullFieldName, count(*) from {_id_sources[t]} x where FullFieldName not in (select FullFieldName from {CONFIG_FIELDS.sql} f) group by 3" for t in ("configFieldAllowedPattern", "configCustomQuery", "mapDQChecks")]
+    + [f"select 'unknown_{c}', 'configFieldAllowedPattern', {c}, count(*) from {CONFIG_RULES.sql} x where {c} is not null and {c} not in (select {c} from {PATTERNS.sql} p) group by 3" for c in ("PatternCategory", "PatternName")]
+)
+_hint = "case when regexp_matches(column_name, 'name') then {0} when regexp_matches(column_name, 'code|flag|status|priority') then {1} else {2} end"
+_typed = "case when column_type in ('INTEGER', 'BIGINT') and regexp_matches(column_name, '(id|key)$') then {0} when column_type = 'DOUBLE' then {1} when column_type = 'TIMESTAMP' then {2} else {3} end"
+ORACLES["dq_suggest"] = " union all ".join(
+    f"""select '{t}.' || column_name as FullFieldName, column_name as ColumnName, {_typed.format("'reference id'", "'decimal'", "'timestamp'", _hint.format("'name'", "'code'", "'free text'"))} as Kind,
+      {_typed.format(17, 15, 21, _hint.format(2, 3, 2))} as CategoryID, {_typed.format("'DataEmptiness'", "'DataEmptiness'", "'DataEmptiness'", _hint.format("'DataEmptiness,InvalidKeyword,FullyDuplicatedCharacter'", "'DataEmptiness,InvalidKeyword'", "'DataEmptiness'"))} as Block from (describe {t})"""
+    for t in ("customer", "orders", "events")
+)
