@@ -17,6 +17,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import nsmallest
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -37,6 +39,8 @@ BATCH = 4096
 RATE = 0.15
 ROUNDS = 1
 FAN_IN = 32
+#: Different words that a partition counts before it sends them, and groups that words are sent in.
+COUNTED, GROUPS = 150_000, 1024
 _words = re.compile(r"\w+").findall
 TOKENS = VOCABULARY + BUCKETS
 EDGE = TOKENS  # the boundary token; predicted never
@@ -153,27 +157,62 @@ class Network:
 
 
 def lexicon(docs: DataFrame, text: str) -> Lexicon:
-    """All words of all texts are counted; a partition sends each word once for REMEMBERED different ones it has met."""
+    """All words of all texts are counted.
+
+    A partition sends each word once for every COUNTED different ones it has met, packed by a hash of the word into GROUPS rows; a
+    reducer adds up one group at a time and keeps the VOCABULARY most frequent words and the sums of the buckets.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
+
+        def packed() -> pd.DataFrame:
+            groups: dict[int, list[str]] = {}
+            for w, n in c.items():
+                groups.setdefault(crc32(w.encode("utf-8", "surrogatepass")) // BUCKETS % GROUPS, []).append(f"{w} {n}")
+            c.clear()
+            return pd.DataFrame({"g": pd.Series([*groups], dtype="int64"), "words": pd.Series([" ".join(x) for x in groups.values()], dtype=object)})
+
         for b in batches:
             for t in b["text"]:
                 c.update(_words(t.lower()) if t else ())
-                if len(c) > REMEMBERED:
-                    yield pd.DataFrame({"word": [*c], "n": [*c.values()]})
-                    c.clear()
-        yield pd.DataFrame({"word": pd.Series([*c], dtype=str), "n": pd.Series([*c.values()], dtype="int64")})
-
-    counts = saved(docs.select(F.col(text).cast("string").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    ids = {r["word"]: i for i, r in enumerate(top)}
+                if len(c) > COUNTED:
+                    yield packed()
+        yield packed()
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, top = np.zeros(BUCKETS, np.int64), []
+        now, c = None, Counter()
+
+        def close() -> None:
+            nonlocal top
+            for w, n in c.items():
+                sums[bucket(w) - VOCABULARY] += n
+            top = nsmallest(VOCABULARY, chain(top, ((-n, w) for w, n in c.items())))
+            c.clear()
+
+        for b in batches:
+            for g, words in zip(b["g"], b["words"], strict=True):
+                if g != now:
+                    close()
+                    now = g
+                found = words.split(" ")
+                for w, n in zip(found[::2], found[1::2], strict=True):
+                    c[w] += int(n)
+        close()
+        i = np.flatnonzero(sums)
+        yield pd.DataFrame({"word": [w for _, w in top] + [None] * len(i), "b": [bucket(w) - VOCABULARY for _, w in top] + i.tolist(), "n": [-n for n, _ in top] + sums[i].tolist()}).astype({"word": object, "b": "int64", "n": "int64"})
+
+    packs = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(count, "g long, words string")
+    counts = saved(packs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g").mapInPandas(add, "word string, b long, n long"))
+    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     total = np.zeros(TOKENS)
     total[: len(top)] = [r["n"] for r in top]
-    rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in ids], "word string")), "word", "left_anti")  # VOCABULARY words
-    for r in rest.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect():
+    for r in counts.where("word is null").groupBy("b").agg(F.sum("n").alias("n")).collect():
         total[VOCABULARY + r["b"]] = r["n"]
-    return Lexicon(ids, total)
+    for r in top:  # frequent words have tokens of their own
+        total[VOCABULARY + r["b"]] -= r["n"]
+    return Lexicon({r["word"]: i for i, r in enumerate(top)}, total)
 
 
 def encoded(docs: DataFrame, known: Lexicon, text: str) -> DataFrame:
@@ -226,10 +265,10 @@ def train(docs: DataFrame, text: str, known: Lexicon, rounds: int = ROUNDS) -> n
 
         sums = saved(rows.mapInPandas(learn, shape))
         left = sums.count()
-        while left > FAN_IN:
+        while left > 1:
             left = -(-left // FAN_IN)
             sums = sums.repartition(left).mapInPandas(total, shape)
-        got = sums.collect()  # FAN_IN rows of the network's size at most
+        got = sums.collect()  # one row of the network's size
         if got:
             weights = (sum(np.frombuffer(r["weights"], np.float64) for r in got) / sum(r["n"] for r in got)).astype(np.float32)
     return weights
