@@ -22,13 +22,14 @@ import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import REMEMBERED
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters of new parts that are solved in one pass.
-TOGETHER = 200_000
+TOGETHER = 50_000
+#: Parts that a Python worker remembers at most (some 300 bytes each).
+PARTS_REMEMBERED = 300_000
 #: Longer parts seldom come again and aren't remembered.
 LONG = 64
 LEAST = float("-inf")
@@ -143,7 +144,7 @@ class Remembered:
         for p in new:
             if len(p) > LONG:
                 del young[p]
-        if len(young) > REMEMBERED // 2:
+        if len(young) > PARTS_REMEMBERED // 2:
             self.old, self.young = young, {}
 
 

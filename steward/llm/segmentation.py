@@ -18,7 +18,8 @@ from collections.abc import Iterator
 from hashlib import sha256
 from heapq import nsmallest
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -26,6 +27,8 @@ from .common import require, result_columns, schema_with
 from .pieces import LEAST, MODEL, Remembered, Vocabulary, broadcast, vocabulary
 
 N_BEST = 3
+#: Rows handled at a time.
+ROWS = 256
 
 
 class Lattice:
@@ -144,12 +147,14 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n: int = N_B
     names = result_columns(docs, "ids", "scores", "sizes", "decoded")
     held = broadcast(docs, model)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, got in segmented(batches, text, held, n):
-            yield b.assign(**dict(zip(names, ([array("i", g[0]).tolist() for g in got], [g[1] for g in got], [g[2] for g in got], [g[3] for g in got]), strict=True)))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(g[0]) // 4 for g in got)]), pa.int32()), pa.Array.from_buffers(pa.int32(), sum(len(g[0]) for g in got) // 4, [None, pa.py_buffer(b"".join([g[0] for g in got]))]))
+            new = [ids, pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array([g[2] for g in got], pa.list_(pa.int64())), pa.array([g[3] for g in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
 
     kinds = (T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType()), T.StringType())
-    return docs.mapInPandas(work, schema_with(docs, *zip(names, kinds, strict=True)))
+    return docs.mapInArrow(work, schema_with(docs, *zip(names, kinds, strict=True)))
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, n: int = N_BEST) -> DataFrame:
@@ -157,17 +162,27 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
     require(docs, doc_id, text)
     held = broadcast(docs, model)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, got in segmented(batches, text, held, n):
-            yield pd.DataFrame({"doc_id": b[doc_id], "n_pieces": [g[2][0] for g in got], "ids_sha256": [sha256(g[0]).hexdigest() for g in got],
-                                "scores": [g[1] for g in got], "sizes": [g[2] for g in got], "round_trip": [g[3] == (t or "") for g, t in zip(got, b[text], strict=True)]})
+            same = [g[3] == (t or "") for g, t in zip(got, b.column(text).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                b.column(doc_id), pa.array([g[2][0] for g in got], pa.int64()), pa.array([sha256(g[0]).hexdigest() for g in got], pa.string()),
+                pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array([g[2] for g in got], pa.list_(pa.int64())), pa.array(same, pa.bool_()),
+            ], names=["doc_id", "n_pieces", "ids_sha256", "scores", "sizes", "round_trip"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInPandas(work, f"doc_id {kind}, n_pieces long, ids_sha256 string, scores array<double>, sizes array<long>, round_trip boolean")
+    return docs.select(doc_id, text).mapInArrow(work, f"doc_id {kind}, n_pieces long, ids_sha256 string, scores array<double>, sizes array<long>, round_trip boolean")
 
 
-def segmented(batches: Iterator[pd.DataFrame], column: str, held, n: int) -> Iterator[tuple[pd.DataFrame, list]]:
-    """Per batch: (ids as bytes, scores, sizes, decoded) of each text."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ROWS rows: what is made of a batch stays small beside the batch itself."""
+    for b in batches:
+        for low in range(0, b.num_rows, ROWS):
+            yield b.slice(low, ROWS)
+
+
+def segmented(batches: Iterator[pa.RecordBatch], column: str, held, n: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Per few rows: (ids as bytes, scores, sizes, decoded) of each text."""
     v = vocabulary(held)
 
     def first(parts: list[str]) -> list[tuple[float, int, float, bytes]]:
@@ -182,9 +197,9 @@ def segmented(batches: Iterator[pd.DataFrame], column: str, held, n: int) -> Ite
     try:
         known = Remembered(first)
         more = Remembered(lambda parts: [[(s, len(ids)) for s, ids in paths] for paths in n_best(v, parts, n)])
-        for b in batches:
+        for b in slices(batches):
             rows, wanted = [], []
-            texts = [v.parts(t or "") for t in b[column]]
+            texts = [v.parts(t or "") for t in b.column(column).to_pylist()]
             for parts, got in zip(texts, known.of(texts), strict=True):
                 raw = b"".join([g[3] for g in got])
                 wanted.append([parts[p] for p in nearest([g[2] for g in got], n)])

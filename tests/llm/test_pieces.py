@@ -86,7 +86,7 @@ def test_whole_texts_are_best(v):
 
 
 def test_memory_is_bounded(v, monkeypatch):
-    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    monkeypatch.setattr(pieces, "PARTS_REMEMBERED", 20)
     monkeypatch.setattr(pieces, "TOGETHER", 30)
     known = pieces.Remembered(lambda parts: pieces.solved(v, parts))
     rng = random.Random(3)
