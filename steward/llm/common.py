@@ -6,10 +6,12 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words that a Python worker remembers at most; the memory is emptied when full.
 REMEMBERED = 300_000
@@ -50,6 +52,23 @@ def counted(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+#: Rows that are handled at a time where texts are turned into other things.
+ROWS = 256
+
+
+def map_rows(df: DataFrame, work, ddl: str) -> DataFrame:
+    """mapInPandas for a function of small frames: ROWS rows of a batch at a time, so that what is made of a batch stays small."""
+    shape = T.StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(shape)
+
+    def run(batches):
+        frames = (b.slice(low, ROWS).to_pandas() for b in batches for low in range(0, b.num_rows, ROWS))
+        for out in work(frames):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, shape)
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

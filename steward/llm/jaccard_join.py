@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
-from .common import counted, longs, require, saved, shingles
+from .common import counted, longs, map_rows, require, saved, shingles
 from .components import connected
 
 SHINGLE = 3
@@ -90,15 +90,21 @@ def sketch(docs: DataFrame, text: str, k: int = SHINGLE) -> np.ndarray:
     """Level of each counter: how many times the mean count, in steps of a fourth of a power of two. Counts all shingles of all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SKETCH, np.int32)
-        for b in batches:
+        total, held, size = np.zeros(SKETCH, np.int32), [], 0
+
+        def flush() -> None:
+            nonlocal total, held, size
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
             held, size = [], 0
-            for t in [*b["text"], None]:
+
+        for b in batches:
+            for t in b["text"]:
                 held.append((shingles(t, k, distinct=False) >> SHIFT).astype(np.int32))
                 size += len(held[-1])
-                if size > SKETCH or t is None:
-                    total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
-                    held, size = [], 0
+                if size > SKETCH:
+                    flush()
+        flush()
         yield pd.DataFrame({"counts": [total.tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +114,7 @@ def sketch(docs: DataFrame, text: str, k: int = SHINGLE) -> np.ndarray:
                 total += np.frombuffer(c, np.int32)
         yield pd.DataFrame({"counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    parts = saved(docs.select(F.col(text).cast("string").alias("text")).mapInPandas(count, "counts binary"))
+    parts = saved(map_rows(docs.select(F.col(text).cast("string").alias("text")), count, "counts binary"))
     n = parts.count()
     while n > 1:  # in rounds, so that no task adds up more than 32 of them
         n = -(-n // 32)
@@ -225,7 +231,7 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
                 out.append((len(g), xxh3_128_digest(g.tobytes()) if len(g) else None, longs(ranked(g, level.value)[:count]), reach))
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": [o[0] for o in out], "same": [o[1] for o in out], "first": [o[2] for o in out], "reach": [o[3] for o in out]})
 
-    rows = saved(docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(regions, "doc_id string, n long, same binary, first array<long>, reach array<long>").withColumn("doc_id", F.col("doc_id").cast("long")))
+    rows = saved(map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("string")), regions, "doc_id string, n long, same binary, first array<long>, reach array<long>").withColumn("doc_id", F.col("doc_id").cast("long")))
     known = rows.where("same is not null and doc_id is not null")
     reps = saved(known.groupBy("same").agg(F.min("doc_id").alias("rep")))
 
@@ -257,7 +263,7 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     shape = "region long, doc_id long, n long, grams binary"
     texts = docs.where("doc_id is not null").join(counted(near.withColumnRenamed("node", "doc_id")), "doc_id")
     # rows that repeat an id come to the same region, where one of them is taken
-    now = saved(texts.mapInPandas(sets_of, shape).withColumn("region", F.col("region").cast("string")).withColumn("old", F.lit(None).cast("long")))
+    now = saved(map_rows(texts, sets_of, shape).withColumn("region", F.col("region").cast("string")).withColumn("old", F.lit(None).cast("long")))
     links = None
     for depth in range(ROUNDS + 1):
         sizes = now.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("grams_in"), F.max("old").alias("old"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_class, require, result_columns, schema_with
+from .common import crc_class, map_rows, require, result_columns, schema_with
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMode
 
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     langs = sorted(r["lang"] for r in top)
-    counts = rows.where(F.col("lang").isin(langs)).mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = map_rows(rows.where(F.col("lang").isin(langs)), count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toPandas()  # at most MAX_LANGS x (BUCKETS + scripts) rows
     at = {name: i for i, name in enumerate(langs)}
     col = got["lang"].map(at).to_numpy(dtype=int)
