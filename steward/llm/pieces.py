@@ -114,8 +114,8 @@ class Remembered:
     and what is used again becomes young.
     """
 
-    def __init__(self, solve: Callable[[list[str]], list]):
-        self.solve, self.young, self.old = solve, {}, {}
+    def __init__(self, solve: Callable[[list[str]], list], together: int = TOGETHER, limit: int = PARTS_REMEMBERED):
+        self.solve, self.together, self.limit, self.young, self.old = solve, together, limit, {}, {}
 
     def of(self, texts: list[list[str]]) -> Iterator[list]:
         """The values of the parts of each text, in order. New parts of several texts are solved together."""
@@ -130,7 +130,7 @@ class Remembered:
                     else:
                         new.add(p)
                         size += len(p)
-            if size > TOGETHER:
+            if size > self.together:
                 yield from self._settle(held, list(new))
                 held, new, size = [], set(), 0
         yield from self._settle(held, list(new))
@@ -144,7 +144,7 @@ class Remembered:
         for p in new:
             if len(p) > LONG:
                 del young[p]
-        if len(young) > PARTS_REMEMBERED // 2:
+        if len(young) > self.limit // 2:
             self.old, self.young = young, {}
 
 

@@ -27,8 +27,8 @@ from .common import require, result_columns, schema_with
 from .pieces import LEAST, MODEL, Remembered, Vocabulary, broadcast, vocabulary
 
 N_BEST = 3
-#: Rows handled at a time.
-ROWS = 256
+#: Rows handled at a time, characters solved together, parts remembered: little memory for a step among others, or more for less work.
+LEAN, WIDE = (256, 50_000, 300_000), (2000, 200_000, 600_000)
 
 
 class Lattice:
@@ -163,7 +163,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
     held = broadcast(docs, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, got in segmented(batches, text, held, n):
+        for b, got in segmented(batches, text, held, n, WIDE):
             same = [g[3] == (t or "") for g, t in zip(got, b.column(text).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 b.column(doc_id), pa.array([g[2][0] for g in got], pa.int64()), pa.array([sha256(g[0]).hexdigest() for g in got], pa.string()),
@@ -174,14 +174,14 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
     return docs.select(doc_id, text).mapInArrow(work, f"doc_id {kind}, n_pieces long, ids_sha256 string, scores array<double>, sizes array<long>, round_trip boolean")
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of ROWS rows: what is made of a batch stays small beside the batch itself."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows: what is made of a batch stays small beside the batch itself."""
     for b in batches:
-        for low in range(0, b.num_rows, ROWS):
-            yield b.slice(low, ROWS)
+        for low in range(0, b.num_rows, rows):
+            yield b.slice(low, rows)
 
 
-def segmented(batches: Iterator[pa.RecordBatch], column: str, held, n: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+def segmented(batches: Iterator[pa.RecordBatch], column: str, held, n: int, use: tuple[int, int, int] = LEAN) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Per few rows: (ids as bytes, scores, sizes, decoded) of each text."""
     v = vocabulary(held)
 
@@ -195,9 +195,9 @@ def segmented(batches: Iterator[pa.RecordBatch], column: str, held, n: int) -> I
 
     gc.disable()  # millions of tuples, none in a cycle; counting references frees them
     try:
-        known = Remembered(first)
+        known = Remembered(first, *use[1:])
         more = Remembered(lambda parts: [[(s, len(ids)) for s, ids in paths] for paths in n_best(v, parts, n)])
-        for b in slices(batches):
+        for b in slices(batches, use[0]):
             rows, wanted = [], []
             texts = [v.parts(t or "") for t in b.column(column).to_pylist()]
             for parts, got in zip(texts, known.of(texts), strict=True):

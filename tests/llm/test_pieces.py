@@ -85,10 +85,8 @@ def test_whole_texts_are_best(v):
         assert best[-1] == sum(s for s, _ in pieces.solved(v, v.parts(t)))
 
 
-def test_memory_is_bounded(v, monkeypatch):
-    monkeypatch.setattr(pieces, "PARTS_REMEMBERED", 20)
-    monkeypatch.setattr(pieces, "TOGETHER", 30)
-    known = pieces.Remembered(lambda parts: pieces.solved(v, parts))
+def test_memory_is_bounded(v):
+    known = pieces.Remembered(lambda parts: pieces.solved(v, parts), 30, 20)
     rng = random.Random(3)
     texts = [v.parts(" ".join(rng.choice("abcdefgh") * rng.randint(1, 80) for _ in range(rng.randint(0, 6)))) for _ in range(300)]
     for parts, got in zip(texts, known.of(texts), strict=True):
