@@ -44,6 +44,10 @@ STREET_BEFORE = ("rue ", "calle ", "avenida ")
 _house_before = re.compile(r"\d{1,5}[a-z]?,? (?:[^\W\d_]+ ){0,3}\Z", re.I)
 _house_after = re.compile(r",? \d{1,5}[a-z]?\b", re.I)
 _after_cue = re.compile(r"(?:[ _](?:number|no\.?|nr\.?|is|key))?[ ]?[:=#]?[ ]?[\"']?")
+#: A token that ends in a number, and what may follow it: digits, a single space or hyphen between two groups.
+_number = re.compile(r"(?:\A|[^A-Za-z0-9])([A-Za-z]{0,4}[0-9]+)\Z")
+_groups = re.compile(r"(?: [0-9]++(?:-[0-9]++)*+(?![A-Za-z0-9_+/=~#$%^&*-]|[.!][A-Za-z0-9]))*+")
+_iban = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: [A-Za-z0-9]{4}){2,7}(?: [A-Za-z0-9]{1,3}(?![A-Za-z0-9]))?")
 _name_after = re.compile(r"(?:[^\W\d_]+ ?){1,4}")
 
 
@@ -128,17 +132,35 @@ def phone_at(text: str, at: int) -> tuple[int, int, bool] | None:
     return at, end, 10 <= digits <= 15
 
 
-def account_at(text: str, end: int, start: int) -> tuple[int, int, bool] | None:
-    """What follows a cue that ends at end (a sign or "number"/"is" may stand between), and whether it is a number or secret."""
+def iban_end(text: str, at: int) -> int:
+    """The end of the longest run of groups from at on, single spaces between them, that has an IBAN's check digits; at if none has."""
+    m, best = _iban.match(text, at), at
+    for stop in [i for i in range(at, m.end() + 1) if i == m.end() or text[i] == " "] if m else ():
+        found = text[at:stop].replace(" ", "").upper()
+        if 15 <= len(found) <= 34 and not text[stop : stop + 1].isalnum() and int("".join(str(int(c, 36)) for c in found[4:] + found[:4])) % 97 == 1:
+            best = stop
+    return best
+
+
+def account_at(text: str, end: int, start: int, floor: int) -> tuple[int, int, int, bool] | None:
+    """What follows a cue that ends at end (a sign or "number"/"is" may stand between): start, end, how far was walked, and
+    whether it is a number or secret. None if it isn't a cue, or if what follows starts before floor.
+
+    After a number (four letters at most, then digits) more groups of digits or of an IBAN may follow, a space between them.
+    """
     if start and (text[start - 1].isalnum()) or end < len(text) and text[end].isalnum():
         return None
-    m = _after_cue.match(text, end)
-    at = m.end()
-    stop = run_right(text, at, SECRET)
+    at = _after_cue.match(text, end).end()
+    if at < floor:
+        return None
+    walked = stop = run_right(text, at, SECRET)
     while stop > at and text[stop - 1] in ".!":
         stop -= 1
-    found = text[at:stop]
-    return at, stop, 6 <= len(found) and sum(c in DIGITS for c in found) >= 2
+    if stop == walked and (number := _number.search(text[at:stop])):
+        groups = _groups.match(text, stop).end()
+        stop = walked = max(groups, iban_end(text, at + number.start(1)))
+    found = text[at:stop].replace(" ", "")
+    return at, stop, walked, 6 <= len(found) and sum(c in DIGITS for c in found) >= 2
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -177,9 +199,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if stop < len(text) and text[stop] == "@" and ":" in text[end:stop] and stop > end + 2:
                 out.append(("login", end, stop))
         elif kind == "account":
-            if last_char >= last["account"] and (m := account_at(text, last_char + 1, last_char + 1 - n)):
-                last["account"] = m[1]  # what failed isn't walked over again: a part of it has no more digits
-                if m[2]:
+            if m := account_at(text, last_char + 1, last_char + 1 - n, last["account"]):
+                last["account"] = m[2]  # no number starts in what was walked over (a part of what failed has no more digits); a cue may
+                if m[3]:
                     out.append(("account", m[0], m[1]))
         elif kind == "after":
             end, start = last_char + 1, last_char + 1 - n

@@ -63,6 +63,24 @@ def test_cues_add_spans():
     assert pii.find("the secret of accounting, token ring, a lane") == []
 
 
+def test_cues_within_what_failed_are_tried():
+    for text, secret in (
+        ("bank account IBAN: DE89370400440532013000", "DE89370400440532013000"), ("account password: tr0ub4dor3", "tr0ub4dor3"), ("account routing 021000021", "021000021"),
+        ("secret token: ab12cd34", "ab12cd34"), ("password: ab12-token: zz99yy88", "zz99yy88"), ("account token=12 34 56 and", "token=12 34 56"),
+    ):
+        assert secret in [text[a:b] for k, a, b in pii.find(text) if k == "account"], text
+
+
+def test_numbers_in_groups():
+    for number in ("DE89 3704 0044 0532 0130 00", "1234 5678 9012", "12-34-56 12345678", "GB29 NWBK 6016 1331 9268 19", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "123456"):
+        for after in ("", ".", " and so on", ", then", " THEN 5th", " 2.5 of"):
+            text = f"the account {number}{after}"
+            assert ("account", 12, 12 + len(number)) in pii.find(text), text
+    assert pii.find("account 12 34 of them") == [] and pii.find("token ring 1234 5678") == []
+    for t in ("token=1 2 " * 20000, "account " * 20000, "account 1 " * 20000, "token " + "1 " * 100000, "token=" * 20000 + " 1" * 20000, "iban de89 abcd " * 10000, "token 1" + "-1" * 100000 + "x"):
+        pii.find(t)
+
+
 def test_redaction_leaves_nothing():
     text = "mail a@b.co or +1 (555) 010-9999, 10.0.0.1 and 4111 1111 1111 1111 end"
     assert pii.redact(text) == "mail [EMAIL] or [PHONE], [IP] and [CARD] end"
