@@ -264,6 +264,15 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     texts = docs.where("doc_id is not null").join(counted(near.withColumnRenamed("node", "doc_id")), "doc_id")
     # rows that repeat an id come to the same region, where one of them is taken
     now = saved(map_rows(texts, sets_of, shape).withColumn("region", F.col("region").cast("string")).withColumn("old", F.lit(None).cast("long")))
+    labels = connected(links_within(now, percent))
+    groups = known.select("doc_id", "same").join(reps, "same").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("to"))
+    # an id with several texts joins their groups
+    final = connected(groups.select(F.col("doc_id").alias("src"), F.col("to").alias("dst")).distinct()) if several(known) else groups.select(F.col("doc_id").alias("node"), F.col("to").alias("component")).distinct()
+    return rows.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def links_within(now: DataFrame, percent: float) -> DataFrame:
+    """Links (src, dst) that join all linked sets of each region; now: region, doc_id, n, grams, old. Large regions are split first."""
     links = None
     for depth in range(ROUNDS + 1):
         sizes = now.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("grams_in"), F.max("old").alias("old"))
@@ -277,11 +286,7 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         found = found.union(local(blocks(todo.where(F.coalesce(stuck, F.lit(False)))), percent))
         links = saved(found if links is None else links.union(found))
         now = saved(split(todo.where(~F.coalesce(stuck, F.lit(False))), depth, percent))
-    labels = connected(links)
-    groups = known.select("doc_id", "same").join(reps, "same").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("to"))
-    # an id with several texts joins their groups
-    final = connected(groups.select(F.col("doc_id").alias("src"), F.col("to").alias("dst")).distinct()) if several(known) else groups.select(F.col("doc_id").alias("node"), F.col("to").alias("component")).distinct()
-    return rows.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return links
 
 
 def several(known: DataFrame) -> bool:

@@ -14,9 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+from xxhash import xxh3_128_digest
 
-from .common import mixed, saved, shingles
+from .common import counted, longs, map_rows, mixed, saved, shingles
 from .components import connected
+from .jaccard_join import links_within
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -59,8 +62,10 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (r, carrier, at, doc_id, text): ranges of descending doc_id, each followed by the first row of the next.
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: DataFrame | None = None) -> DataFrame:
+    """Rows (r, carrier, at, doc_id, text, component_id): ranges of descending doc_id, each followed by the first row of the next.
+
+    A row of groups (doc_id, component_id) comes without text before the rows of its doc_id; component_id is null in all others.
 
     Ids alone are range-partitioned first; the greatest id of each range (one a partition) goes to the driver. Then the texts are
     shuffled once: a row goes to its range, and the first row of a range also to the one before it, as a carrier.
@@ -79,105 +84,122 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         for b in batches:
             up = np.searchsorted(first, b["at"].to_numpy(), "left")
             yield b.assign(r=len(first) - 1 - up, carrier=0)
-            lead = b[first[np.minimum(up, len(first) - 1)] == b["at"]]
+            lead = b[(first[np.minimum(up, len(first) - 1)] == b["at"]) & b["component_id"].isna()]
             if len(lead):
                 r = len(first) - 1 - np.searchsorted(first, lead["at"].to_numpy(), "left")
                 yield lead.assign(r=np.where(r > 0, r - 1, len(first) - 1), carrier=1)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("at"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("at"), F.lit(None).cast("string").alias("component_id"))
+    if groups is not None:
+        rows = rows.union(groups.select("doc_id", F.lit(""), "doc_id", F.col("component_id").cast("string")))
     dealt = rows.mapInPandas(deal, T.StructType([*rows.schema.fields, T.StructField("r", T.LongType()), T.StructField("carrier", T.LongType())]))
-    return dealt.repartition(n, "r").sortWithinPartitions("r", "carrier", F.desc("at"), "text")
+    return dealt.repartition(n, "r").sortWithinPartitions("r", "carrier", F.desc("at"), F.desc_nulls_last("component_id"), "text")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next for each row.
+    """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next, component_id for each row.
+
+    component_id is that of near_duplicates, null for a null id.
 
     Null text counts as empty. The next document is the one before it in ascending doc_id; after the least, the
     greatest. A single document is its own next.
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, pending = None, []  # held: range, doc_id, text, signature of the row that waits for its next one
+        held, pending = None, []  # held: range, doc_id, text, signature, component_id of the row that waits for its next one
+        group = None, None  # doc_id and component_id of the last row of groups
 
         def row(now: tuple, text: str, sig: np.ndarray) -> tuple:
-            _, doc, own, own_sig = now
+            _, doc, own, own_sig, component = now
             new = edited(own, text)
             new_sig = own_sig if new == own else signature(new)
-            return doc, len(own), new, fingerprint(own_sig), fingerprint(new_sig), likeness(own_sig, new_sig), likeness(own_sig, sig)
+            return doc, len(own), new, fingerprint(own_sig), fingerprint(new_sig), likeness(own_sig, new_sig), likeness(own_sig, sig), component
 
         def out() -> pd.DataFrame:
             done = pd.DataFrame(pending, columns=[f.name for f in SCHEMA.fields])
-            done["doc_id"] = done["doc_id"].astype("Int64")
+            for name in ("doc_id", "component_id"):
+                done[name] = done[name].astype("Int64")
             pending.clear()
             return done
 
         for b in batches:
-            for r, carrier, doc, text in zip(b["r"], b["carrier"], b["doc_id"], b["text"], strict=True):
+            for r, carrier, doc, text, component in zip(b["r"], b["carrier"], b["doc_id"], b["text"], b["component_id"], strict=True):
+                if not pd.isna(component):
+                    group = doc, int(component)
+                    continue
                 if held and held[0] != r:
                     held = None
                 sig = signature(text) if not carrier or held else None
                 if held:
                     pending.append(row(held, text, sig))
-                held = None if carrier else (r, None if pd.isna(doc) else int(doc), text, sig)
+                held = None if carrier else (r, None if pd.isna(doc) else int(doc), text, sig, None if pd.isna(doc) else group[1] if group[0] == doc else int(doc))
                 if len(pending) >= 500:
                     yield out()
         if pending:
             yield out()
 
-    return with_next(docs, doc_id, text).select("r", "carrier", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(compare, SCHEMA)
+    rows = with_next(docs, doc_id, text, linked_groups(docs, doc_id, text))
+    return rows.select("r", "carrier", F.col("doc_id").cast("string").alias("doc_id"), "text", "component_id").mapInPandas(compare, SCHEMA)
 
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_text", T.StringType()),
     T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
     T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
+    T.StructField("component_id", T.LongType()),
 ])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, component_id: documents with a Jaccard similarity of at least threshold to one of their group.
 
-    Equal fingerprints' shingle sets are folded into one representative first. Each band's bucket has its least
-    representative as hub; members are joined to hubs, not to each other, and verified on the exact shingle sets. Members that
-    fail stay for the next round with a new hub, until no bucket has two left: each is thus compared with a hub it
-    shares a bucket with. Texts without words stand alone; null ids are left out.
+    Two texts that share a band's bucket and are as similar are in one group always. Texts without words stand alone; null ids
+    are left out; an id with several texts joins their groups.
     """
-    rows_per_band = PERMUTATIONS // BANDS
+    groups = linked_groups(docs, doc_id, text, threshold)
+    known = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
+    return known.join(groups, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [(int(d), s.tobytes(), [int.from_bytes(sig[i * rows_per_band : (i + 1) * rows_per_band].tobytes(), "little", signed=True) for i in range(BANDS)])
-                   for d, t in zip(b["doc_id"], b["text"], strict=True) if len(s := shingles(t, SHINGLE)) and (sig := signature(t)) is not EMPTY]
-            yield pd.DataFrame(got, columns=["doc_id", "grams", "bands"])
 
+def linked_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, component_id of the documents that have a near duplicate; the others are left out.
+
+    Each band's bucket joins its members to its least one; what hangs together so is a neighbourhood of candidates, which holds every
+    pair that shares a bucket. Its texts are shipped once, equal shingle sets as one, and all pairs of it are compared on the
+    exact sets as in jaccard_join, split where it is large: no candidate is dropped because another one is linked already.
+    """
     known = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = saved(known.mapInPandas(sign, "doc_id long, grams binary, bands array<long>").withColumn("same", F.sha2("grams", 256)))
-    rep = saved(signed.groupBy("same").agg(F.min("doc_id").alias("rep")))
-    grams = saved(signed.join(rep, (signed["same"] == rep["same"]) & (signed["doc_id"] == rep["rep"]), "left_semi").dropDuplicates(["doc_id"]))
-    left = saved(grams.select("doc_id", F.posexplode("bands").alias("band", "value")))
-    edges = None
-    while True:
-        hubs = left.groupBy("band", "value").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-        tried = saved(left.join(hubs, ["band", "value"]).where("doc_id <> hub"))
-        pairs = tried.select("doc_id", "hub").distinct()
-        if pairs.isEmpty():
-            break
-
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ok = []
-                for x, y in zip(b["grams"], b["hub_grams"], strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(both >= threshold * (len(x) + len(y) - both))
-                yield b[["doc_id", "hub"]][ok]
-
-        sets = grams.select("doc_id", "grams")
-        good = saved(pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("grams").alias("hub_grams")), "hub").mapInPandas(verify, "doc_id long, hub long"))
-        edges = good if edges is None else saved(edges.unionByName(good))
-        left = saved(tried.join(good, ["doc_id", "hub"], "left_anti").select("doc_id", "band", "value"))
-    if edges is None:
-        edges = rep.select(F.col("rep").alias("doc_id"), F.col("rep").alias("hub")).limit(0)
-    labels = connected(edges.select(F.col("doc_id").alias("src"), F.col("hub").alias("dst")))
-    members = signed.select("doc_id", "same").join(rep, "same").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return known.select("doc_id").distinct().join(members.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    near = counted(connected(bucket_edges(known)).select(F.col("node").alias("doc_id"), F.col("component").alias("region")))
+    texts = known.join(near, "doc_id")
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "same": [xxh3_128_digest(shingles(t, SHINGLE).tobytes()) if t else None for t in b["text"]]})
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [shingles(t, SHINGLE) for t in b["text"]]
+            out = pd.DataFrame({"region": b["region"], "doc_id": b["doc_id"], "n": [len(g) for g in got], "grams": [g.tobytes() for g in got]})
+            yield out[out["n"] > 0]
+
+    same = saved(map_rows(texts.select("doc_id", "text"), digests, "doc_id long, same binary").where("same is not null"))
+    reps = saved(same.groupBy("same").agg(F.min("doc_id").alias("rep")))
+    chosen = texts.join(counted(reps.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    now = map_rows(chosen, sets_of, "region long, doc_id long, n long, grams binary").withColumn("region", F.col("region").cast("string")).withColumn("old", F.lit(None).cast("long"))
+    links = links_within(saved(now), 100 * threshold)
+    copies = same.join(reps, "same").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    return connected(links.union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def bucket_edges(known: DataFrame) -> DataFrame:
+    """Edges (src, dst) from each document to the least one of each bucket that it is in."""
+    turn = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))  # a value is another bucket in each band
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [(d, longs(mixed(s.view(np.uint64) ^ turn))) for d, t in zip(b["doc_id"], b["text"], strict=True) if (s := signature(t)) is not EMPTY]
+            yield pd.DataFrame(got, columns=["doc_id", "keys"])
+
+    met = map_rows(known, keys, "doc_id long, keys array<long>").select(F.explode("keys").alias("key"), "doc_id")
+    hub = F.min("doc_id").over(Window.partitionBy("key").orderBy("doc_id"))
+    return met.select(F.col("doc_id").alias("src"), hub.alias("dst")).where("src <> dst").distinct()

@@ -48,7 +48,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

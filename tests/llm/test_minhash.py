@@ -57,3 +57,50 @@ def test_near_duplicates(spark):
     got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chains_and_whole_table_against_brute_force(spark, sf_dir):
+    base = [f"t{i}" for i in range(400)]
+    rows, words = [], base
+    for i in range(12):  # copies of copies, each with two more words replaced: the ends are far from each other
+        rows.append((1000 + (5 * i) % 12, " ".join(words)))
+        words = [*words]
+        words[30 * i + 9] = words[30 * i + 20] = f"e{i}"
+    rows += [(r["doc_id"] + 5000, r["text"]) for r in documents(spark, sf_dir).limit(150).collect()]
+    rows += [(7, rows[0][1]), (7, rows[20][1])]  # an id with two texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(docs).collect()}
+    sets = [set(shingles(t, 5).tolist()) for _, t in rows]
+    bands = [{(i, v) for i, v in enumerate(M.signature(t).view(np.uint64).tolist())} if s else set() for (_, t), s in zip(rows, sets, strict=True)]
+    up = {d: d for d, _ in rows}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if bands[i] & bands[j] and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = root(rows[i][0]), root(rows[j][0])
+                up[max(a, b)] = min(a, b)
+    assert got == {d: root(d) for d in up}
+    assert len({got[1000 + i] for i in range(12)}) == 1
+    assert {r["doc_id"]: r["component_id"] for r in M.fingerprints(docs).collect()} == got
+
+
+def test_a_linked_copy_still_links_others(spark):
+    rows = []
+    for n in range(20):
+        a = [f"t{n}-{i}" for i in range(400)]
+        b = [*a[:200], "x", *a[201:]]
+        c = [f"y{i}" if i % 20 == 5 and i < 160 else w for i, w in enumerate(b)]
+        x, y, z = (set(shingles(" ".join(t), 5).tolist()) for t in (a, b, c))
+        assert len(x & y) >= 0.8 * len(x | y) and len(y & z) >= 0.8 * len(y | z) and len(x & z) < 0.8 * len(x | z)
+        rows += [(3 * n + k, " ".join(t)) for k, t in enumerate((a, b, c))]
+    keys = [set(enumerate(M.signature(t).view(np.uint64).tolist())) for _, t in rows]
+    met = [n for n in range(20) if keys[3 * n + 1] & keys[3 * n + 2]]
+    # the copies of b meet it in buckets of a only
+    assert any(not (keys[3 * n + 1] & keys[3 * n + 2]) - keys[3 * n] for n in met)
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[3 * n + 1] == got[3 * n + 2] == 3 * n for n in met)
