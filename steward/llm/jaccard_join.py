@@ -262,7 +262,7 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     shape = "region long, doc_id long, n long, grams binary"
     texts = docs.where("doc_id is not null").join(counted(near.withColumnRenamed("node", "doc_id")), "doc_id")
-    # rows that repeat an id come to the same region, where one of them is taken
+    # rows that repeat an id come to the same region, where one of each text is taken
     now = saved(map_rows(texts, sets_of, shape).withColumn("region", F.col("region").cast("string")).withColumn("old", F.lit(None).cast("long")))
     labels = connected(links_within(now, percent))
     groups = known.select("doc_id", "same").join(reps, "same").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("to"))
@@ -298,7 +298,7 @@ def local(now: DataFrame, percent: int) -> DataFrame:
     """Links (src, dst) within each region; a region holds LIMIT_SETS sets and LIMIT_GRAMS shingles at most, or one pair of blocks."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id")
+        pdf = pdf.drop_duplicates(["doc_id", "grams"])  # different texts of an id all count
         groups = Groups(len(pdf))
         if len(pdf) > 1:
             sets = Sets([np.frombuffer(g, np.uint64) for g in pdf["grams"]])

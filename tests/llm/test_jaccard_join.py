@@ -136,3 +136,11 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: root(i) for i in list(up)}
     assert connected(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
+    a, b = ([f"{x}{i}" for i in range(200)] for x in "ab")
+    edit = lambda w: " ".join([*w[:100], "other", *w[101:]])
+    rows = [(5, edit(a)), (5, edit(b)), (7, " ".join(a)), (9, " ".join(b))]
+    got = J.component_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {5}
