@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,15 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/steward-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._steward_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a saved table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._steward_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of ids (some 20 bytes each) that are broadcast at most, after they were counted; beyond that a join shuffles both sides.
@@ -54,26 +63,54 @@ def counted(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-#: Rows that are handled at a time where texts are turned into other things.
-ROWS = 256
+#: Rows that are handled at a time where texts are turned into other things, and rows of the Arrow batches that carry them.
+ROWS, BATCH_ROWS = 256, 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: glibc's names: blocks from this size on are given back when freed, and so many arenas are kept for threads.
+MMAP_THRESHOLD, ARENA_MAX, LARGE = -3, -8, 1 << 18
+
+
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows where the session has Spark's usual 10,000: whole texts of so many rows are held at once
+    by the JVM, off its heap, and by the Python worker.
+    """
+    if spark.conf.get(ARROW_ROWS, None) in (None, "10000"):
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
 
 
 def tidy(work):
     """work, a function of batches, that gives freed memory back to the system when a task ends.
 
-    Python workers are kept for later tasks; what the allocator holds on to would count against the executor all that time.
+    Python workers are kept for later tasks; what the allocators hold on to would count against the executor all that time.
     """
 
     def run(batches):
+        c = ctypes.CDLL(None)
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has these
+            c.mallopt(MMAP_THRESHOLD, LARGE)
+            c.mallopt(ARENA_MAX, 2)
         try:
             yield from work(batches)
         finally:
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                c.malloc_trim(0)
 
     return run
 
 
+def in_pandas(df: DataFrame, work, shape: T.StructType | str) -> DataFrame:
+    """mapInPandas with small batches, in workers that give memory back."""
+    lean(df.sparkSession)
+    return df.mapInPandas(tidy(work), shape)
+
+
+def in_arrow(df: DataFrame, work, shape: T.StructType | str) -> DataFrame:
+    """mapInArrow with small batches, in workers that give memory back."""
+    lean(df.sparkSession)
+    return df.mapInArrow(tidy(work), shape)
+
+
 def map_rows(df: DataFrame, work, ddl: str) -> DataFrame:
     """mapInPandas for a function of small frames: ROWS rows of a batch at a time, so that what is made of a batch stays small."""
     shape = T.StructType.fromDDL(ddl)
@@ -84,7 +121,20 @@ def map_rows(df: DataFrame, work, ddl: str) -> DataFrame:
         for out in work(frames):
             yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
-    return df.mapInArrow(tidy(run), shape)
+    return in_arrow(df, run, shape)
+
+
+_pack = zstandard.ZstdCompressor(1, write_content_size=True)
+_unpack = zstandard.ZstdDecompressor()
+
+
+def packed(text: str | None) -> bytes:
+    """A text as it is shuffled: UTF-8, compressed."""
+    return _pack.compress((text or "").encode("utf-8", "surrogatepass"))
+
+
+def unpacked(z: bytes) -> str:
+    return _unpack.decompress(z).decode("utf-8", "surrogatepass")
 
 
 def require(df: DataFrame, *names: str) -> None:

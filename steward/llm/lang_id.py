@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_class, map_rows, require, result_columns, schema_with, tidy
+from .common import crc_class, in_pandas, map_rows, require, result_columns, saved, schema_with
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             got = [labeller.predict(t) for t in b[text]]
             yield b.assign(**{names[0]: [g[0] for g in got], names[1]: [g[1] for g in got], names[2]: [g[2] for g in got]})
 
-    return docs.mapInPandas(tidy(label), schema_with(docs, (names[0], T.StringType()), (names[1], T.DoubleType()), (names[2], T.IntegerType())))
+    return in_pandas(docs, label, schema_with(docs, (names[0], T.StringType()), (names[1], T.DoubleType()), (names[2], T.IntegerType())))
 
 
 def held_out(doc_id):

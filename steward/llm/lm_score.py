@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import REMEMBERED, require, result_columns, saved, schema_with
+from .common import REMEMBERED, in_pandas, require, result_columns, saved, schema_with
 
 VOCABULARY = 1000
 BUCKETS = 1000
@@ -203,7 +203,7 @@ def lexicon(docs: DataFrame, text: str) -> Lexicon:
         i = np.flatnonzero(sums)
         yield pd.DataFrame({"word": [w for _, w in top] + [None] * len(i), "b": [bucket(w) - VOCABULARY for _, w in top] + i.tolist(), "n": [-n for n, _ in top] + sums[i].tolist()}).astype({"word": object, "b": "int64", "n": "int64"})
 
-    packs = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(count, "g long, words string")
+    packs = in_pandas(docs.select(F.col(text).cast("string").alias("text")), count, "g long, words string")
     counts = saved(packs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g").mapInPandas(add, "word string, b long, n long"))
     top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     total = np.zeros(TOKENS)
@@ -225,7 +225,7 @@ def encoded(docs: DataFrame, known: Lexicon, text: str) -> DataFrame:
         for b in batches:
             yield b.assign(**{text: [ids_of(t, look).tobytes() for t in b[text]]})
 
-    return docs.mapInPandas(work, shape)
+    return in_pandas(docs, work, shape)
 
 
 def train(docs: DataFrame, text: str, known: Lexicon, rounds: int = ROUNDS) -> np.ndarray:
@@ -263,11 +263,11 @@ def train(docs: DataFrame, text: str, known: Lexicon, rounds: int = ROUNDS) -> n
             if n:
                 yield pd.DataFrame({"weights": [(net.all.astype(np.float64) * n).tobytes()], "n": [float(n)]})
 
-        sums = saved(rows.mapInPandas(learn, shape))
+        sums = saved(in_pandas(rows, learn, shape))
         left = sums.count()
         while left > 1:
             left = -(-left // FAN_IN)
-            sums = sums.repartition(left).mapInPandas(total, shape)
+            sums = in_pandas(sums.repartition(left), total, shape)
         got = sums.collect()  # one row of the network's size
         if got:
             weights = (sum(np.frombuffer(r["weights"], np.float64) for r in got) / sum(r["n"] for r in got)).astype(np.float32)
@@ -302,7 +302,7 @@ def score(docs: DataFrame, known: Lexicon, weights: np.ndarray, text: str = "tex
             with np.errstate(invalid="ignore"):
                 yield b.assign(**{names[0]: n, names[1]: total, names[2]: pd.Series(total / n, index=b.index).astype(object).where(n > 0, None)})
 
-    return docs.mapInPandas(work, schema_with(docs, (names[0], T.LongType()), (names[1], T.DoubleType()), (names[2], T.DoubleType())))
+    return in_pandas(docs, work, schema_with(docs, (names[0], T.LongType()), (names[1], T.DoubleType()), (names[2], T.DoubleType())))
 
 
 def score_corpus(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:

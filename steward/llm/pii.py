@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import require, result_columns, schema_with, tidy
+from .common import in_pandas, require, result_columns, schema_with
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "login", "address")
@@ -260,4 +260,4 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
             yield b.assign(**dict(zip(names, columns, strict=True)))
 
     kinds = [T.LongType()] * 4 + [T.StringType()] * 3
-    return docs.mapInPandas(tidy(scan), schema_with(docs, *zip(names, kinds, strict=True)))
+    return in_pandas(docs, scan, schema_with(docs, *zip(names, kinds, strict=True)))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import require, result_columns, schema_with, tidy
+from .common import in_arrow, require, result_columns, schema_with
 from .pieces import LEAST, MODEL, Remembered, Vocabulary, broadcast, vocabulary
 
 N_BEST = 3
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n: int = N_B
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
 
     kinds = (T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType()), T.StringType())
-    return docs.mapInArrow(tidy(work), schema_with(docs, *zip(names, kinds, strict=True)))
+    return in_arrow(docs, work, schema_with(docs, *zip(names, kinds, strict=True)))
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, n: int = N_BEST) -> DataFrame:
@@ -171,7 +171,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
             ], names=["doc_id", "n_pieces", "ids_sha256", "scores", "sizes", "round_trip"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(tidy(work), f"doc_id {kind}, n_pieces long, ids_sha256 string, scores array<double>, sizes array<long>, round_trip boolean")
+    return in_arrow(docs.select(doc_id, text), work, f"doc_id {kind}, n_pieces long, ids_sha256 string, scores array<double>, sizes array<long>, round_trip boolean")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

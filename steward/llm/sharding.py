@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require, result_columns, saved
+from .common import in_pandas, require, result_columns, saved
 
 SHARDS = 24
 #: Share of a shard's bytes that a splitter may miss its target by.
@@ -49,7 +49,7 @@ def histogram(rows: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
         yield pd.DataFrame({"i": i, "size": size[i], "n": n[i]})
 
     size, n = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
-    for r in rows.select("key", "size").mapInPandas(count, "i long, size long, n long").groupBy("i").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect():
+    for r in in_pandas(rows.select("key", "size"), count, "i long, size long, n long").groupBy("i").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect():
         size[r["i"]], n[r["i"]] = r["size"], r["n"]
     return list(zip(np.cumsum(size)[:-1].tolist(), np.cumsum(n)[:-1].tolist(), strict=True))
 

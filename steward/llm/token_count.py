@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import require, result_columns, schema_with
+from .common import in_pandas, require, result_columns, schema_with
 from .pieces import MODEL, Remembered, broadcast, solved, vocabulary
 
 
@@ -32,4 +32,4 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL) -> Dat
                 counts.append(sum([f[1] for f in found]))
             yield b.assign(**{names[0]: counts, names[1]: scores})
 
-    return docs.mapInPandas(count, schema_with(docs, (names[0], T.LongType()), (names[1], T.DoubleType())))
+    return in_pandas(docs, count, schema_with(docs, (names[0], T.LongType()), (names[1], T.DoubleType())))
