@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (src, dst): component is the least node that it reaches.
 
     Each round links a node's neighbours to the least of them, so the number of rounds grows with the logarithm of the
-    longest chain. Stars keep the number of rows at or below that of the edges; a hub's neighbours are spread over
-    partitions as rows and joined to the hub's minimum, never gathered in one list. Nothing goes to the driver but the
-    number of rows and their check sum.
+    longest chain. Stars keep the number of rows at or below that of the edges; a hub's neighbours stay rows, minima are
+    combined before they are shuffled, and adaptive execution splits the join of a hub that has too many of them. Nothing goes to
+    the driver but the number of rows and their check sum; each round deletes what the one before it wrote.
     """
     pair = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     lonely = edges.where("src = dst").select(F.col("src").alias("node"))
@@ -29,7 +29,9 @@ def connected(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = saved(small.where("u <> v").distinct())
+        done, now = now, saved(small.where("u <> v").distinct())
+        forget(done)
+        forget(large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

@@ -11,11 +11,12 @@ told otherwise). What is done:
    empty set: sizes within the threshold, and a place in the order bounds what can be shared). Regions carry ids, sizes and places only.
    l is EXTRA of the size: two sets that meet in small regions only (SMALL sets at most) must meet in l of them;
    sets that meet in a larger one are kept together without counting.
-3. What shares a region is a candidate neighbourhood (components of the candidate graph). Its sets are shipped once. One with
-   more than LIMIT_SETS sets or LIMIT_GRAMS shingles is split again: documents as pivots, exact distances, a
+3. What shares a region is a candidate neighbourhood (components of the candidate graph). Its texts are shipped once, compressed. One
+   with more than LIMIT_SETS sets or LIMIT_GRAMS shingles is split again: documents as pivots, exact distances, a
    document goes to its nearest pivot's region and to every pivot q with d(x, q) <= d(x, nearest) + 2 TAU (no linked pair is
-   lost: d(x, q) <= d(x, y) + d(y, q)). A region that doesn't shrink so is cut into blocks, and each pair of blocks
-   is a task of bounded memory.
+   lost: d(x, q) <= d(x, y) + d(y, q)). Documents linked with a pivot are one group; those that no other document of the
+   region can be near enough to are done with, so a dense group of near copies costs its rows once and not their pairs. A
+   region that doesn't shrink so is cut into blocks, and each pair of blocks is a task of bounded memory.
 4. In a task regions split recursively the same way; small ones compare their sets by one matrix product. Sets already
    joined are not compared. Only links that join two groups leave a task, less than one a set.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
-from .common import counted, longs, map_rows, require, saved, shingles
+from .common import counted, forget, in_pandas, lean, longs, map_rows, packed, require, saved, shingles, unpacked
 from .components import connected
 
 SHINGLE = 3
@@ -48,11 +49,14 @@ SKETCH = 1 << SKETCH_BITS
 EXTRA = 3
 #: Sets of a region whose pairs are counted; SMALL * (SMALL - 1) / 2 rows at most.
 SMALL = 12
-LIMIT_SETS = 2048
-LIMIT_GRAMS = 4_000_000
+LIMIT_SETS = 512
+LIMIT_GRAMS = 1_000_000
 #: Sets compared by one matrix product.
-LEAF = 256
-ROUNDS = 3
+LEAF = 128
+ROUNDS = 4
+#: Pivots of a region at most, and slices that its rows are dealt in for each part that it needs.
+PIVOTS, SLICES = 16, 4
+DEALT = {"region": "string", "doc_id": "long", "n": "long", "z": "binary", "joined": "long", "old": "long", "near": "double", "pivot": "long", "linked": "boolean"}
 
 
 def linked(both, x, y, percent: int = PERCENT):
@@ -118,7 +122,7 @@ def sketch(docs: DataFrame, text: str, k: int = SHINGLE) -> np.ndarray:
     n = parts.count()
     while n > 1:  # in rounds, so that no task adds up more than 32 of them
         n = -(-n // 32)
-        parts = parts.repartition(n).mapInPandas(add, "counts binary")
+        parts = in_pandas(parts.repartition(n), add, "counts binary")
     total = sum((np.frombuffer(r["counts"], np.int32) for r in parts.collect()), np.zeros(SKETCH))
     return np.minimum(127, 4 * np.log2(1 + total / max(1.0, total.mean()))).astype(np.int8)
 
@@ -159,12 +163,19 @@ class Groups:
             i = self.up[i]
         return i
 
-    def join(self, i: int, j: int) -> None:
+    def merge(self, i: int, j: int) -> bool:
+        """Make the groups of i and j one; whether they were two."""
         a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+    def join(self, i: int, j: int) -> None:
+        if self.merge(i, j):
             self.links.append((i, j))
 
+    def one(self, rows) -> bool:
+        return len({self.root(int(i)) for i in rows}) == 1
+
 
 def compare(sets: Sets, rows: np.ndarray, groups: Groups, percent: int) -> None:
     """All pairs of a few rows at once: a matrix product in blocks of shingles counts what each two share."""
@@ -184,7 +195,7 @@ def compare(sets: Sets, rows: np.ndarray, groups: Groups, percent: int) -> None:
 
 def join_rows(sets: Sets, rows: np.ndarray, groups: Groups, percent: int, depth: int = 0) -> None:
     """Join all linked rows: pivots among the rows, Voronoi regions with windows of twice the distance, recursively."""
-    if len(rows) < 2:
+    if len(rows) < 2 or groups.one(rows):
         return
     if len(rows) <= LEAF:
         return compare(sets, rows, groups, percent)
@@ -207,7 +218,7 @@ def join_rows(sets: Sets, rows: np.ndarray, groups: Groups, percent: int, depth:
     blocks = [order[i : i + LEAF // 2] for i in range(0, len(order), LEAF // 2)]
     for i, x in enumerate(blocks):
         for y in blocks[i:]:
-            if 100 * sets.sizes[x[-1]] >= percent * sets.sizes[y[0]] and len({groups.root(int(r)) for r in (*x, *y)}) > 1:
+            if 100 * sets.sizes[x[-1]] >= percent * sets.sizes[y[0]] and not groups.one((*x, *y)):
                 compare(sets, np.unique(np.concatenate([x, y])), groups, percent)
 
 
@@ -254,39 +265,52 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     asked = F.least(1 + F.floor(F.col("n") * EXTRA / 100), F.ceil(F.col("n") * percent / 100))
     near = connected(kept.union(met.where(F.col("c") >= asked).select("src", "dst")))
 
-    # Each candidate's set is shipped once, to its neighbourhood.
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [shingles(t, k) for t in b["text"]]
-            yield pd.DataFrame({"region": b["component"], "doc_id": b["doc_id"], "n": [len(g) for g in got], "grams": [g.tobytes() for g in got]})
-
-    shape = "region long, doc_id long, n long, grams binary"
-    texts = docs.where("doc_id is not null").join(counted(near.withColumnRenamed("node", "doc_id")), "doc_id")
+    # Each candidate's text is shipped once, to its neighbourhood.
     # rows that repeat an id come to the same region, where one of each text is taken
-    now = saved(map_rows(texts, sets_of, shape).withColumn("region", F.col("region").cast("string")).withColumn("old", F.lit(None).cast("long")))
-    labels = connected(links_within(now, percent))
+    texts = docs.where("doc_id is not null").join(counted(near.select(F.col("node").alias("doc_id"), F.col("component").alias("region"))), "doc_id")
+    labels = connected(links_within(candidates(texts, k), percent, k))
     groups = known.select("doc_id", "same").join(reps, "same").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("to"))
     # an id with several texts joins their groups
     final = connected(groups.select(F.col("doc_id").alias("src"), F.col("to").alias("dst")).distinct()) if several(known) else groups.select(F.col("doc_id").alias("node"), F.col("to").alias("component")).distinct()
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def links_within(now: DataFrame, percent: float) -> DataFrame:
-    """Links (src, dst) that join all linked sets of each region; now: region, doc_id, n, grams, old. Large regions are split first."""
-    links = None
+def candidates(texts: DataFrame, k: int) -> DataFrame:
+    """What links_within takes, of rows (region, doc_id, text); texts without words are left out."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = pd.DataFrame({"region": b["region"].astype(str), "doc_id": b["doc_id"], "n": [len(shingles(t, k)) for t in b["text"]], "z": [packed(t) for t in b["text"]]})
+            yield out[out["n"] > 0]
+
+    now = map_rows(texts.select("region", "doc_id", "text"), work, "region string, doc_id long, n long, z binary")
+    return now.withColumns({"joined": F.lit(None).cast("long"), "old": F.lit(None).cast("long")})
+
+
+def links_within(now: DataFrame, percent: float, k: int) -> DataFrame:
+    """Links (src, dst) that join all linked sets of each region.
+
+    now: region, doc_id, n (size of the set), z (the packed text), joined (an id that the row is linked with already: rows
+    of a region with the same one are one group), old (rows of the region that this one was split from).
+    Large regions are split by pivots until they are small; those that don't shrink are compared block by block.
+    """
+    now, links = saved(now), None
     for depth in range(ROUNDS + 1):
         sizes = now.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("grams_in"), F.max("old").alias("old"))
         large = saved(sizes.where((F.col("sets") > LIMIT_SETS) | (F.col("grams_in") > LIMIT_GRAMS)).withColumn("parts", F.ceil(F.greatest(F.col("sets") / LIMIT_SETS, F.col("grams_in") / LIMIT_GRAMS)).cast("int")))
-        found = local(now.join(large, "region", "left_anti"), percent)
+        found = local(now.join(large, "region", "left_anti"), percent, k)
         if large.isEmpty():
-            links = found if links is None else links.union(found)
-            break
-        todo = now.join(large.drop("old"), "region")
-        stuck = F.lit(depth == ROUNDS) | (F.col("sets") > 0.7 * F.col("old"))  # the last split didn't help
-        found = found.union(local(blocks(todo.where(F.coalesce(stuck, F.lit(False)))), percent))
+            return found if links is None else links.union(found)
+        todo = now.drop("old").join(large, "region")
+        stuck = F.coalesce(F.lit(depth == ROUNDS) | (F.col("sets") > 0.7 * F.col("old")), F.lit(False))  # the last split didn't help
+        found = found.union(local(blocks(todo.where(stuck)), percent, k))
+        dealt = saved(split(todo.where(~stuck), depth, percent, k))
+        found = found.union(dealt.where("linked").select(F.col("doc_id").alias("src"), F.col("pivot").alias("dst")))
         links = saved(found if links is None else links.union(found))
-        now = saved(split(todo.where(~F.coalesce(stuck, F.lit(False))), depth, percent))
-    return links
+        forget(now)
+        now = saved(unsettled(dealt, percent))
+        forget(dealt)
+    raise AssertionError("the last round leaves no large region")
 
 
 def several(known: DataFrame) -> bool:
@@ -294,47 +318,74 @@ def several(known: DataFrame) -> bool:
     return not known.select("doc_id", "same").distinct().groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def local(now: DataFrame, percent: int) -> DataFrame:
+def local(now: DataFrame, percent: float, k: int) -> DataFrame:
     """Links (src, dst) within each region; a region holds LIMIT_SETS sets and LIMIT_GRAMS shingles at most, or one pair of blocks."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id", "grams"])  # different texts of an id all count
+        pdf = pdf.drop_duplicates(["doc_id", "z"])  # different texts of an id all count
         groups = Groups(len(pdf))
         if len(pdf) > 1:
-            sets = Sets([np.frombuffer(g, np.uint64) for g in pdf["grams"]])
+            heads: dict[int, int] = {}
+            for i, j in enumerate(pdf["joined"]):
+                if not pd.isna(j):
+                    groups.merge(heads.setdefault(int(j), i), i)
+            sets = Sets([shingles(unpacked(z), k) for z in pdf["z"]])
             join_rows(sets, np.arange(len(pdf)), groups, percent)
         ids = pdf["doc_id"].to_numpy()
         i = np.array(groups.links, int).reshape(-1, 2)
         return pd.DataFrame({"src": ids[i[:, 0]], "dst": ids[i[:, 1]]})
 
-    return now.groupBy("region").applyInPandas(join, "src long, dst long")
+    return now.select("region", "doc_id", "z", "joined").groupBy("region").applyInPandas(join, "src long, dst long")
 
 
-def split(todo: DataFrame, depth: int, percent: int) -> DataFrame:
+def split(todo: DataFrame, depth: int, percent: float, k: int) -> DataFrame:
     """Rows of large regions dealt to the regions of pivots within them: the nearest, and all within twice the distance of a link.
 
-    A region has 2 pivots for each part it needs, 16 at most: those with the least hash; they are joined to its rows as one row.
+    A region has 2 pivots for each part it needs, PIVOTS at most: of each class of hashes the least, one not yet joined first. Its rows
+    are dealt in slices, each with the pivots' texts once, so neither a task nor what is shuffled grows faster than the rows.
+    near: distance to the region's pivot; linked: whether the row is linked with it.
     """
     far = 2 * (100 - percent) / 100 + 1e-9
-    order = Window.partitionBy("region").orderBy("h", "doc_id")
-    small = todo.select("region", "doc_id", "parts", F.xxhash64("doc_id", F.lit(depth)).alias("h"))
-    chosen = small.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.least(F.lit(16), 2 * F.col("parts"))).select("region", "doc_id", "k")
-    pivots = todo.join(chosen, ["region", "doc_id"]).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("k", "grams"))).alias("pivots"))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for region, doc, n, grams, sets, old in zip(b["region"], b["doc_id"], b["n"], b["grams"], b["pivots"], b["sets"], strict=True):
-                x = np.frombuffer(grams, np.uint64)
-                d = []
-                for p in sets:
-                    y = np.frombuffer(p["grams"], np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    d.append(1 - both / (len(x) + len(y) - both))
-                out += [(f"{region}/{k}", doc, n, grams, old) for k, v in enumerate(d) if v <= min(d) + far]
-            yield pd.DataFrame(out, columns=["region", "doc_id", "n", "grams", "old"])
-
-    return todo.select("region", "doc_id", "n", "grams", "sets").join(pivots, "region").mapInPandas(deal, "region string, doc_id long, n long, grams binary, old long")
+    hashed = todo.select("region", "doc_id", "joined", F.least(F.lit(PIVOTS), 2 * F.col("parts")).alias("classes"), F.xxhash64("doc_id", F.lit(depth)).alias("h"))
+    chosen = hashed.groupBy("region", F.pmod("h", "classes").alias("c")).agg(F.min(F.struct(F.col("joined").isNotNull().alias("late"), "h", "doc_id"))["doc_id"].alias("doc_id"))
+    slices = SLICES * F.col("parts")
+    pivots = todo.join(chosen, ["region", "doc_id"]).select(F.col("region").alias("of"), F.col("doc_id").alias("pivot"), F.col("z").alias("pivot_z"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    rows = todo.select("region", F.pmod(F.xxhash64("doc_id", F.lit(-1)), slices).cast("int").alias("slice"), "doc_id", "n", "z", "joined", "sets")
+
+    def deal(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        pivots = pivots.sort_values(["pivot", "pivot_z"], kind="stable").reset_index(drop=True)
+        first, out = len(pivots), []
+        if not len(rows):
+            return pd.DataFrame(columns=[*DEALT])
+        sets = Sets([shingles(unpacked(z), k) for z in (*pivots["pivot_z"], *rows["z"])])
+        at = np.arange(first, first + len(rows))
+        both = np.stack([sets.shared(p, at) for p in range(first)])
+        distance = 1 - both / (sets.sizes[:first, None] + sets.sizes[at][None, :] - both)
+        link = linked(both, sets.sizes[:first, None], sets.sizes[at][None, :], percent)
+        near = distance <= distance.min(axis=0) + far
+        ids = pivots["pivot"].to_numpy()
+        for i, r in enumerate(rows.itertuples(index=False)):
+            joined = None if pd.isna(r.joined) else int(r.joined)
+            if link[:, i].any():
+                joined = int(ids[link[:, i]].min())
+            out += [(f"{r.region}/{p}", r.doc_id, r.n, r.z, int(ids[p]) if link[p, i] else joined, r.sets, float(distance[p, i]), int(ids[p]), bool(link[p, i])) for p in np.flatnonzero(near[:, i])]
+        out = pd.DataFrame(out, columns=[*DEALT])
+        out["joined"] = out["joined"].astype("Int64")
+        return out
+
+    lean(todo.sparkSession)
+    return rows.groupBy("region", "slice").cogroup(pivots.groupBy("of", "slice")).applyInPandas(deal, ", ".join(f"{name} {kind}" for name, kind in DEALT.items()))
+
+
+def unsettled(dealt: DataFrame, percent: float) -> DataFrame:
+    """The rows that can still have a link that isn't known.
+
+    Rows linked with their region's pivot are one group. One of them can be linked with a row that isn't in it only if that one is
+    no further from the pivot than it and a link together; with none so near, there is nothing left to compare it with.
+    """
+    tau = (100 - percent) / 100 + 1e-9
+    edge = dealt.groupBy("region").agg(F.min(F.when(~F.col("linked"), F.col("near"))).alias("edge"))
+    return dealt.join(edge, "region").where(~F.col("linked") | (F.col("near") + tau >= F.col("edge"))).select("region", "doc_id", "n", "z", "joined", "old")
 
 
 def blocks(todo: DataFrame) -> DataFrame:
@@ -342,4 +393,4 @@ def blocks(todo: DataFrame) -> DataFrame:
     n = 2 * F.col("parts")
     block = F.pmod(F.xxhash64("doc_id"), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.concat_ws("-", F.col("region"), F.least(F.col("block"), j), F.greatest(F.col("block"), j)))
-    return todo.withColumn("block", block).select(F.explode(pairs).alias("region"), "doc_id", "n", "grams", "old")
+    return todo.withColumn("block", block).select(F.explode(pairs).alias("region"), "doc_id", "n", "z", "joined", "old")
