@@ -14,16 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
-from .common import counted, longs, map_rows, mixed, saved, shingles
+from .common import counted, in_pandas, longs, map_rows, mixed, packed, saved, shingles, unpacked
 from .components import connected
-from .jaccard_join import links_within
+from .jaccard_join import candidates, links_within
 
 SHINGLE = 5
 PERMUTATIONS = 128
-BANDS = 32
+#: Bands of so many values: two sets of a similarity of 0.8 share no bucket with a probability of 5e-5.
+BANDS, ROWS = 25, 5
 THRESHOLD = 0.8
 _rng = np.random.default_rng(20240607)
 _a = _rng.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,8 +35,11 @@ EMPTY = np.full(PERMUTATIONS, 0xFFFF, np.uint16)
 
 def signature(text: str | None) -> np.ndarray:
     found = shingles(text, SHINGLE)
-    if not len(found):
-        return EMPTY
+    return minima(found) if len(found) else EMPTY
+
+
+def minima(found: np.ndarray) -> np.ndarray:
+    """The least value of each permutation over some shingles, folded."""
     least = np.full(PERMUTATIONS, ~np.uint64(0))
     for at in range(0, len(found), BLOCK):
         hashed = np.multiply.outer(_a, found[at : at + BLOCK])
@@ -68,8 +71,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group
     A row of groups (doc_id, component_id) comes without text before the rows of its doc_id; component_id is null in all others.
 
     Ids alone are range-partitioned first; the greatest id of each range (one a partition) goes to the driver. Then the texts are
-    shuffled once: a row goes to its range, and the first row of a range also to the one before it, as a carrier.
-    Null ids come last, repeated ids in the order of their texts.
+    shuffled once, compressed: a row goes to its range, and the first row of a range also to the one before it, as a carrier.
+    Null ids come last, repeated ids in the order of their compressed texts.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -83,6 +86,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group
         first = held.value
         for b in batches:
             up = np.searchsorted(first, b["at"].to_numpy(), "left")
+            b["text"] = [packed(t) for t in b["text"]]
             yield b.assign(r=len(first) - 1 - up, carrier=0)
             lead = b[(first[np.minimum(up, len(first) - 1)] == b["at"]) & b["component_id"].isna()]
             if len(lead):
@@ -92,8 +96,9 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("at"), F.lit(None).cast("string").alias("component_id"))
     if groups is not None:
         rows = rows.union(groups.select("doc_id", F.lit(""), "doc_id", F.col("component_id").cast("string")))
-    dealt = rows.mapInPandas(deal, T.StructType([*rows.schema.fields, T.StructField("r", T.LongType()), T.StructField("carrier", T.LongType())]))
-    return dealt.repartition(n, "r").sortWithinPartitions("r", "carrier", F.desc("at"), F.desc_nulls_last("component_id"), "text")
+    shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("at", T.LongType()), T.StructField("component_id", T.StringType()), T.StructField("r", T.LongType()), T.StructField("carrier", T.LongType())])
+    dealt = in_pandas(rows, deal, shape)
+    return dealt.repartitionById(n, F.col("r").cast("int")).sortWithinPartitions("r", "carrier", F.desc("at"), F.desc_nulls_last("component_id"), "text")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,6 +132,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 if not pd.isna(component):
                     group = doc, int(component)
                     continue
+                text = unpacked(text)
                 if held and held[0] != r:
                     held = None
                 sig = signature(text) if not carrier or held else None
@@ -139,7 +145,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield out()
 
     rows = with_next(docs, doc_id, text, linked_groups(docs, doc_id, text))
-    return rows.select("r", "carrier", F.col("doc_id").cast("string").alias("doc_id"), "text", "component_id").mapInPandas(compare, SCHEMA)
+    return in_pandas(rows.select("r", "carrier", F.col("doc_id").cast("string").alias("doc_id"), "text", "component_id"), compare, SCHEMA)
 
 
 SCHEMA = T.StructType([
@@ -169,37 +175,45 @@ def linked_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     exact sets as in jaccard_join, split where it is large: no candidate is dropped because another one is linked already.
     """
     known = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    near = counted(connected(bucket_edges(known)).select(F.col("node").alias("doc_id"), F.col("component").alias("region")))
-    texts = known.join(near, "doc_id")
-
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "same": [xxh3_128_digest(shingles(t, SHINGLE).tobytes()) if t else None for t in b["text"]]})
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [shingles(t, SHINGLE) for t in b["text"]]
-            out = pd.DataFrame({"region": b["region"], "doc_id": b["doc_id"], "n": [len(g) for g in got], "grams": [g.tobytes() for g in got]})
-            yield out[out["n"] > 0]
-
-    same = saved(map_rows(texts.select("doc_id", "text"), digests, "doc_id long, same binary").where("same is not null"))
-    reps = saved(same.groupBy("same").agg(F.min("doc_id").alias("rep")))
-    chosen = texts.join(counted(reps.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    now = map_rows(chosen, sets_of, "region long, doc_id long, n long, grams binary").withColumn("region", F.col("region").cast("string")).withColumn("old", F.lit(None).cast("long"))
-    links = links_within(saved(now), 100 * threshold)
-    copies = same.join(reps, "same").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    sets = banded(known)
+    reps = saved(sets.groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
+    near = connected(bucket_edges(sets)).select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
+    texts = known.join(counted(near.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "doc_id")
+    links = links_within(candidates(texts, SHINGLE), 100 * threshold, SHINGLE)
+    copies = sets.join(counted(reps.where("rep < last").select("same", "rep")), "same").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     return connected(links.union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
-def bucket_edges(known: DataFrame) -> DataFrame:
-    """Edges (src, dst) from each document to the least one of each bucket that it is in."""
+def banded(known: DataFrame) -> DataFrame:
+    """(doc_id, same, keys) of the texts with words: a digest of the shingle set, and the bucket of each band."""
     turn = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))  # a value is another bucket in each band
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [(d, longs(mixed(s.view(np.uint64) ^ turn))) for d, t in zip(b["doc_id"], b["text"], strict=True) if (s := signature(t)) is not EMPTY]
-            yield pd.DataFrame(got, columns=["doc_id", "keys"])
+            out = []
+            for d, t in zip(b["doc_id"], b["text"], strict=True):
+                found = shingles(t, SHINGLE)
+                if len(found):
+                    out.append((d, xxh3_128_digest(found.tobytes()), longs(mixed(bands(minima(found)) ^ turn))))
+            yield pd.DataFrame(out, columns=["doc_id", "same", "keys"])
 
-    met = map_rows(known, keys, "doc_id long, keys array<long>").select(F.explode("keys").alias("key"), "doc_id")
-    hub = F.min("doc_id").over(Window.partitionBy("key").orderBy("doc_id"))
-    return met.select(F.col("doc_id").alias("src"), hub.alias("dst")).where("src <> dst").distinct()
+    return saved(map_rows(known, work, "doc_id long, same binary, keys array<long>"))
+
+
+def bands(values: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each band of ROWS values."""
+    out = np.zeros(BANDS, np.uint64)
+    for column in values[: BANDS * ROWS].reshape(BANDS, ROWS).T:
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1))
+    return out
+
+
+def bucket_edges(sets: DataFrame) -> DataFrame:
+    """Edges (src, dst) from each document to the least one of each bucket that it is in.
+
+    Buckets are counted and their least ids found with a combine before the shuffle, so a bucket of any size is one row a task;
+    only buckets of two documents or more are joined to their members (sent to all tasks if they are counted few).
+    """
+    met = sets.select(F.explode("keys").alias("key"), "doc_id")
+    least = met.groupBy("key").agg(F.min("doc_id").alias("dst"), F.count("*").alias("n")).where("n > 1").select("key", "dst")
+    return met.join(counted(least), "key").select(F.col("doc_id").alias("src"), "dst").where("src <> dst").distinct()

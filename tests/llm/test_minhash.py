@@ -71,7 +71,7 @@ def test_chains_and_whole_table_against_brute_force(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(docs).collect()}
     sets = [set(shingles(t, 5).tolist()) for _, t in rows]
-    bands = [{(i, v) for i, v in enumerate(M.signature(t).view(np.uint64).tolist())} if s else set() for (_, t), s in zip(rows, sets, strict=True)]
+    bands = [{(i, v) for i, v in enumerate(M.bands(M.signature(t)).tolist())} if s else set() for (_, t), s in zip(rows, sets, strict=True)]
     up = {d: d for d, _ in rows}
 
     def root(d):
@@ -98,7 +98,7 @@ def test_a_linked_copy_still_links_others(spark):
         x, y, z = (set(shingles(" ".join(t), 5).tolist()) for t in (a, b, c))
         assert len(x & y) >= 0.8 * len(x | y) and len(y & z) >= 0.8 * len(y | z) and len(x & z) < 0.8 * len(x | z)
         rows += [(3 * n + k, " ".join(t)) for k, t in enumerate((a, b, c))]
-    keys = [set(enumerate(M.signature(t).view(np.uint64).tolist())) for _, t in rows]
+    keys = [set(enumerate(M.bands(M.signature(t)).tolist())) for _, t in rows]
     met = [n for n in range(20) if keys[3 * n + 1] & keys[3 * n + 2]]
     # the copies of b meet it in buckets of a only
     assert any(not (keys[3 * n + 1] & keys[3 * n + 2]) - keys[3 * n] for n in met)
