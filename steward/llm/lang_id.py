@@ -1,8 +1,8 @@
 """Language identification: script ranges, then Viterbi over per-word scores with a switching penalty.
 
 Fit: every learnable document is counted, none is sampled. A partition adds up hashed counts of the 3-grams around each letter
-per language, and the letters per script, and emits the non-empty ones once, so what is shuffled and what the
-driver gets is bounded by languages x BUCKETS. A language is a candidate for a word only if at least SCRIPT_SHARE of its
+per language, and the letters per script, and emits the non-empty ones once (or each time it has met HELD other languages), so what is
+shuffled and what the driver gets is bounded by languages x BUCKETS. Every language that has a letter is learned. A language is a candidate for a word only if at least SCRIPT_SHARE of its
 letters are in the word's script.
 
 Predict: words get one log score per language (the sum over their 3-grams), a Viterbi pass over the words
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,8 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 SWITCH = 10.0
 SCRIPT_SHARE = 0.001
-#: At most so many languages are learned (the most frequent ones); bounds the model.
-MAX_LANGS = 400
+#: Languages that a partition counts, and that the driver takes in, at a time.
+HELD = 64
 HELD_OUT = (4, 2)
 UNKNOWN = "und"
 
@@ -52,7 +53,8 @@ SCRIPTS = sorted({s for _, s in SCRIPT_STARTS})
 _script = np.zeros(0x110000, np.uint8)
 for _start, _name in SCRIPT_STARTS:
     _script[_start:] = SCRIPTS.index(_name)
-_words = re.compile(r"[^\W\d_]+").findall
+_words = regex.compile(r"\p{L}+").findall
+_ascii_words = re.compile(r"[a-z]+").findall
 #: Longer words (scripts without spaces, junk) are scored by pieces of this many letters, so no letter is left out.
 PIECE = 24
 #: Characters handled at a time; bounds the memory for texts of any length.
@@ -60,18 +62,19 @@ BLOCK = 200_000
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, long ones cut into pieces."""
-    found = _words(text.lower())
+    """Lower-cased runs of letters (Unicode's), long ones cut into pieces."""
+    low = text.lower()
+    found = _ascii_words(low) if low.isascii() else _words(low)
     if max(map(len, found), default=0) > PIECE:
         found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
     return found
 
 
-def blocks(words: list[str]) -> Iterator[list[str]]:
+def blocks(words: list[str], limit: int = BLOCK) -> Iterator[list[str]]:
     size, low = 0, 0
     for i, w in enumerate(words):
         size += len(w) + 1
-        if size > BLOCK:
+        if size > limit:
             yield words[low : i + 1]
             size, low = 0, i + 1
     if low < len(words):
@@ -107,7 +110,7 @@ class LanguageModel:
         """A row per word: log score per language, 0 for the best; nan where no language has the word's script."""
         out = np.empty((len(words), len(self.langs)), np.float32)
         at = 0
-        for part in blocks(words):
+        for part in blocks(words, BLOCK * 16 // max(16, len(self.langs))):
             bucket, starts, script = grams(part)
             sums = np.add.reduceat(self.weights[bucket], starts, axis=0)
             allowed = self.allowed[script]
@@ -120,37 +123,47 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Learn from all rows of docs that have a text and a language."""
+    """Learn from all rows of docs that have a text and a language.
+
+    A language whose texts have no letter isn't learned. Without any, the model knows none and predicts "und".
+    """
     require(docs, text, lang)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
+
+        def counted() -> Iterator[pd.DataFrame]:
+            for name, n in total.items():
+                i = np.flatnonzero(n)
+                yield pd.DataFrame({"lang": name, "bucket": i, "n": n[i]})
+            total.clear()
+
         for b in batches:
             for name, t in zip(b["lang"], b["text"], strict=True):
                 if name not in total:
+                    if len(total) == HELD:
+                        yield from counted()
                     total[name] = np.zeros(BUCKETS + len(SCRIPTS), np.int64)
                 for part in blocks(words_of(t)):
                     bucket, starts, script = grams(part)
                     sizes = np.diff(starts, append=len(bucket))
                     total[name][:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                     total[name][BUCKETS:] += np.bincount(script, sizes, len(SCRIPTS)).astype(np.int64)
-        for name, n in total.items():
-            i = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": name, "bucket": i, "n": n[i]})
-
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["lang"] for r in top)
-    counts = map_rows(rows.where(F.col("lang").isin(langs)), count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.toPandas()  # at most MAX_LANGS x (BUCKETS + scripts) rows
-    at = {name: i for i, name in enumerate(langs)}
-    col = got["lang"].map(at).to_numpy(dtype=int)
-    counted = np.zeros((BUCKETS + len(SCRIPTS), len(langs)))
-    counted[got["bucket"].to_numpy(dtype=int), col] = got["n"].to_numpy(dtype=float)
-    seen, scripts = counted[:BUCKETS], counted[BUCKETS:]
-    weights = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * BUCKETS))
-    allowed = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0))
-    return LanguageModel(langs, weights.astype(np.float32), allowed)
+        yield from counted()
+
+    counts = saved(map_rows(rows, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    weights, allowed = np.empty((BUCKETS, len(langs)), np.float32), np.empty((len(SCRIPTS), len(langs)), bool)
+    for low in range(0, len(langs), HELD):
+        some = langs[low : low + HELD]
+        got = counts.where(F.col("lang").isin(some)).toPandas()  # HELD x (BUCKETS + scripts) rows at most
+        counted = np.zeros((BUCKETS + len(SCRIPTS), len(some)))
+        counted[got["bucket"].to_numpy(dtype=int), got["lang"].map({name: i for i, name in enumerate(some)}).to_numpy(dtype=int)] = got["n"].to_numpy(dtype=float)
+        seen, scripts = counted[:BUCKETS], counted[BUCKETS:]
+        weights[:, low : low + HELD] = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * BUCKETS))
+        allowed[:, low : low + HELD] = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0))
+    return LanguageModel(langs, weights, allowed)
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -228,7 +241,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """
     require(docs, text)
     names = result_columns(docs, "lang_pred", "score", "n_spans")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGS x BUCKETS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x 4 bytes a language; grows with the labels, not with the rows
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(held.value)

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from helpers import documents
@@ -77,3 +79,21 @@ def test_edges(edge, empty, model):
     assert "score_2" in clash.columns and "lang_pred_2" in clash.columns and clash.first()["score"] == "mine"
     nothing = L.fit(empty)
     assert {r["lang_pred"] for r in L.identify(edge, nothing).collect()} == {"und"}
+
+
+def test_numbers_and_marks_are_no_letters(model):
+    for t in ("\u00b2", "\u00bd \u2460 \u2167", "\u00b2\u00b3 10 __", "\u3007", "\U0001d7d8"):
+        assert L.Labeller(model).predict(t) == ("und", 0.0, 0), t
+    assert L.words_of("x\u00b2y a_b \u00aa") == ["x", "y", "a", "b", "\u00aa"]
+
+
+def test_a_thousand_languages(spark):
+    """Each is learned, the rare ones too."""
+    word = lambda i: "".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    rows = [(f"l{i}", f"{word(i)} {word(i + 5000)} " * 5) for i in range(1000)] + [("l0", f"{word(0)} " * 5)] * 50 + [("none", "123 456"), (None, "text")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    m = L.fit(docs)
+    assert len(m.langs) == 1000 and "none" not in m.langs
+    label = L.Labeller(m)
+    got = [label.predict(f"{word(i)} {word(i + 5000)} " * 5)[0] == f"l{i}" for i in range(0, 1000, 7)]
+    assert sum(got) > 0.9 * len(got)
