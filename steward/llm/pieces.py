@@ -4,12 +4,13 @@ Vocabulary: the pieces and scores of a SentencePiece model file (its path is a p
 the driver and broadcast (the file bounds their size); executors need no local file. Scores are used as a unigram
 model's log probabilities, in 64-bit arithmetic.
 
-Normalisation is the file's own: spaces become U+2581, and one is put in front. A character that no piece has, and a literal
+Normalisation is the file's own: spaces become U+2581, and one is put in front. A character that isn't a piece, and a literal
 U+2581 of the text, costs the least score less 10 and is spelled as its UTF-8 bytes, so that decoding gives the text back exactly.
 
-A text is cut where no piece of the vocabulary reaches over (before a space that follows another character, between letters and
-others, and around characters that no piece has): the best paths of the parts are the best path of the whole. A part is solved once and
-remembered; new parts are solved many at a time, by one pass of an Aho-Corasick automaton over all of them.
+A text is cut where no piece of the vocabulary reaches over: around characters that no piece has; before a space that follows
+another character, if no piece has one there; between letters and others, if no piece has both. The best paths of the parts are the
+best path of the whole; a vocabulary that reaches over more leaves longer parts. A part is solved once and remembered;
+new parts are solved many at a time, by one pass of an Aho-Corasick automaton over all of them.
 """
 
 from __future__ import annotations
@@ -49,19 +50,30 @@ class Vocabulary:
         self.raw = [p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p in self.pieces]
         for b, i in self.bytes_.items():
             self.raw[i] = bytes([b])
-        known = {self.pieces[i] for i in normal if len(self.pieces[i]) == 1}
-        if any(SPACE in self.pieces[i].lstrip(SPACE) for i in normal) or {c for i in normal for c in self.pieces[i]} - known or "\n" in known:
-            raise ValueError("pieces reach over spaces, or have characters that aren't pieces: texts can't be cut there")
-        if any(a.isalpha() != b.isalpha() for i in normal if (p := self.pieces[i].lstrip(SPACE)) for a, b in zip(p, p[1:], strict=False)):
-            raise ValueError("pieces have letters next to others: texts can't be cut there")
-        letters, others = ("".join(re.escape(c) for c in sorted(known - {SPACE, " "}) if c.isalpha() == kind) for kind in (True, False))
-        #: Parts: spaces with the letters, or the other characters, that follow them; letters; others; a character without a piece.
-        self._parts = re.compile(rf" +(?:[{letters}]+|[{others}]+)?|[{letters}]+|[{others}]+|[^ {letters}{others}]").findall
-        self._has = known - {SPACE}
+        has = {c for i in normal for c in self.pieces[i]}
+        self._has = has - {SPACE}
+        #: Pieces that an id stands for: one, but for ids after the vocabulary's, each a character of pieces that is none itself.
+        self.width = [1] * self.size
         self.automaton = ahocorasick.Automaton()
         for i in normal:
             self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), self.scores[i], i))
+        for c in sorted(has - {self.pieces[i] for i in normal}):
+            ids = self.spelled(" " if c == SPACE else c)
+            self.automaton.add_word(c, (1, self.unknown, len(self.code)))
+            self.code.append(b"".join(self.code[i] for i in ids))
+            self.width.append(len(ids))
         self.automaton.make_automaton()
+        #: Stands between parts; no piece has it.
+        self.mark = next(c for c in map(chr, (10, *range(0x110000))) if c not in has)
+        inner = [self.pieces[i].lstrip(SPACE) for i in normal]
+        mixed = any(a.isalpha() != b.isalpha() for p in inner for a, b in zip(p, p[1:], strict=False) if SPACE not in (a, b))
+        spaced = any(SPACE in p for p in inner)
+        letters, others = ("".join(re.escape(c) for c in sorted(self._has - {" "}) if c.isalpha() == kind) for kind in (True, False))
+        runs = [f"[{x}]+" for x in ([letters + others] if mixed else [letters, others]) if x]
+        if spaced:  # a part goes on over spaces
+            self._parts = re.compile(f"[ {letters}{others}]+|[^ {letters}{others}]").findall
+        else:  # spaces with what follows them
+            self._parts = re.compile("|".join([f" +(?:{'|'.join(runs)})?", *runs, f"[^ {letters}{others}]"])).findall
 
     def parts(self, text: str) -> list[str]:
         """The parts that the best path can be put together from."""
@@ -87,7 +99,7 @@ class Vocabulary:
         for p in parts:
             starts.append(at)
             at += len(p) + 1
-        return starts, self.automaton.iter("\n".join(parts).replace(" ", SPACE))
+        return starts, self.automaton.iter(self.mark.join(parts).replace(" ", SPACE))
 
 
 def solved(v: Vocabulary, parts: list[str]) -> list[tuple[float, int]]:
@@ -101,11 +113,12 @@ def solved(v: Vocabulary, parts: list[str]) -> list[tuple[float, int]]:
     best, count = [LEAST] * size, [0] * size  # places are counted by the character before them
     for s in starts:
         best[s - 1] = 0.0
-    for at, (n, score, _) in found:
+    width = v.width
+    for at, (n, score, i) in found:
         new = best[at - n] + score
         if new > best[at]:
             best[at] = new
-            count[at] = count[at - n] + 1
+            count[at] = count[at - n] + width[i]
     return [(v.unknown, len(p.encode("utf-8", "surrogatepass"))) if v.is_spelled(p) else (best[s + len(p) - 1], count[s + len(p) - 1]) for p, s in zip(parts, starts, strict=True)]
 
 

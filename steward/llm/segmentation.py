@@ -190,13 +190,14 @@ def segmented(batches: Iterator[pa.RecordBatch], column: str, held, n: int, use:
         out = []
         for p in range(len(parts)):
             score, ids, loss = lattice.first_path(p)
-            out.append((score, len(ids), loss, b"".join([code[i] for i in ids])))
+            raw = b"".join([code[i] for i in ids])
+            out.append((score, len(raw) // 4, loss, raw))
         return out
 
     gc.disable()  # millions of tuples, none in a cycle; counting references frees them
     try:
         known = Remembered(first, *use[1:])
-        more = Remembered(lambda parts: [[(s, len(ids)) for s, ids in paths] for paths in n_best(v, parts, n)])
+        more = Remembered(lambda parts: [[(s, sum([v.width[i] for i in ids])) for s, ids in paths] for paths in n_best(v, parts, n)])
         for b in slices(batches, use[0]):
             rows, wanted = [], []
             texts = [v.parts(t or "") for t in b.column(column).to_pylist()]

@@ -1,5 +1,6 @@
 import itertools
 import random
+import struct
 
 import pytest
 import sentencepiece
@@ -115,3 +116,51 @@ def test_edges(spark, edge, empty):
     assert token_count.count_tokens(edge).where("doc_id = 1").first()["n_tokens"] == 0
     assert "ids_2" in segmentation.encode(edge.withColumn("ids", F.lit(1))).columns
     assert "n_tokens_2" in token_count.count_tokens(edge.withColumn("n_tokens", F.lit(1))).columns
+
+
+def model_file(path, pieces_):
+    """A unigram model file: (piece, score) after <unk> and the bytes, put together by hand."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(n, value):
+        if isinstance(value, bytes):
+            return number(n << 3 | 2) + number(len(value)) + value
+        return number(n << 3 | 5) + struct.pack("<f", value) if isinstance(value, float) else number(n << 3) + number(value)
+
+    rows = [("<unk>", 0.0, 2)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] + [(p, s, 1) for p, s in pieces_]
+    proto = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, kind)) for p, s, kind in rows)
+    proto += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    path.write_bytes(proto)
+    return str(path)
+
+
+VOCABULARIES = {
+    "digits with letters": [("\u2581", -3.0), ("a", -2.0), ("b", -2.5), ("1", -2.25), ("a1", -2.75), ("\u2581a1b", -4.0), ("b1", -3.5)],
+    "over spaces": [("\u2581", -3.0), ("a", -2.0), ("b", -2.5), ("1", -2.25), ("a\u2581b", -3.0), ("\u2581a\u2581b\u2581", -5.5), ("\u2581\u2581", -4.0)],
+    "characters that are no pieces": [("\u2581", -3.0), ("a", -2.0), ("ab", -2.5), ("b1", -6.0), ("\u2581a", -2.25), ("1a", -3.0)],
+    "line ends": [("\u2581", -3.0), ("a", -2.0), ("\n", -2.0), ("a\na", -3.25), ("1", -1.0), ("b", -1.5)],
+}
+
+
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_any_vocabulary(spark, tmp_path, name):
+    path = model_file(tmp_path / "m.model", VOCABULARIES[name])
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        v = pieces.Vocabulary(f.read())
+    rng = random.Random(8)
+    texts = ["", " ", "a1b b1 a b", "ab\nab\na", *("".join(rng.choice("aab1 \n\u00e9") for _ in range(rng.randint(1, 14))) for _ in range(150))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    worth = lambda ids: sum(v.scores[i] for i in ids if i not in v.bytes_.values())
+    counts = {r["doc_id"]: r for r in token_count.count_tokens(docs, model=path).collect()}
+    for r in segmentation.encode(docs, model=path).collect():
+        t, theirs = r["text"], sp.encode(r["text"])
+        assert r["decoded"] == t and len(r["ids"]) == r["sizes"][0] == counts[r["doc_id"]]["n_tokens"]
+        assert r["scores"][0] == counts[r["doc_id"]]["best_score"] and r["scores"] == sorted(r["scores"], reverse=True)
+        spelled = sum(i in v.bytes_.values() for i in r["ids"]), sum(i in v.bytes_.values() for i in theirs)
+        assert spelled[0] == spelled[1] and worth(r["ids"]) == pytest.approx(worth(theirs)), (t, r["ids"], theirs)
