@@ -8,7 +8,8 @@ a match that fails its test is dropped and not retried. Spans that only cues can
 
 * account: an account, passport, tax or insurance number, IBAN, token, key or password after its cue word;
 * login: the user:password part of a URL;
-* address: house number and street name before or after a street cue.
+* address: house number and street name before or after a street cue;
+* secret: a key after one of the prefixes that services give them, a bearer token, a private key between its header and footer.
 
 Spans are code points, end exclusive. A null or empty text has none; a text is searched whole, in linear time.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from .common import in_pandas, require, result_columns, schema_with
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "login", "address")
+KINDS = (*BASE, "account", "login", "address", "secret")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 DIGITS = frozenset("0123456789")
 LOCAL = frozenset(LETTERS + "0123456789._%+-")
@@ -39,6 +40,11 @@ LOGIN = SECRET | {":"}
 #: Words before an account or secret; found in lower case, as whole words.
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "tax id", "routing", "token", "password", "passwd", "api_key", "apikey", "api key", "secret", "konto", "kontonummer", "cuenta", "compte")
 SCHEMES = ("://",)
+#: What keys begin with, as written; so many characters at least, two of them digits.
+KEY_PREFIXES = ("sk-", "sk_live_", "sk_test_", "rk_live_", "pk_live_", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "AKIA", "ASIA", "AIza", "eyJ", "hf_", "npm_", "SG.")
+LEAST_KEY = 20
+KEY = frozenset(LETTERS + "0123456789_-+/=.")
+BEARER, PEM = "bearer ", "-----begin "
 STREET_AFTER = ("street", "avenue", "road", "boulevard", "lane", "straße", "strasse")
 STREET_BEFORE = ("rue ", "calle ", "avenida ")
 _house_before = re.compile(r"\d{1,5}[a-z]?,? (?:[^\W\d_]+ ){0,3}\Z", re.I)
@@ -58,7 +64,7 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(c, ("digit", 1))
     a.add_word("@", ("at", 1))
     a.add_word("+", ("plus", 1))
-    for kind, words in (("account", ACCOUNT_CUES), ("scheme", SCHEMES), ("after", STREET_AFTER), ("before", STREET_BEFORE)):
+    for kind, words in (("account", ACCOUNT_CUES), ("scheme", SCHEMES), ("after", STREET_AFTER), ("before", STREET_BEFORE), ("bearer", (BEARER,)), ("pem", (PEM, PEM.upper())), ("key", sorted({x for p in KEY_PREFIXES for x in (p, p.lower())}))):
         for w in words:
             a.add_word(w, (kind, len(w)))
     a.make_automaton()
@@ -163,6 +169,14 @@ def account_at(text: str, end: int, start: int, floor: int) -> tuple[int, int, i
     return at, stop, walked, 6 <= len(found) and sum(c in DIGITS for c in found) >= 2
 
 
+def key_at(text: str, start: int, at: int) -> tuple[int, int, bool]:
+    """The key from start on, whose characters are looked at from at on; how far was walked, and whether it is one."""
+    end = walked = run_right(text, at, KEY)
+    while end > at and text[end - 1] in "._-=":
+        end -= 1
+    return end, walked, end - start >= LEAST_KEY and sum(c in DIGITS for c in text[start:end]) >= 2
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start, then by kind as in KINDS."""
     if not text:
@@ -170,6 +184,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     last = dict.fromkeys(KINDS, 0)
     run = 0  # end of the digit run that was looked at last
+    last_foot = 0  # of a private key; negative if there is none further on
     low = text.lower()
     folded = len(low) == len(text)  # a few capitals get longer in lower case; cues are then sought as they stand
     for last_char, (kind, n) in automaton().iter(low if folded else text):
@@ -198,6 +213,24 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             stop = last["login"] = run_right(text, end, LOGIN)
             if stop < len(text) and text[stop] == "@" and ":" in text[end:stop] and stop > end + 2:
                 out.append(("login", end, stop))
+        elif kind in ("key", "bearer"):
+            start = last_char + 1 - n if kind == "key" else last_char + 1
+            # in what was walked over no key starts: it would be a part of what failed, or of what was found
+            if start < last["secret"] or kind == "key" and (start and text[start - 1].isalnum() or text[start : last_char + 1] not in KEY_PREFIXES):
+                continue
+            end, last["secret"], ok = key_at(text, start, last_char + 1)
+            if ok:
+                out.append(("secret", start, end))
+        elif kind == "pem":
+            start = last_char + 1 - n
+            if start >= last["secret"] and "PRIVATE KEY" in text[start : start + 60]:
+                foot = text.find("-----END ", start) if last_foot >= 0 else -1
+                last_foot = foot
+                stop = text.find("-----", foot + 9, foot + 80) if foot >= 0 else -1
+                end = stop + 5 if stop >= 0 else text.find("-----", last_char, last_char + 60) + 5
+                if end > start:
+                    last["secret"] = end
+                    out.append(("secret", start, end))
         elif kind == "account":
             if m := account_at(text, last_char + 1, last_char + 1 - n, last["account"]):
                 last["account"] = m[2]  # no number starts in what was walked over (a part of what failed has no more digits); a cue may
@@ -243,13 +276,13 @@ def redact(text: str | None) -> str | None:
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus n_email, n_ip, n_card, n_phone, base_sha256, spans and redacted.
+    """docs plus n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted, then n_account, n_login, n_address, n_secret and n_spans (of all kinds).
 
     Row by row, no shuffle. Null text: no spans, redacted null. Repeated rows give equal results, an empty table an
     empty one; names that clash get a suffix.
     """
     require(docs, text)
-    names = result_columns(docs, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "redacted")
+    names = result_columns(docs, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "redacted", *(f"n_{k}" for k in KINDS[len(BASE) :]), "n_spans")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -257,7 +290,8 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
             base = [[s for s in spans if s[0] in BASE] for spans in found]
             columns = [[sum(s[0] == k for s in spans) for spans in base] for k in BASE]
             columns += [[sha256(joined(spans).encode()).hexdigest() for spans in base], [joined(s) for s in found], [redact(t) if s else t for t, s in zip(b[text], found, strict=True)]]
+            columns += [[sum(s[0] == k for s in spans) for spans in found] for k in KINDS[len(BASE) :]] + [[len(s) for s in found]]
             yield b.assign(**dict(zip(names, columns, strict=True)))
 
-    kinds = [T.LongType()] * 4 + [T.StringType()] * 3
+    kinds = [T.LongType()] * 4 + [T.StringType()] * 3 + [T.LongType()] * 5
     return in_pandas(docs, scan, schema_with(docs, *zip(names, kinds, strict=True)))
