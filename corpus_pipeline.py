@@ -37,7 +37,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind; n_chars follows."""
     found = pii.detect(docs)
-    redacted = found.columns[-1]
+    redacted = found.columns[len(docs.columns) + 6]
     out = found.withColumn("text", F.col(redacted))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
