@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A record's nested field paths (with their types) are hashed; the fingerprint selects a declarative mapping to canonical
-turns, an array of struct<role, text>. MAPPINGS lists the layouts; a table (by its schema) or JSON lines (by the schema
-of each record) use the same mappings, and unknown fingerprints are reported, not guessed.
+The nested field paths of a record that some layout knows are hashed; the fingerprint selects a declarative mapping to
+canonical turns, an array of struct<role, text>. MAPPINGS lists the layouts. A table has the paths of its schema, JSON lines those of
+each record, by the same fingerprints and mappings. Fields that no layout knows don't count; unknown fingerprints
+are reported, not guessed.
 
 Template: <|role|>NAME<|text|>TEXT<|end|> for each turn. In names and texts a backslash is doubled, and one is put
 after the first character of each control string, ours and those of other common templates, so none can be read
@@ -13,12 +14,13 @@ what is before the text, the text, what is after; loss is true for assistants' t
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import require
+from .common import require, result_columns
 
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -36,59 +38,68 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def paths(kind: T.DataType, at: str = "") -> list[str]:
-    """Nested field paths of a type, array elements as [], each with its scalar type."""
-    if isinstance(kind, T.StructType):
-        return [p for f in kind.fields for p in paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
-    if isinstance(kind, T.ArrayType):
-        return paths(kind.elementType, f"{at}[]")
-    return [f"{at}:{'string' if isinstance(kind, (T.StringType, T.NullType)) else 'number'}"]
-
-
-def fingerprint_text(found: list[str]) -> str:
-    """What is hashed: the paths, sorted, one a line."""
-    return "\n".join(sorted(found))
-
-
 @dataclass(frozen=True)
 class Mapping:
-    """paths that make the fingerprint; a record's turns as SQL over its fields."""
+    """paths that make the fingerprint ([] after a list's name); the turns as SQL over the record's fields, each after {r}.
+
+    grouped: the turns are those of all rows with the same conv_id.
+    """
 
     name: str
     paths: tuple[str, ...]
     turns: str
+    grouped: bool = False
 
-    @property
-    def ddl(self) -> str:
-        tree: dict = {}
-        for p in self.paths:
-            node, (names, kind) = tree, p.rsplit(":", 1)
-            *above, leaf = names.split(".")
-            for a in above:
-                node = node.setdefault(a, {})
-            node[leaf] = kind
-
-        def say(node) -> str:
-            if isinstance(node, str):
-                return {"string": "string", "number": "double"}[node]
-            inner = ",".join(f"{k.removesuffix('[]')}:{f'array<{say(v)}>' if k.endswith('[]') else say(v)}" for k, v in node.items())
-            return f"struct<{inner}>"
 
-        return say(tree)
+def pair(prompt: str, response: str) -> str:
+    return f"array(struct('user' as role, {{r}}{prompt} as text), struct('assistant' as role, {{r}}{response} as text))"
 
 
 MAPPINGS = (
-    Mapping("prompt_response", ("prompt:string", "response:string"), "array(struct('user' as role, prompt as text), struct('assistant' as role, response as text))"),
-    Mapping("prompt_completion", ("prompt:string", "completion:string"), "array(struct('user' as role, prompt as text), struct('assistant' as role, completion as text))"),
-    Mapping("question_answer", ("question:string", "answer:string"), "array(struct('user' as role, question as text), struct('assistant' as role, answer as text))"),
-    Mapping("instruction", ("instruction:string", "output:string"), "array(struct('user' as role, instruction as text), struct('assistant' as role, output as text))"),
-    Mapping("instruction_input", ("instruction:string", "input:string", "output:string"), "array(struct('user' as role, concat_ws('\\n\\n', instruction, nullif(input, '')) as text), struct('assistant' as role, output as text))"),
-    Mapping("system_instruction", ("system:string", "instruction:string", "output:string"), "array(struct('system' as role, system as text), struct('user' as role, instruction as text), struct('assistant' as role, output as text))"),
-    Mapping("messages", ("messages[].role:string", "messages[].content:string"), "transform(messages, m -> struct(m.role as role, m.content as text))"),
-    Mapping("conversations", ("conversations[].from:string", "conversations[].value:string"), "transform(conversations, m -> struct(m.from as role, m.value as text))"),
+    Mapping("prompt_response", ("prompt", "response"), pair("prompt", "response")),
+    Mapping("prompt_completion", ("prompt", "completion"), pair("prompt", "completion")),
+    Mapping("question_answer", ("question", "answer"), pair("question", "answer")),
+    Mapping("instruction", ("instruction", "output"), pair("instruction", "output")),
+    Mapping("instruction_input", ("instruction", "input", "output"), "array(struct('user' as role, concat_ws('\\n\\n', {r}instruction, nullif({r}input, '')) as text), struct('assistant' as role, {r}output as text))"),
+    Mapping("system_instruction", ("system", "instruction", "output"), "array(struct('system' as role, {r}system as text), struct('user' as role, {r}instruction as text), struct('assistant' as role, {r}output as text))"),
+    Mapping("messages", ("messages[].role", "messages[].content"), "transform({r}messages, m -> struct(m.role as role, m.content as text))"),
+    Mapping("conversations", ("conversations[].from", "conversations[].value"), "transform({r}conversations, m -> struct(m.from as role, m.value as text))"),
+    Mapping("turn_rows", ("turn", "role", "text"), "transform(array_sort(collect_list(struct({r}turn as turn, coalesce({r}role, '') as role, coalesce({r}text, '') as text))), t -> struct(t.role as role, t.text as text))", True),
 )
-#: The layout of a table with one turn a row.
-TURN_ROWS = ("conv_id:number", "turn:number", "role:string", "text:string")
+KNOWN = sorted({p for m in MAPPINGS for p in m.paths})
+LISTS = sorted({p.split("[].")[0] for p in KNOWN if "[]." in p})
+
+
+def fingerprint(found) -> str:
+    """Hash of the paths that some layout knows, in order."""
+    return sha256("\n".join(sorted(set(found))).encode()).hexdigest()
+
+
+#: Mapping by fingerprint; a list without elements is known by its name alone.
+BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS} | {fingerprint([f"{a}[]"]): m for m in MAPPINGS for a in LISTS if m.paths[0].startswith(f"{a}[].")}
+
+
+def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
+    """Nested field paths of a type, list elements as []."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
+    return schema_paths(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else [at]
+
+
+def below(name: str):
+    return lambda field: F.concat(F.lit(f"{name}[]."), field)
+
+
+def record_fingerprint(value: Column) -> Column:
+    """The fingerprint of a JSON record, from its own nested fields; null if it isn't an object."""
+    keys = F.json_object_keys(value)
+    found = [F.array_intersect(keys, F.array(*(F.lit(p) for p in KNOWN if "[]." not in p)))]
+    for a in LISTS:
+        each = F.from_json(F.get_json_object(value, f"$.{a}"), "array<map<string,string>>")
+        names = F.array_intersect(F.flatten(F.transform(each, F.map_keys)), F.array(*(F.lit(p.split("[].")[1]) for p in KNOWN if p.startswith(f"{a}[]."))))
+        inner = F.when(F.size(each) == 0, F.array(F.lit(f"{a}[]"))).otherwise(F.transform(names, below(a)))
+        found.append(F.coalesce(F.when(F.array_contains(keys, a), inner), F.array().cast("array<string>")))
+    return F.when(keys.isNotNull(), F.sha2(F.array_join(F.array_sort(F.concat(*found)), "\n"), 256))
 
 
 def canonical(turns: Column) -> Column:
@@ -97,96 +108,59 @@ def canonical(turns: Column) -> Column:
     return F.transform(F.coalesce(turns, F.array().cast(TURNS)), lambda m: F.struct(role(F.lower(F.coalesce(m["role"], F.lit("")))).alias("role"), F.coalesce(m["text"], F.lit("")).alias("text")))
 
 
-def json_fingerprint(value: Column) -> Column:
-    """The fingerprint of a JSON record, from the nested field paths of the record itself."""
-    schema = F.schema_of_variant(F.try_parse_json(value))
-    return F.sha2(F.regexp_replace(F.regexp_replace(schema, r"\b(VOID|NULL)\b", "STRING"), r"\b(BIGINT|DOUBLE|DECIMAL\(\d+,\s*\d+\))", "DOUBLE"), 256)
-
-
 def from_json(df: DataFrame, value: str = "value") -> DataFrame:
     """df plus layout (null if unknown), fingerprint and turns of the JSON records in column value.
 
-    Field order doesn't count. Null or malformed records and unknown layouts have layout null and no turns.
+    Field order and fields that no layout knows don't count, so a very long or repeated record is as any other. Null or malformed records and
+    unknown layouts have layout null and no turns; an empty list of messages has its layout and no turns; null fields
+    are empty texts. An empty table gives an empty one; names that clash get a suffix.
     """
     require(df, value)
-    spark = df.sparkSession
-    # a mapping's fingerprint is that of a record of its shape, made here: one row a mapping
-    known = {}
-    for m in MAPPINGS:
-        shape = spark.range(1).select(F.lit(_example(m)).alias("v")).select(json_fingerprint(F.col("v"))).first()[0]
-        known[shape] = m
-    df = df.withColumn("fingerprint", json_fingerprint(F.col(value)))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for shape, m in known.items():
-        match = F.col("fingerprint") == shape
-        row = F.from_json(value, T.StructType.fromDDL(m.ddl.removeprefix("struct<")[:-1]))
-        fields = [p.split(":")[0].split("[")[0].split(".")[0] for p in m.paths]
-        lifted = F.expr(_lifted(m.turns, dict.fromkeys(fields)))
-        df = df.withColumn("_record", F.when(match, row))
-        turns = F.when(match, lifted).otherwise(turns)
-        df = df.withColumn("_turns", F.when(match, lifted).otherwise(F.col("_turns") if "_turns" in df.columns else F.lit(None).cast(TURNS)))
-        layout = F.when(match, F.lit(m.name)).otherwise(layout)
-    return df.withColumn("layout", layout).withColumn("turns", canonical(F.col("_turns"))).drop("_record", "_turns")
-
-
-def _lifted(sql: str, fields) -> str:
-    """The mapping's SQL with its fields taken from the parsed record."""
-    import re
-
-    for f in fields:
-        sql = re.sub(rf"(?<![\w.']){f}(?![\w'])", f"_record.{f}", sql)
-    return sql
-
-
-def _example(m: Mapping) -> str:
-    import json
-
-    out: dict = {}
-    for p in m.paths:
-        names = p.rsplit(":", 1)[0]
-        if "[]." in names:
-            a, b = names.split("[].")
-            out.setdefault(a, [{}])[0][b] = "x"
-        else:
-            out[names] = "x"
-    return json.dumps(out)
+    layout, shape, turns, record = result_columns(df, "layout", "fingerprint", "turns", "record")
+    fields = [f"{p} string" for p in KNOWN if "[]." not in p]
+    fields += [f"{a} array<struct<{','.join(p.split('[].')[1] + ':string' for p in KNOWN if p.startswith(f'{a}[].'))}>>" for a in LISTS]
+    df = df.withColumns({shape: record_fingerprint(F.col(value)), record: F.from_json(value, ", ".join(fields))})
+    name, found = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for h, m in BY_FINGERPRINT.items():
+        if not m.grouped:
+            name, found = F.when(F.col(shape) == h, F.lit(m.name)).otherwise(name), F.when(F.col(shape) == h, F.expr(m.turns.format(r=f"{record}."))).otherwise(found)
+    return df.withColumns({layout: name, turns: canonical(found)}).drop(record)
 
 
 def from_table(df: DataFrame) -> DataFrame:
-    """conv_id and turns of a table, by the fingerprint of its schema: one turn a row, or one of MAPPINGS with a key conv_id.
+    """conv_id and turns of a table, by the fingerprint of its schema: one turn a row, or one record a row with a key conv_id.
 
-    Columns besides the layout's don't count. Turns are in the order of turn, equal ones by role and text.
-    A conversation is one row of the result; its turns meet in one task, which is the most that a group can be.
+    Columns that no layout knows don't count. Of one turn a row: turns are in the order of turn, equal ones by role and text, and
+    keep their role names; null roles and texts are empty strings; a null conv_id is a conversation. A conversation is one row of
+    the result; its turns meet in one task, which is the most that a group can be. An empty table gives an empty one.
     """
-    known = {fingerprint_text(list(m.paths)): m for m in MAPPINGS}
-    have = set(paths(df.schema))
-    if set(TURN_ROWS) <= have:
-        turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        grouped = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-        return grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    for shape, m in sorted(known.items(), key=lambda x: -len(x[1].paths)):
-        if set(shape.split("\n")) <= have:
-            return df.select("conv_id", canonical(F.expr(m.turns)).alias("turns"))
-    raise ValueError("unknown layout: " + ", ".join(sorted(have)))
+    require(df, "conv_id")
+    have = schema_paths(df.schema)
+    if not (m := BY_FINGERPRINT.get(fingerprint(p for p in have if p in KNOWN))):
+        raise ValueError("unknown layout: " + ", ".join(sorted(have)))
+    turns = F.expr(m.turns.format(r=""))
+    return df.groupBy("conv_id").agg(turns.alias("turns")) if m.grouped else df.select("conv_id", canonical(turns).alias("turns"))
 
 
 def formatted(df: DataFrame) -> DataFrame:
-    """df (with turns) plus formatted and runs."""
+    """df (with turns) plus formatted and runs; null turns give null, no turns an empty string. Names that clash get a suffix."""
+    text, runs = result_columns(df, "formatted", "runs")
     one = lambda t: F.concat(F.lit(ROLE), escape(t["role"]), F.lit(TEXT), escape(t["text"]), F.lit(END))
     run = lambda n, loss: F.struct(n.cast("int").alias("n"), loss.alias("loss"))
     three = lambda t: F.array(run(F.length(escape(t["role"])) + len(ROLE + TEXT), F.lit(False)), run(F.length(escape(t["text"])), t["role"] == "assistant"), run(F.lit(len(END)), F.lit(False)))
-    return df.withColumn("formatted", F.array_join(F.transform("turns", one), "")).withColumn("runs", F.flatten(F.transform("turns", three)))
+    return df.withColumns({text: F.array_join(F.transform("turns", one), ""), runs: F.flatten(F.transform("turns", three))})
 
 
-def read_back(df: DataFrame) -> DataFrame:
-    """df (with formatted and runs) plus read (turns) and loss (the text under the mask, unescaped), from these two alone.
+def read_back(df: DataFrame, formatted: str = "formatted", runs: str = "runs") -> DataFrame:
+    """df plus read (turns) and loss (the text under the mask, unescaped), from these two columns alone.
 
-    The string is split once at its end marks, and a turn's runs lie within its piece, so the time is linear.
+    The string is split once at its end marks, and a turn's runs lie within its piece, so the time is linear. Null gives null. Names
+    that clash get a suffix.
     """
-    pieces = F.filter(F.split("formatted", r"<\|end\|>"), lambda p: p != "")
+    read, loss, pieces = result_columns(df, "read", "loss", "pieces")
     role = lambda p: unescape(F.substring_index(F.substr(p, F.lit(len(ROLE) + 1)), TEXT, 1))
     text = lambda p: unescape(F.substring_index(p, TEXT, -1))
-    df = df.withColumn("_pieces", pieces)
-    df = df.withColumn("read", F.transform("_pieces", lambda p: F.struct(role(p).alias("role"), text(p).alias("text"))))
-    masked = F.transform("_pieces", lambda p, i: F.when(F.get("runs", 3 * i + 1)["loss"], unescape(F.substr(p, F.get("runs", 3 * i)["n"] + 1, F.get("runs", 3 * i + 1)["n"]))).otherwise(F.lit("")))
-    return df.withColumn("loss", F.array_join(masked, "")).drop("_pieces")
+    df = df.withColumn(pieces, F.filter(F.split(formatted, r"<\|end\|>"), lambda p: p != ""))
+    masked = F.transform(pieces, lambda p, i: F.when(F.get(runs, 3 * i + 1)["loss"], unescape(F.substr(p, F.get(runs, 3 * i)["n"] + 1, F.get(runs, 3 * i + 1)["n"]))).otherwise(F.lit("")))
+    turns = F.transform(pieces, lambda p: F.struct(role(p).alias("role"), text(p).alias("text")))
+    return df.withColumns({read: turns, loss: F.array_join(masked, "")}).drop(pieces)

@@ -68,6 +68,31 @@ def test_layouts_are_told_apart(spark):
     assert all(got[k]["layout"] is None and got[k]["turns"] == [] for k in ("odd", "bad", "null"))
 
 
+def test_fingerprints_leave_out_what_no_layout_knows(spark):
+    rows = [
+        (1, json.dumps({"id": 7, "prompt": "p", "response": "r", "meta": {"prompt": 1}}), "prompt_response", 2), (2, '{"messages": []}', "messages", 0), (3, '{"prompt": "p", "response": null}', "prompt_response", 2),
+        (4, json.dumps({"messages": [{"role": "user", "content": "a", "name": "x"}, {"role": "bot"}], "source": "s"}), "messages", 2), (5, '{"messages": "text"}', None, 0), (6, "[1]", None, 0),
+        (7, json.dumps({"prompt": "p", "response": "r", "messages": [{"role": "user", "content": "a"}]}), None, 0), (8, json.dumps({"prompt": "long " * 200000, "response": ""}), "prompt_response", 2),
+    ]
+    df = spark.createDataFrame(rows, "n int, value string, layout string, turns int")
+    got = C.from_json(df)
+    assert got.columns == ["n", "value", "layout", "turns", "fingerprint", "layout_2", "turns_2"]
+    for r in got.collect():
+        assert r["layout_2"] == r["layout"] and len(r["turns_2"]) == r["turns"], r["n"]
+        assert (r["fingerprint"] in C.BY_FINGERPRINT) == (r["layout"] is not None)
+    assert C.from_json(df.where("false")).count() == 0
+    table = spark.createDataFrame([(1, 0, "gpt", "t")], "conv_id long, turn long, role string, text string")
+    assert C.BY_FINGERPRINT[C.fingerprint(C.schema_paths(table.drop("conv_id").schema))].name == "turn_rows"
+    assert [tuple(t) for t in C.from_table(table).first()["turns"]] == [("gpt", "t")]
+
+
+def test_names_that_clash_and_null_turns(spark):
+    df = spark.createDataFrame([(1, None, "mine", 5), (2, [("assistant", "a")], "mine", 6)], "conv_id long, turns array<struct<role:string,text:string>>, formatted string, loss int")
+    out = C.read_back(C.formatted(df), "formatted_2")
+    rows = {r["conv_id"]: r for r in out.collect()}
+    assert rows[2]["formatted"] == "mine" and rows[2]["loss"] == 6 and rows[2]["loss_2"] == "a" and rows[1]["formatted_2"] is None and rows[1]["read"] is None
+
+
 def test_tables_by_schema(spark):
     a = spark.createDataFrame([(1, "p", "r", 5)], "conv_id long, prompt string, response string, extra int")
     assert [tuple(t) for t in C.from_table(a).first()["turns"]] == [("user", "p"), ("assistant", "r")]
