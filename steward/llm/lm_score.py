@@ -1,14 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network in numpy predicts every token from both of its sides.
 
-Tokens: the VOCABULARY most frequent words of the corpus (all words of all documents are counted), others in one of
-BUCKETS hash buckets; a boundary token on both sides of a document. Network: the embeddings of the SIDE tokens before
-and after, one table for each place, are added, pass a tanh layer, and a softmax gives one of CLASSES classes: the most frequent
-words are classes of their own, the others share the rest. Within its class a token has its share of the corpus count.
-A document's score is the sum of log p(token | the tokens on both sides) over all its tokens.
-
-Training covers every token: each partition starts from the same weights, goes once over all its tokens, and sends weights and
-number of tokens; their mean, weighted by tokens, is the next round's start. Weights are added up in rounds of
-streamed partial sums, so that no task holds more than one sum. Counts and weights gathered grow with the corpus.
+Tokens: the most frequent words of the corpus (all words of all documents are counted; as many as the root of the number of words
+divided by GROWTH, MOST_WORDS at most), others in hash buckets, half as many; a boundary token on both sides of a document.
+Network: the embeddings of the SIDE tokens before and after, one table for each place, are added and pass a tanh layer. Two
+softmax layers over it give first a class and then the token within its class, so that the context decides between any two tokens.
+Classes have near equal shares of the corpus, frequent tokens first; there are as many as the root of the number of tokens. A
+word that shares a bucket has an equal part of the bucket. A document's score is the sum of log p(token | the tokens on both sides)
+over all its tokens.
+
+Training covers every token: each partition starts from the same weights (without context, a token has its share of the
+corpus), goes once over all its tokens, and sends weights and number of tokens; their mean, weighted by tokens, is the next
+round's start. Weights are added up in rounds of streamed partial sums, so that no task holds more than two of them. What is
+counted, and the network up to its bound, grow with the corpus.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import nsmallest
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -29,42 +31,50 @@ from pyspark.sql import types as T
 
 from .common import REMEMBERED, in_pandas, require, result_columns, saved, schema_with
 
-VOCABULARY = 1000
-BUCKETS = 1000
+#: Words for each squared word of the vocabulary; least and greatest number of words; hash values of the others, folded to as many buckets as are used.
+GROWTH, LEAST_WORDS, MOST_WORDS, HASHES = 8, 256, 1 << 15, 1 << 14
 SIDE = 2
 HIDDEN = 16
-CLASSES = 64
-OWN_CLASSES = 48
-BATCH = 4096
-RATE = 0.15
+#: Tokens of a step, for each class.
+STEP = 64
+RATE = 0.3
 ROUNDS = 1
 FAN_IN = 32
 #: Different words that a partition counts before it sends them, and groups that words are sent in.
 COUNTED, GROUPS = 150_000, 1024
 _words = re.compile(r"\w+").findall
-TOKENS = VOCABULARY + BUCKETS
-EDGE = TOKENS  # the boundary token; predicted never
 PLACES = 2 * SIDE
 
 
-def bucket(word: str) -> int:
-    return VOCABULARY + crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+def hash_of(word: str) -> int:
+    return crc32(word.encode("utf-8", "surrogatepass")) % HASHES
 
 
 @dataclass
 class Lexicon:
-    """ids of the frequent words, and for each token its class and its log share of the class."""
+    """Tokens are numbered by falling count. ids: of the frequent words; buckets: the token of each bucket; counts, and
+    parts (the different words that share a token), by token.
+    """
 
     ids: dict[str, int]
+    buckets: np.ndarray
     counts: np.ndarray
+    parts: np.ndarray
+    starts: np.ndarray = field(init=False)  # first token of each class, and the number of tokens
     classes: np.ndarray = field(init=False)
     share: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        rank = np.argsort(np.argsort(-self.counts, kind="stable"), kind="stable")
-        self.classes = np.where(rank < OWN_CLASSES, rank, OWN_CLASSES + rank % (CLASSES - OWN_CLASSES)).astype(np.int32)
         n = self.counts + 1.0
-        self.share = np.log(n / np.bincount(self.classes, n, CLASSES)[self.classes]).astype(np.float32)
+        before = (np.cumsum(n) - n) / n.sum()
+        _, first, self.classes = np.unique((before * max(1, int(len(n) ** 0.5))).astype(np.int32), return_index=True, return_inverse=True)
+        self.starts = np.r_[first, len(n)]
+        self.share = -np.log(np.maximum(1, self.parts)).astype(np.float32)
+
+    @property
+    def edge(self) -> int:
+        """The boundary token; predicted never."""
+        return len(self.counts)
 
     def look(self) -> dict:
         class Look(dict):
@@ -72,7 +82,7 @@ class Lexicon:
                 if len(look) >= REMEMBERED:
                     look.clear()
                     look.update(self.ids)
-                value = look[word] = bucket(word)
+                value = look[word] = int(self.buckets[hash_of(word) % len(self.buckets)])
                 return value
 
         return Look(self.ids)
@@ -83,10 +93,10 @@ def ids_of(text: str | None, look: dict) -> np.ndarray:
     return np.fromiter(map(look.__getitem__, words), np.uint16, len(words))
 
 
-def joined(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def joined(texts, edge_token: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(token ids with SIDE edges around each text, text number of each or -1 for an edge), a few texts at a time; texts: arrays of ids."""
     ids, owner, size = [], [], 0
-    edge, none = np.full(SIDE, EDGE, np.uint16), np.full(SIDE, -1)
+    edge, none = np.full(SIDE, edge_token, np.uint16), np.full(SIDE, -1)
     for i, t in enumerate(texts):
         ids += [edge, t]
         owner += [none, np.full(len(t), i)]
@@ -105,62 +115,118 @@ def read(column, look: dict | None) -> Iterator[np.ndarray]:
 
 
 class Network:
-    def __init__(self, weights: np.ndarray | None = None):
-        n = PLACES * (TOKENS + 1) * HIDDEN
+    def __init__(self, known: Lexicon, weights: np.ndarray | None = None):
+        self.known, n, c = known, len(known.counts), len(known.starts) - 1
+        shapes = [(PLACES, n + 1, HIDDEN), (HIDDEN, c), (c,), (n, HIDDEN), (n,)]
+        ends = np.cumsum([int(np.prod(x)) for x in shapes])
+        self.all = np.zeros(ends[-1], np.float32) if weights is None else np.array(weights, np.float32)
+        self.seen = np.full_like(self.all, 1e-3)
+        views = lambda flat: [part.reshape(x) for part, x in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+        (self.embed, self.out, self.bias, self.word, self.word_bias), self.memory = views(self.all), views(self.seen)
         if weights is None:
             rng = np.random.default_rng(7)
-            weights = np.r_[rng.normal(0, 0.1, n), rng.normal(0, 0.1, HIDDEN * CLASSES), np.zeros(CLASSES)].astype(np.float32)
-        self.all = np.array(weights, np.float32)
-        self.embed = self.all[:n].reshape(PLACES * (TOKENS + 1), HIDDEN)
-        self.out = self.all[n : n + HIDDEN * CLASSES].reshape(HIDDEN, CLASSES)
-        self.bias = self.all[n + HIDDEN * CLASSES :]
-        self.seen = np.full_like(self.all, 1e-3)
+            for x in (self.embed, self.out, self.word):
+                x[:] = rng.normal(0, 0.1, x.shape)
+            share = known.counts + 1.0
+            mass = np.add.reduceat(share, known.starts[:-1])
+            self.bias[:] = np.log(mass / mass.sum())
+            self.word_bias[:] = np.log(share / mass[known.classes])
 
     @staticmethod
     def context(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        steps = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-        return np.stack([ids[at + s] + np.uint16(k * (TOKENS + 1)) for k, s in enumerate(steps)])  # 16 bits: sorted by radix
+        return np.stack([ids[at + s] for s in (*range(-SIDE, 0), *range(1, SIDE + 1))])  # 16 bits: sorted by radix
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = self.embed[context[0]]
-        for c in context[1:]:
-            h += self.embed[c]
+        """The hidden layer and the log scores of the classes, 0 for the best."""
+        h = self.embed[0][context[0]]
+        for table, c in zip(self.embed[1:], context[1:], strict=True):
+            h += table[c]
         np.tanh(h, out=h)
         z = h @ self.out
         z += self.bias
         z -= z.max(axis=1, keepdims=True)
         return h, z
 
-    def log_probability(self, context: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        _, z = self.forward(context)
-        return z[np.arange(len(classes)), classes] - np.log(np.exp(z).sum(axis=1))
+    def by_class(self, token: np.ndarray) -> np.ndarray:
+        return np.argsort(self.known.classes[token].astype(np.uint16), kind="stable")
+
+    def within(self, token: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+        """(rows, first token, end) of each class of several tokens; token: in the order of classes."""
+        classes = self.known.classes[token]
+        cuts = np.flatnonzero(np.diff(classes, prepend=-1))
+        for low, high in zip(cuts, [*cuts[1:], len(token)], strict=True):
+            a, b = self.known.starts[classes[low] : classes[low] + 2]
+            if b > a + 1:
+                yield slice(low, high), a, b
+
+    def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        order = self.by_class(token)
+        token = token[order]
+        h, z = self.forward(context[:, order])
+        p = z[np.arange(len(token)), self.known.classes[token]] - np.log(np.exp(z, out=z).sum(axis=1))
+        for rows, a, b in self.within(token):
+            z = h[rows] @ self.word[a:b].T
+            z += self.word_bias[a:b]
+            z -= z.max(axis=1, keepdims=True)
+            p[rows] += z[np.arange(len(z)), token[rows] - a] - np.log(np.exp(z, out=z).sum(axis=1))
+        out = np.empty_like(p)
+        out[order] = p + self.known.share[token]
+        return out
 
-    def learn(self, context: np.ndarray, classes: np.ndarray) -> None:
-        """One step on a batch of tokens: gradient of the mean log probability, scaled by what each weight has seen."""
-        h, z = self.forward(context)
+    @staticmethod
+    def softmax_error(z: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(classes)), classes] -= 1
-        z /= len(classes)
-        dh = (z @ self.out.T) * (1 - h * h)
-        step = np.zeros_like(self.all)
-        n = self.embed.size
-        step[n : n + self.out.size] = (h.T @ z).ravel()
-        step[n + self.out.size :] = z.sum(axis=0)
-        embed = step[:n].reshape(self.embed.shape)
-        for c in context:
+        z[np.arange(len(right)), right] -= 1
+        z /= n
+        return z
+
+    def move(self, place: int, rows, gradient: np.ndarray) -> None:
+        """A step for some rows of a table, each weight's scaled by what it has seen."""
+        seen, table = self.memory[place], (self.embed, self.out, self.bias, self.word, self.word_bias)[place]
+        now = seen[rows] + gradient * gradient
+        seen[rows] = now
+        np.sqrt(now, out=now)
+        gradient *= RATE
+        gradient /= now
+        table[rows] -= gradient
+
+    def learn(self, context: np.ndarray, token: np.ndarray) -> None:
+        """One step on a batch of tokens: gradient of the mean log probability."""
+        order = self.by_class(token)
+        token, context = token[order], context[:, order]
+        h, z = self.forward(context)
+        z = self.softmax_error(z, self.known.classes[token], len(token))
+        dh = z @ self.out.T
+        self.move(1, slice(None), h.T @ z)
+        self.move(2, slice(None), z.sum(axis=0))
+        for rows, a, b in self.within(token):
+            mine = h[rows]
+            z = mine @ self.word[a:b].T
+            z += self.word_bias[a:b]
+            z -= z.max(axis=1, keepdims=True)
+            z = self.softmax_error(z, token[rows] - a, len(token))
+            dh[rows] += z @ self.word[a:b]
+            self.move(3, slice(a, b), z.T @ mine)
+            self.move(4, slice(a, b), z.sum(axis=0))
+        dh *= 1 - h * h
+        for k, c in enumerate(context):
             order = np.argsort(c, kind="stable")
-            first = np.flatnonzero(np.diff(c[order], prepend=-1))
-            embed[c[order][first]] += np.add.reduceat(dh[order], first, axis=0)
-        self.seen += step * step
-        self.all -= RATE * step / np.sqrt(self.seen)
+            first = np.flatnonzero(np.diff(c[order].astype(np.int32), prepend=-1))
+            self.move(0, (k, c[order][first]), np.add.reduceat(dh[order], first, axis=0))
+
+
+def steps(known: Lexicon, at: np.ndarray) -> Iterator[np.ndarray]:
+    size = STEP * (len(known.starts) - 1)
+    for i in range(0, len(at), size):
+        yield at[i : i + size]
 
 
 def lexicon(docs: DataFrame, text: str) -> Lexicon:
     """All words of all texts are counted.
 
     A partition sends each word once for every COUNTED different ones it has met, packed by a hash of the word into GROUPS rows; a
-    reducer adds up one group at a time and keeps the VOCABULARY most frequent words and the sums of the buckets.
+    reducer adds up one group at a time and keeps the MOST_WORDS most frequent words, and for each hash its words and their sum.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +235,7 @@ def lexicon(docs: DataFrame, text: str) -> Lexicon:
         def packed() -> pd.DataFrame:
             groups: dict[int, list[str]] = {}
             for w, n in c.items():
-                groups.setdefault(crc32(w.encode("utf-8", "surrogatepass")) // BUCKETS % GROUPS, []).append(f"{w} {n}")
+                groups.setdefault(crc32(w.encode("utf-8", "surrogatepass")) // HASHES % GROUPS, []).append(f"{w} {n}")
             c.clear()
             return pd.DataFrame({"g": pd.Series([*groups], dtype="int64"), "words": pd.Series([" ".join(x) for x in groups.values()], dtype=object)})
 
@@ -181,14 +247,18 @@ def lexicon(docs: DataFrame, text: str) -> Lexicon:
         yield packed()
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, top = np.zeros(BUCKETS, np.int64), []
+        sums, parts, top = np.zeros(HASHES, np.int64), np.zeros(HASHES, np.int64), []
         now, c = None, Counter()
 
         def close() -> None:
             nonlocal top
             for w, n in c.items():
-                sums[bucket(w) - VOCABULARY] += n
-            top = nsmallest(VOCABULARY, chain(top, ((-n, w) for w, n in c.items())))
+                h = hash_of(w)
+                sums[h] += n
+                parts[h] += 1
+            top += [(-n, w) for w, n in c.items()]
+            if len(top) > 4 * MOST_WORDS:
+                top = nsmallest(MOST_WORDS, top)
             c.clear()
 
         for b in batches:
@@ -200,24 +270,31 @@ def lexicon(docs: DataFrame, text: str) -> Lexicon:
                 for w, n in zip(found[::2], found[1::2], strict=True):
                     c[w] += int(n)
         close()
-        i = np.flatnonzero(sums)
-        yield pd.DataFrame({"word": [w for _, w in top] + [None] * len(i), "b": [bucket(w) - VOCABULARY for _, w in top] + i.tolist(), "n": [-n for n, _ in top] + sums[i].tolist()}).astype({"word": object, "b": "int64", "n": "int64"})
+        top, i = nsmallest(MOST_WORDS, top), np.flatnonzero(sums)
+        yield pd.DataFrame({"word": [w for _, w in top] + [None] * len(i), "h": [hash_of(w) for _, w in top] + i.tolist(), "n": [-n for n, _ in top] + sums[i].tolist(), "parts": [1] * len(top) + parts[i].tolist()}).astype({"word": object, "h": "int64", "n": "int64", "parts": "int64"})
 
     packs = in_pandas(docs.select(F.col(text).cast("string").alias("text")), count, "g long, words string")
-    counts = saved(packs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g").mapInPandas(add, "word string, b long, n long"))
-    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    total = np.zeros(TOKENS)
-    total[: len(top)] = [r["n"] for r in top]
-    for r in counts.where("word is null").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        total[VOCABULARY + r["b"]] = r["n"]
+    spread = packs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
+    counts = saved(in_pandas(spread, add, "word string, h long, n long, parts long"))
+    total, parts = np.zeros(HASHES), np.zeros(HASHES)
+    for r in counts.where("word is null").groupBy("h").agg(F.sum("n").alias("n"), F.sum("parts").alias("parts")).collect():
+        total[r["h"]], parts[r["h"]] = r["n"], r["parts"]
+    wanted = min(MOST_WORDS, max(LEAST_WORDS, int((total.sum() / GROWTH) ** 0.5)))
+    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(wanted).collect()
     for r in top:  # frequent words have tokens of their own
-        total[VOCABULARY + r["b"]] -= r["n"]
-    return Lexicon({r["word"]: i for i, r in enumerate(top)}, total)
+        total[r["h"]] -= r["n"]
+        parts[r["h"]] -= 1
+    buckets = min(HASHES, 1 << (wanted // 2).bit_length() - 1)  # a power of two: hash values are folded
+    n = np.r_[[float(r["n"]) for r in top], total.reshape(-1, buckets).sum(axis=0)]
+    several = np.r_[np.ones(len(top)), parts.reshape(-1, buckets).sum(axis=0)]
+    order = np.argsort(-n, kind="stable")
+    place = np.argsort(order, kind="stable")
+    return Lexicon({r["word"]: int(place[i]) for i, r in enumerate(top)}, place[len(top) :].astype(np.uint16), n[order], several[order])
 
 
 def encoded(docs: DataFrame, known: Lexicon, text: str) -> DataFrame:
     """docs with ids (two bytes a token) in the place of the text, so that it is cut into words once."""
-    held = docs.sparkSession.sparkContext.broadcast(known)  # VOCABULARY words and TOKENS counts
+    held = docs.sparkSession.sparkContext.broadcast(known)  # MOST_WORDS words and HASHES buckets at most
     shape = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in docs.schema.fields])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,36 +309,31 @@ def train(docs: DataFrame, text: str, known: Lexicon, rounds: int = ROUNDS) -> n
     """Weights after rounds over every token of docs; the column has texts, or ids from encoded()."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"))
-    first = Network()
-    shares = np.bincount(known.classes, known.counts + 1.0, CLASSES)
-    first.bias[:] = np.log(shares / shares.sum())  # without context a class has its share of the corpus
-    weights = first.all
+    weights = Network(known).all
     shape = "weights binary, n double"
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, n = 0.0, 0.0
         for b in batches:
             for w, k in zip(b["weights"], b["n"], strict=True):
-                s, n = s + np.frombuffer(w, np.float64), n + k
+                s, n = s + np.frombuffer(w, np.float32) * np.float64(k), n + k
         if n:
-            yield pd.DataFrame({"weights": [s.tobytes()], "n": [n]})
+            yield pd.DataFrame({"weights": [(s / n).astype(np.float32).tobytes()], "n": [n]})
 
     for _ in range(rounds):
         held = spark.sparkContext.broadcast((known, weights))  # bounded by the network's size
 
         def learn(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             known, weights = held.value
-            net, look, n = Network(weights), known.look(), 0
+            net, look, n = Network(known, weights), known.look(), 0
             for b in batches:
-                for ids, owner in joined(read(b["text"], look)):
+                for ids, owner in joined(read(b["text"], look), known.edge):
                     at = np.flatnonzero(owner >= 0)
-                    at = at[np.random.default_rng(len(at)).permutation(len(at))]
-                    for i in range(0, len(at), BATCH):
-                        part = at[i : i + BATCH]
-                        net.learn(net.context(ids, part), known.classes[ids[part]])
+                    for part in steps(known, at[np.random.default_rng(len(at)).permutation(len(at))]):
+                        net.learn(net.context(ids, part), ids[part].astype(np.int64))
                     n += len(at)
             if n:
-                yield pd.DataFrame({"weights": [(net.all.astype(np.float64) * n).tobytes()], "n": [float(n)]})
+                yield pd.DataFrame({"weights": [net.all.tobytes()], "n": [float(n)]})
 
         sums = saved(in_pandas(rows, learn, shape))
         left = sums.count()
@@ -270,7 +342,7 @@ def train(docs: DataFrame, text: str, known: Lexicon, rounds: int = ROUNDS) -> n
             sums = in_pandas(sums.repartition(left), total, shape)
         got = sums.collect()  # one row of the network's size
         if got:
-            weights = (sum(np.frombuffer(r["weights"], np.float64) for r in got) / sum(r["n"] for r in got)).astype(np.float32)
+            weights = np.frombuffer(got[0]["weights"], np.float32)
     return weights
 
 
@@ -286,15 +358,12 @@ def score(docs: DataFrame, known: Lexicon, weights: np.ndarray, text: str = "tex
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, weights = held.value
-        net, look = Network(weights), known.look()
+        net, look = Network(known, weights), known.look()
         for b in batches:
             n, total = np.zeros(len(b), np.int64), np.zeros(len(b))
-            for ids, owner in joined(read(b[text], look)):
-                at = np.flatnonzero(owner >= 0)
-                for i in range(0, len(at), BATCH):
-                    part = at[i : i + BATCH]
-                    token = ids[part]
-                    p = net.log_probability(net.context(ids, part), known.classes[token]) + known.share[token]
+            for ids, owner in joined(read(b[text], look), known.edge):
+                for part in steps(known, np.flatnonzero(owner >= 0)):
+                    p = net.log_probability(net.context(ids, part), ids[part].astype(np.int64))
                     low = owner[part[0]]
                     sums = np.bincount(owner[part] - low, p)
                     total[low : low + len(sums)] += sums
@@ -306,7 +375,10 @@ def score(docs: DataFrame, known: Lexicon, weights: np.ndarray, text: str = "tex
 
 
 def score_corpus(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """Train on all of docs, then score all of docs: the other columns of docs and the results."""
+    """Train on all of docs, then score all of docs: the other columns of docs, n_tokens, log_likelihood and mean_log_likelihood.
+
+    Null, empty, long and repeated texts, clashing names and empty tables are as score() says; all of them are trained on.
+    """
     require(docs, text)
     known = lexicon(docs, text)
     ids = saved(encoded(docs, known, text))
