@@ -28,7 +28,7 @@ from .pieces import LEAST, MODEL, Remembered, Vocabulary, broadcast, vocabulary
 
 N_BEST = 3
 #: Rows handled at a time, characters solved together, parts remembered: little memory for a step among others, or more for less work.
-LEAN, WIDE = (256, 50_000, 300_000), (2000, 200_000, 600_000)
+LEAN, WIDE = (256, 20_000, 100_000), (1000, 200_000, 600_000)
 
 
 class Lattice:
