@@ -44,9 +44,18 @@ def _named(name: str) -> Callable[[str | None], str]:
     return lambda token: name
 
 
+def half(v: str, k: str, plain: bool) -> str:
+    """SQL: k makes up half of v or more. Bytes are counted where that is the same (plain: k is ASCII): they are known without a look
+    at the text, whose characters are counted last, and only if k has an eighth of the bytes.
+    """
+    size = "octet_length" if plain else "length"
+    gone = f"({size}({v}) - {size}(replace({v}, {k}, '')))"
+    return f"contains({v}, {k}) and " + (f"8 * {gone} >= octet_length({v}) and " if plain else "") + f"2 * {gone} >= length({v})"
+
+
 def _keyword(v: str, k: str | None) -> str:
-    k = literal((k or "").lower())
-    return f"({v} <> '' and 2 * (length({v}) - length(replace({v}, {k}, ''))) >= length({v}) and instr({v}, {k}) > 0)"
+    k = (k or "").lower()
+    return f"({v} <> '' and {half(v, literal(k), k.isascii())})"
 
 
 #: By pattern name, or by category where the name has a token.
@@ -85,13 +94,12 @@ def check_for(category: str, name: str, token: str | None) -> Check | None:
 
 def any_of(check: Check, v: str, tokens: list[str]) -> str:
     """SQL: the condition holds for one of the tokens, at the price of one pass over the value."""
-    escaped = [re.sub(r"([^\w\s])", r"\\\1", t.lower() if check.family == "keyword" else t) for t in tokens]
+    if check.family == "keyword":
+        return f"({v} <> '' and exists({array(tokens, True)}, k -> {half(v, 'k', ''.join(tokens).lower().isascii())}))"
+    escaped = [re.sub(r"([^\w\s])", r"\\\1", t) for t in tokens]
     if check.family == "char":
         return f"({v} <> '' and {matches(v, '|'.join(f'(?:{e})+' for e in escaped))})"
-    found = matches(v, "|".join(escaped), False)
-    if check.family == "special":
-        return f"({found})"
-    return f"({v} <> '' and {found} and exists({array(tokens, True)}, k -> 2 * (length({v}) - length(replace({v}, k, ''))) >= length({v})))"
+    return f"({matches(v, '|'.join(escaped), False)})"
 
 
 def first_of(check: Check, v: str, tokens: list[str]) -> str:
@@ -99,7 +107,7 @@ def first_of(check: Check, v: str, tokens: list[str]) -> str:
     condition = {
         "char": f"replace({v}, k, '') = ''",
         "special": f"instr({v}, k) > 0",
-        "keyword": f"2 * (length({v}) - length(replace({v}, lower(k), ''))) >= length({v}) and instr({v}, lower(k)) > 0",
+        "keyword": half(v, "lower(k)", "".join(tokens).lower().isascii()),
     }[check.family]
     return f"element_at(filter({array(tokens)}, k -> {condition}), 1)"
 
