@@ -6,6 +6,10 @@ level; 4 the rest that something refers to (self-references, cycles); 999 other
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +23,32 @@ def relations(keys: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(parent, level) of the parents in edges: level 1 has no parent left in edges, each next one none but earlier levels'.
 
-    Parents on a cycle get none. A round for each level; catalogs have thousands of tables, so the rounds run over small
-    tables, and each round's result is checkpointed to keep the plan short.
+    Parents on a cycle get none. The graph is a catalog's (thousands of tables, not rows of data), so one task takes
+    all levels in one pass over it, in time linear in the keys.
     """
-    done, left, level = None, edges, 0
-    while level < max_rounds:
-        level += 1
-        free = left.select("parent").distinct().join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
-        free = free.withColumn("level", F.lit(level).cast("double")).cache()
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
-        left = left.join(free.select("parent"), "parent", "left_anti").cache()
-    return done if done is not None else edges.select("parent", F.lit(None).cast("double").alias("level")).limit(0)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        children, above = defaultdict(list), Counter()
+        for b in batches:
+            for c, p in zip(zip(b["cs"], b["ct"], strict=True), zip(b["ps"], b["pt"], strict=True), strict=True):
+                children[p].append(c)
+                above[c] += 1
+        rows, now, level = [], [p for p in children if not above[p]], 1
+        while now:
+            rows += [(*p, float(level)) for p in now]
+            below = []
+            for c in (c for p in now for c in children[p]):
+                above[c] -= 1
+                if not above[c] and c in children:
+                    below.append(c)
+            now, level = below, level + 1
+        yield pd.DataFrame(rows, columns=["s", "t", "level"])
+
+    flat = edges.select(F.col("child.s").alias("cs"), F.col("child.t").alias("ct"), F.col("parent.s").alias("ps"), F.col("parent.t").alias("pt")).distinct()
+    return flat.coalesce(1).mapInPandas(place, "s string, t string, level double").select(F.struct("s", "t").alias("parent"), "level")
 
 
 def hierarchy(keys: DataFrame, priorities: DataFrame) -> DataFrame:
