@@ -32,11 +32,11 @@ class RunMonitor:
     # registry ------------------------------------------------------------------------------------------------------
 
     def _put(self, table: str, keys: list[str], row: dict, update: list[str] | None = None) -> None:
-        old = self.store.read(table)
+        schema = self.store.read(table).schema
         now, update = R.moment(self.clock()), update if update is not None else [c for c in row if c not in keys]
         values = {"IsActive": True, **row}
-        new = self.spark.createDataFrame([tuple(values.get(f.name) for f in old.schema.fields)], old.schema).withColumns({"CreatedBy": F.lit(self.user), "CreatedOn": now, "LastUpdatedBy": F.lit(self.user), "LastUpdatedOn": now})
-        self.store.write(table, upsert(old, new, keys, update, stamp={"LastUpdatedBy": F.lit(self.user), "LastUpdatedOn": now}))
+        new = self.spark.createDataFrame([tuple(values.get(f.name) for f in schema.fields)], schema).withColumns({"CreatedBy": F.lit(self.user), "CreatedOn": now, "LastUpdatedBy": F.lit(self.user), "LastUpdatedOn": now})
+        self.store.update(table, lambda old: upsert(old, new, keys, update, stamp={"LastUpdatedBy": F.lit(self.user), "LastUpdatedOn": now}))
 
     def register_organisation(self, code: str, name: str, description: str | None = None) -> None:
         self._put("ETLOrganisation", ["OrganisationCode"], {"OrganisationCode": code, "OrganisationName": name, "OrganisationDescription": description})
@@ -74,15 +74,18 @@ class RunMonitor:
         return row[0] if row else self.spark.range(1).select(F.to_date(R.moment(self.clock())).cast("string")).first()[0]
 
     def _steps(self, change: Callable[[DataFrame], DataFrame]) -> None:
-        self.store.write(STEPS, change(self.store.read(STEPS)))
+        self.store.update(STEPS, change)
 
     def generate_execution_steps(self, execution_id: str, project: str, load: str, date: str | None = None) -> None:
         """New steps for an execution that has none yet."""
         p = R.Process(project, load)
-        steps = self.store.read(STEPS)
-        if steps.where(F.col("ExecutionID") == execution_id).isEmpty():
-            fresh = R.generate_steps(steps, self.store.read(TASKS), self.store.read(STAGES), p, execution_id, date or self.processing_date(p), self.clock(), self.user)
-            self.store.write(STEPS, steps.unionByName(fresh))
+
+        def fresh(steps: DataFrame) -> DataFrame | None:
+            if not steps.where(F.col("ExecutionID") == execution_id).isEmpty():
+                return None
+            return steps.unionByName(R.generate_steps(steps, self.store.read(TASKS), self.store.read(STAGES), p, execution_id, date or self.processing_date(p), self.clock(), self.user))
+
+        self._steps(fresh)
 
     def get_pending_tasks(self, execution_id: str, project: str, load: str, date: str | None = None, sequence_id: int | None = None, workflow_id: int | None = None, task_id: int | None = None) -> DataFrame:
         """Steps to run; with a task the one row for its worker. Steps are made first if the execution has none."""
@@ -98,20 +101,19 @@ class RunMonitor:
         p = R.Process(project, load)
         return R.Task(execution_id, p, task_id, sequence_id, workflow_id, date or self.processing_date(p))
 
-    def latest_attempt(self, t: R.Task) -> int:
-        return self.store.read(STEPS).where(t.today).agg(F.coalesce(F.max("Attempts"), F.lit(0))).first()[0]
-
     def start_task(self, t: R.Task, attempts: int | None = None, source_type: str = "NOTEBOOK", run_id: str | None = None, cluster_id: str | None = None, timestamp: str | None = None) -> int:
-        attempts = self.latest_attempt(t) if attempts is None else attempts
+        """Set the step running; by default the attempt that waits (NQUE or RQUE), else 0."""
+        attempts = R.queued_attempt(self.store.read(STEPS), t) if attempts is None else attempts
         self._steps(lambda s: R.start(s, self.store.read(TASKS), self.store.read(STAGES), t, attempts, source_type, run_id, cluster_id, timestamp or self.clock(), self.user))
         return attempts
 
     def end_task(self, t: R.Task, attempts: int | None = None, status: str = "DONE", message: str | None = None, log_type: str | None = None, log_code: str | None = None, timestamp: str | None = None) -> None:
-        steps = self.store.read(STEPS)
-        attempts = R.running_attempt(steps, t) if attempts is None else attempts
+        """Close the step, then move its watermark: what stops between the two leaves a window that is loaded again, not one left out."""
+        attempts = R.running_attempt(self.store.read(STEPS), t) if attempts is None else attempts
+        self._steps(lambda steps: R.end(steps, t, attempts, status, message, log_type, log_code, timestamp or self.clock()))
         if status == "DONE":
-            self.store.write(PARAMETERS, R.advance_on_done(self.store.read(PARAMETERS), steps, t, attempts, self.clock(), self.user))
-        self.store.write(STEPS, R.end(steps, t, attempts, status, message, log_type, log_code, timestamp or self.clock()))
+            steps = self.store.read(STEPS)
+            self.store.update(PARAMETERS, lambda parameters: R.advance_on_done(parameters, steps, t, attempts, self.clock(), self.user))
 
     def fail_task(self, t: R.Task, attempts: int | None = None, message: str = "", log_code: str | None = None, timestamp: str | None = None) -> None:
         self.end_task(t, attempts, "FAIL", message[: R.MESSAGE_LIMIT], "ERROR", log_code, timestamp)
@@ -144,7 +146,7 @@ class RunMonitor:
         self._steps(lambda s: R.reset(s, R.Process(project, load), date, now=self.clock(), **scope))
 
     def advance_watermark(self, project: str, load: str, name: str, to_time=None, to_int: int | None = None) -> None:
-        self.store.write(PARAMETERS, R.advance(self.store.read(PARAMETERS), R.Process(project, load), name, to_time, to_int, self.clock(), self.user))
+        self.store.update(PARAMETERS, lambda old: R.advance(old, R.Process(project, load), name, to_time, to_int, self.clock(), self.user))
 
     def get_active_watermark(self, project: str, load: str, name: str) -> DataFrame:
         return R.active_watermark(self.store.read(PARAMETERS), R.Process(project, load), name)
@@ -152,7 +154,7 @@ class RunMonitor:
     def set_processing_mode(self, project: str, load: str, **mode) -> DataFrame:
         """historic_date, bulk, name with to_time, to_int, to_bit; returns the parameters as they are then."""
         p = R.Process(project, load)
-        self.store.write(PARAMETERS, R.set_mode(self.store.read(PARAMETERS), p, now=self.clock(), user=self.user, **mode))
+        self.store.update(PARAMETERS, lambda old: R.set_mode(old, p, now=self.clock(), user=self.user, **mode))
         return p.of(self.store.read(PARAMETERS)).orderBy("ParameterType", "ParameterName")
 
     # reports -------------------------------------------------------------------------------------------------------

@@ -175,6 +175,11 @@ def start(steps: DataFrame, tasks: DataFrame, stages: DataFrame, t: Task, attemp
     return updated.unionByName(row, allowMissingColumns=True)
 
 
+def queued_attempt(steps: DataFrame, t: Task) -> int:
+    """Attempts of the step's row that waits (NQUE or RQUE; the last of several), else 0."""
+    return steps.where(t.today & F.col("Status").isin("NQUE", "RQUE")).agg(F.coalesce(F.max("Attempts"), F.lit(0))).first()[0]
+
+
 def running_attempt(steps: DataFrame, t: Task) -> int:
     """Attempts of the step's RQUE row, else 0."""
     row = steps.where(t.today & (F.col("Status") == "RQUE")).select("Attempts").limit(1).collect()

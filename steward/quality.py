@@ -49,7 +49,7 @@ class Quality:
         values = {**{"IsActive": True}, **row}
         new = self.spark.createDataFrame([tuple(values.get(f.name) for f in schema.fields)], schema).withColumns({"CreatedBy": F.lit(self.user), "CreatedOn": self.now, "LastUpdatedBy": F.lit(self.user), "LastUpdatedOn": self.now})
         stamp = {"LastUpdatedBy": F.lit(self.user), "LastUpdatedOn": self.now}
-        self.store.write(table, upsert(old, new, ["_ID"], [*update, "IsActive"], stamp=stamp))
+        self.store.update(table, lambda now: upsert(now, new, ["_ID"], [*update, "IsActive"], stamp=stamp))
         return row["_ID"]
 
     def register_field(self, full_field_name: str, data_category_type_id: int, field_id: int | None = None, is_active: bool = True) -> int:
@@ -190,19 +190,19 @@ class Quality:
         return report.stat_view(self.store.read("statDQChecks"), self.store.read("mapDQChecks"))
 
     def violations(self, execution_id: str | None = None) -> DataFrame:
-        return report.violations(self.audit_view(), execution_id)
+        return report.VIOLATIONS.of(self.audit_view(), execution_id)
 
     def quality_scores(self, execution_id: str | None = None) -> DataFrame:
-        return report.quality_scores(self.stat_view(), execution_id)
+        return report.SCORES.of(self.stat_view(), execution_id)
 
     def fields_below_threshold(self, threshold: float = 80) -> DataFrame:
-        return report.below_threshold(self.stat_view(), threshold)
+        return report.SCORES.of(self.stat_view(), below=threshold)
 
     def summary_by_violation_type(self, execution_id: str | None = None) -> DataFrame:
-        return report.by_violation(self.audit_view(), execution_id)
+        return report.BY_VIOLATION.of(self.audit_view(), execution_id)
 
     def summary_by_table(self, execution_id: str | None = None) -> DataFrame:
-        return report.by_table(self.stat_view(), execution_id)
+        return report.BY_TABLE.of(self.stat_view(), execution_id)
 
     def create_views(self, prefix: str = "") -> None:
         """Temporary views of the audit and the stats."""

@@ -245,12 +245,12 @@ for f in (dq_documents, dq_row_flags, dq_reset, dq_prepare, dq_resolve_precedenc
 QUERIES |= {
     "dq_audit": lambda s, d: audits(s, d).drop("GeneratedOn", "LogMessage"),
     "dq_stats": lambda s, d: all_stats(s, d).drop("LoggedOn"),
-    "dq_violations": lambda s, d: report.violations(audit_view(s, d), RUN).select("FullFieldName", "TargetTableName", "TargetFieldName", "InputValue", "ViolationType"),
-    "dq_scores": lambda s, d: report.quality_scores(scores(s, d)).drop("ExecutionID"),
-    "dq_below_threshold": lambda s, d: report.below_threshold(scores(s, d), 80).select("FullFieldName", "PercentageQualified"),
-    "dq_violation_summary": lambda s, d: report.by_violation(audit_view(s, d), RUN).select("FullFieldName", "ViolationType", "RecordCount"),
-    "dq_run_summary": lambda s, d: report.by_field_and_type(audit_view(s, d)),
-    "dq_table_summary": lambda s, d: report.by_table(scores(s, d)),
+    "dq_violations": lambda s, d: report.VIOLATIONS.of(audit_view(s, d), RUN).select("FullFieldName", "TargetTableName", "TargetFieldName", "InputValue", "ViolationType"),
+    "dq_scores": lambda s, d: report.SCORES.of(scores(s, d)).drop("ExecutionID"),
+    "dq_below_threshold": lambda s, d: report.SCORES.of(scores(s, d), below=80).select("FullFieldName", "PercentageQualified"),
+    "dq_violation_summary": lambda s, d: report.BY_VIOLATION.of(audit_view(s, d), RUN).select("FullFieldName", "ViolationType", "RecordCount"),
+    "dq_run_summary": lambda s, d: report.BY_FIELD.of(audit_view(s, d)),
+    "dq_table_summary": lambda s, d: report.BY_TABLE.of(scores(s, d)),
 }
 
 _kwd = " or ".join(f"(2 * (length(t) - length(replace(t, {quoted(k)}, ''))) >= length(t) and contains(t, {quoted(k)}))" for k in seed.KEYWORDS)
