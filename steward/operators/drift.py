@@ -40,21 +40,51 @@ def catalog_columns(spark: SparkSession, database: str) -> DataFrame:
     return out if out is not None else columns_of(spark, T.StructType([]), database, "")
 
 
+def catalog_records(columns: DataFrame, constraints: DataFrame, usage: DataFrame, references: DataFrame) -> DataFrame:
+    """Column records with keys, from a catalog's information-schema tables: columns, table_constraints, key_column_usage and
+    referential_constraints.
+
+    is_unique: part of the primary key. A foreign key's column names what it refers to, the column at the same place of the
+    referenced key; a primary key's column that refers to nothing has '<Primary Key>' there. A column of several foreign keys has a row
+    for each. All joins are on the names of schema, table and constraint.
+    """
+    at = ["table_schema", "table_name", "column_name"]
+    used = usage.select("constraint_name", *at, "ordinal_position", "position_in_unique_constraint")
+    primary = constraints.where("constraint_type = 'PRIMARY KEY'").select("constraint_name", "table_schema", "table_name").join(used, ["constraint_name", "table_schema", "table_name"]).select(*at).distinct().withColumn("_primary", F.lit(True))
+    to = used.select(F.col("constraint_name").alias("unique_constraint_name"), F.col("ordinal_position").alias("position_in_unique_constraint"), *(F.col(c).alias(f"_{c}") for c in at))
+    foreign = references.select("constraint_name", "unique_constraint_name").join(used, "constraint_name").join(to, ["unique_constraint_name", "position_in_unique_constraint"])
+    foreign = foreign.select(*at, F.col("constraint_name").alias("foreign_key_name"), *(f"_{c}" for c in at))
+    referenced = lambda c: F.coalesce(f"_{c}", F.when(F.col("_primary"), "<Primary Key>"))
+    text = F.when(F.col("character_maximum_length").isNotNull(), F.concat(F.lit("("), F.when(F.col("character_maximum_length") < 0, "max").otherwise(F.col("character_maximum_length").cast("string")), F.lit(")")))
+    number = F.when(F.col("data_type").isin("decimal", "numeric"), F.concat(F.lit("("), F.col("numeric_precision").cast("string"), F.lit(","), F.col("numeric_scale").cast("string"), F.lit(")")))
+    return columns.join(primary, at, "left").join(foreign, at, "left").select(
+        F.col("table_schema").alias("schema_name"), "table_name", "column_name", F.col("ordinal_position").alias("column_order"), "data_type",
+        F.concat("data_type", F.coalesce(text, number, F.lit(""))).alias("data_type_with_size"), "is_nullable", F.when(F.col("_primary"), "YES").otherwise("NO").alias("is_unique"), F.lit("USER_TABLE").alias("table_type"),
+        referenced("table_schema").alias("referenced_schema_name"), referenced("table_name").alias("referenced_table_name"), referenced("column_name").alias("referenced_column_name"), "foreign_key_name",
+    )
+
+
 def diff(new: DataFrame, old: DataFrame, properties: list[str] | None = None, key: str = "FullFieldName") -> DataFrame:
     """One row per column of either snapshot: Action and the list of changed properties (the hash first).
 
-    Properties are compared in the order of the new snapshot, null being equal to null; one full outer join on the key.
+    All properties of the new snapshot but its times are compared, in its order: as texts whose case doesn't count, null equal to null
+    only, and null where the old snapshot lacks the property. A side without the column has the hash "Missing". One full outer
+    join on the key.
     """
-    properties = properties or [c for c in new.columns if c in old.columns and c not in (*TIMES, key, "SHA256Hash")]
+    properties = properties or [c for c in new.columns if c not in (*TIMES, key, "SHA256Hash")]
+    for c in properties:
+        if c not in old.columns:
+            old = old.withColumn(c, F.lit(None).cast("string"))
     n, o = new.withColumn("_n", F.lit(True)).alias("n"), old.withColumn("_o", F.lit(True)).alias("o")
-    differs = [F.when(~F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")), F.lit(c)) for c in ["SHA256Hash", *properties]]
+    text = lambda c: F.lower(F.col(c).cast("string"))
+    differs = [F.when(~text(f"n.{c}").eqNullSafe(text(f"o.{c}")), F.lit(c)) for c in ["SHA256Hash", *properties]]
     names = F.when(F.col("_n") & F.col("_o"), F.array_compact(F.array(*differs))).otherwise(F.array().cast("array<string>"))
     joined = n.join(o, F.col(f"n.{key}") == F.col(f"o.{key}"), "full_outer")
     action = F.when(F.col("_n").isNull(), "Deleted").when(F.col("_o").isNull(), "Added").when(F.size("names") > 0, "Changed").otherwise("Unchanged")
     remark = F.when(action == "Deleted", "Deleted from version (n-1)").when(action == "Added", "Added in version (n)").when(action == "Changed", F.concat(F.lit("Differences detected in columns: "), F.array_join("names", ", "))).otherwise("No changes detected")
     either = lambda c: F.coalesce(f"n.{c}", f"o.{c}") if c in new.columns and c in old.columns else F.lit(None).cast("string")
     taken = lambda c: F.when(F.col("_n"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in new.columns and c in old.columns else F.lit(None).cast("string")
-    hash_ = lambda s: F.lower(F.coalesce(f"{s}.SHA256Hash", F.lit("missing")))
+    hash_ = lambda s: F.coalesce(F.lower(F.nullif(f"{s}.SHA256Hash", F.lit(""))), F.lit("Missing"))
     return joined.withColumn("names", names).select(
         either(key).alias("FullFieldName"), action.alias("Action"), hash_("n").alias("SHA256Hash_from_n"), hash_("o").alias("SHA256Hash_from_n_minus_1"), remark.alias("AdditionalRemark"),
         F.when(F.size("names") > 0, F.concat(F.lit("["), F.array_join("names", "], ["), F.lit("]"))).alias("ChangedColumns"),

@@ -74,6 +74,39 @@ def map_columns(headers: DataFrame, aliases: DataFrame, prior: DataFrame | None
     return out.select("id", "header", field.alias("field"), confidence.alias("confidence"), status(confidence, field).alias("status"))
 
 
+#: Fields, and aliases of each, that a prompt lists at most.
+PROMPT_FIELDS, PROMPT_ALIASES = 30, 5
+
+
+def prompts(headers: DataFrame, aliases: DataFrame) -> DataFrame:
+    """id and prompt: what a language model is asked about each header, for an answer that reply() reads."""
+    listed = aliases.where(F.col("ordinal") < PROMPT_FIELDS).groupBy("ordinal", "field").agg(F.array_join(F.slice(F.collect_list("alias"), 1, PROMPT_ALIASES), ", ").alias("names"))
+    book = listed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "field", "names"))), lambda x: F.concat(F.lit("* "), x["field"], F.lit(": "), x["names"])), "\n").alias("book"))
+    ask = F.concat(
+        F.lit("Which of these fields does a column with the header "), F.to_json(F.struct("header")), F.when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit(" in the section "), F.col("section"))).otherwise(F.lit("")), F.lit(" hold?\n"), F.coalesce("book", F.lit("")),
+        F.lit('\nAnswer with one JSON object: "canonical_field" (one of the fields, or null), "confidence" (0 to 1), "reasoning" (one sentence).'),
+    )
+    return headers.join(F.broadcast(book), F.lit(True), "left").select("id", ask.alias("prompt"))
+
+
+def reply(text: Column) -> Column:
+    """struct<field, confidence, reasoning> of a model's answer: the JSON between the first brace and the last, whatever stands
+    around it. Without one, or with a confidence that is no number, there is no field, and the confidence is 0.
+    """
+    found = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), "canonical_field string, confidence string, reasoning string")
+    sure = F.when(found["confidence"].isNull(), 0.0).otherwise(found["confidence"].try_cast("double"))
+    return F.struct(F.when(sure.isNotNull(), found["canonical_field"]).alias("field"), F.coalesce(sure, F.lit(0.0)).alias("confidence"), found["reasoning"].alias("reasoning"))
+
+
+def by_replies(ask: Callable[[DataFrame], DataFrame], aliases: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A model for map_columns. ask: (id, prompt) -> (id, reply), by whatever service the caller has."""
+
+    def model(headers: DataFrame) -> DataFrame:
+        return ask(prompts(headers, aliases)).withColumn("_r", reply(F.col("reply"))).select("id", F.col("_r.field").alias("model_field"), F.col("_r.confidence").alias("model_confidence"))
+
+    return model
+
+
 def counts(mapped: DataFrame) -> DataFrame:
     """One row: columns, and how many have each status."""
     names = ("AUTO_APPROVED", "NEEDS_REVIEW", "REQUIRES_HUMAN", "UNMAPPED")

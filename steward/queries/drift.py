@@ -22,6 +22,7 @@ def _columns(version: int) -> Values:
     if version == 2:
         tables["part"] = ["p_partkey:bigint", "p_name:varchar(55)", "p_type:string"]
         tables["orders"] = ["o_custkey:bigint", "o_orderkey:bigint", "o_totalprice:double"]
+        tables["nation"][1] = "n_name:STRING"  # case alone: the hash differs, the property doesn't
         del tables["region"]
     else:
         del tables["events"]
@@ -32,9 +33,9 @@ OLD, NEW = _columns(1), _columns(2)
 PROPERTIES = [c.split(" ")[0] for c in COLUMNS.split(",")]
 HASH = "sha256(concat(schema_name, table_name, column_name, column_order, data_type, data_type_with_size, is_nullable, is_unique, table_type))"
 SNAP = "(select *, concat('[', schema_name, '].[', table_name, '].[', column_name, ']') as f, " + HASH + " as h from {0} z)"
-DIFFS = ", ".join(f"case when n.{p} is distinct from o.{p} then '{p}' end" for p in PROPERTIES)
+DIFFS = ", ".join(f"case when lower(n.{p}::varchar) is distinct from lower(o.{p}::varchar) then '{p}' end" for p in PROPERTIES)
 DIFF = f"""(select coalesce(n.f, o.f) as FullFieldName, case when n.f is null then 'Deleted' when o.f is null then 'Added' when n.h <> o.h then 'Changed' else 'Unchanged' end as Action,
- coalesce(n.h, 'missing') as SHA256Hash_from_n, coalesce(o.h, 'missing') as SHA256Hash_from_n_minus_1, case when n.f is not null and o.f is not null and n.h <> o.h then '[' || concat_ws('], [', 'SHA256Hash', {DIFFS}) || ']' end as ChangedColumns
+ coalesce(n.h, 'Missing') as SHA256Hash_from_n, coalesce(o.h, 'Missing') as SHA256Hash_from_n_minus_1, case when n.f is not null and o.f is not null and n.h <> o.h then '[' || concat_ws('], [', 'SHA256Hash', {DIFFS}) || ']' end as ChangedColumns
  from {SNAP.format(NEW.sql)} n full join {SNAP.format(OLD.sql)} o on n.f = o.f)"""
 
 
@@ -53,7 +54,29 @@ PRIORITIES = Values("schema_name string,schema_priority int", [("dbo", 1)])
 #: What the order must be; SQL would need the rounds as recursion.
 HIERARCHY = [("events", -1, None, 1), ("region", 1, None, 2), ("part", 1, None, 2), ("ext", 2, None, 3), ("nation", 3, 1.0, 4), ("customer", 3, 2.0, 5), ("supplier", 3, 2.0, 5), ("orders", 3, 3.0, 6), ("emp", 4, 1.0, 7), ("y", 4, 2.0, 8), ("x", 4, 3.0, 9), ("lineitem", 999, None, 10)]
 
+CATALOG = {
+    "columns": Values("table_schema string,table_name string,column_name string,ordinal_position int,data_type string,character_maximum_length int,numeric_precision int,numeric_scale int,is_nullable string", [
+        ("dbo", "orders", "o_id", 1, "bigint", None, 19, 0, "NO"), ("dbo", "orders", "o_cust", 2, "int", None, 10, 0, "YES"), ("dbo", "orders", "o_price", 3, "decimal", None, 15, 2, "YES"), ("dbo", "orders", "o_note", 4, "varchar", -1, None, None, "YES"),
+        ("dbo", "cust", "c_id", 1, "int", None, 10, 0, "NO"), ("dbo", "cust", "c_name", 2, "varchar", 25, None, None, "YES"), ("dbo", "line", "l_order", 1, "bigint", None, 19, 0, "NO"), ("dbo", "line", "l_no", 2, "int", None, 10, 0, "NO"),
+        ("dbo", "item", "i_order", 1, "bigint", None, 19, 0, "NO"), ("dbo", "item", "i_no", 2, "int", None, 10, 0, "NO"), ("ext", "cust", "c_id", 1, "int", None, 10, 0, "NO"),
+    ]),
+    "constraints": Values("constraint_name string,table_schema string,table_name string,constraint_type string", [
+        ("pk_o", "dbo", "orders", "PRIMARY KEY"), ("pk_c", "dbo", "cust", "PRIMARY KEY"), ("pk_l", "dbo", "line", "PRIMARY KEY"), ("fk_oc", "dbo", "orders", "FOREIGN KEY"), ("fk_lo", "dbo", "line", "FOREIGN KEY"), ("fk_il", "dbo", "item", "FOREIGN KEY"), ("u_c", "dbo", "cust", "UNIQUE"),
+    ]),
+    "usage": Values("constraint_name string,table_schema string,table_name string,column_name string,ordinal_position int,position_in_unique_constraint int", [
+        ("pk_o", "dbo", "orders", "o_id", 1, None), ("pk_c", "dbo", "cust", "c_id", 1, None), ("pk_l", "dbo", "line", "l_order", 1, None), ("pk_l", "dbo", "line", "l_no", 2, None), ("fk_oc", "dbo", "orders", "o_cust", 1, 1),
+        ("fk_lo", "dbo", "line", "l_order", 1, 1), ("fk_il", "dbo", "item", "i_order", 1, 1), ("fk_il", "dbo", "item", "i_no", 2, 2), ("u_c", "dbo", "cust", "c_name", 1, None),
+    ]),
+    "references": Values("constraint_name string,unique_constraint_name string", [("fk_oc", "pk_c"), ("fk_lo", "pk_o"), ("fk_il", "pk_l")]),
+}
+
+
+def catalog(spark):
+    return D.catalog_records(*(CATALOG[n].frame(spark) for n in ("columns", "constraints", "usage", "references")))
+
+
 QUERIES |= {
+    "drift_catalog": lambda s, d: catalog(s),
     "drift_hash": lambda s, d: D.snapshot(NEW.frame(s)).select("FullFieldName", "SHA256Hash"),
     "drift_diff": lambda s, d: diff(s).select("FullFieldName", "Action", "SHA256Hash_from_n", "SHA256Hash_from_n_minus_1", "ChangedColumns"),
     "drift_classify": lambda s, d: D.classify(diff(s)).select("FullTableName", "SchemaName", "TableName", "ChangeType", "ChangedColumns"),
@@ -61,7 +84,16 @@ QUERIES |= {
     "drift_spark_schema": lambda s, d: D.snapshot(D.columns_of(s, table(s, d, "nation").schema, "tpch", "nation", ("n_nationkey",))).select("FullFieldName", "column_order", "data_type", "data_type_with_size", "is_unique"),
     "fk_hierarchy": lambda s, d: hierarchy(KEYS.frame(s), PRIORITIES.frame(s)).select("table_name", "section_level", "table_level", F.col("Hierarchy")),
 }
+_key = "select u.* from {u} u join {c} c using (constraint_name) where c.constraint_type = 'PRIMARY KEY'".format(u=CATALOG["usage"].sql, c=CATALOG["constraints"].sql)
+_to = f"""select f.table_schema, f.table_name, f.column_name, f.constraint_name as foreign_key_name, p.table_schema as rs, p.table_name as rt, p.column_name as rc
+ from {CATALOG["references"].sql} r join {CATALOG["usage"].sql} f on f.constraint_name = r.constraint_name join {CATALOG["usage"].sql} p on p.constraint_name = r.unique_constraint_name and p.ordinal_position = f.position_in_unique_constraint"""
+_is = "exists (select 1 from ({0}) k where k.table_schema = c.table_schema and k.table_name = c.table_name and k.column_name = c.column_name)".format(_key)
 ORACLES |= {
+    "drift_catalog": f"""select c.table_schema as schema_name, c.table_name, c.column_name, c.ordinal_position as column_order, c.data_type,
+ c.data_type || case when c.data_type = 'varchar' then '(' || case when character_maximum_length = -1 then 'max' else character_maximum_length::varchar end || ')' when c.data_type = 'decimal' then '(' || numeric_precision || ',' || numeric_scale || ')' else '' end as data_type_with_size,
+ c.is_nullable, case when {_is} then 'YES' else 'NO' end as is_unique, 'USER_TABLE' as table_type, coalesce(rs, case when {_is} then '<Primary Key>' end) as referenced_schema_name, coalesce(rt, case when {_is} then '<Primary Key>' end) as referenced_table_name,
+ coalesce(rc, case when {_is} then '<Primary Key>' end) as referenced_column_name, foreign_key_name
+ from {CATALOG["columns"].sql} c left join ({_to}) f on f.table_schema = c.table_schema and f.table_name = c.table_name and f.column_name = c.column_name""",
     "drift_hash": f"select f as FullFieldName, h as SHA256Hash from {SNAP.format(NEW.sql)} n",
     "drift_diff": f"select * from {DIFF} d",
     "drift_classify": f"select FullTableName, 'dbo' as SchemaName, {PART.replace('FullFieldName', 'FullTableName')} as TableName, ChangeType, ChangedColumns from {TABLES} t",

@@ -60,6 +60,21 @@ def combined(s, d):
     return H.combine([(one, "f1.xlsx", "n"), (two, "f2.xlsx", "r")], F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
+REPLIES = Values("id int,reply string", [
+    (1, '{"canonical_field": "amount", "confidence": 0.8, "reasoning": "r"}'), (2, 'Sure! Here it is:\n```json\n{"canonical_field": "order_id", "confidence": "0.95"}\n``` Anything else?'), (3, '{"canonical_field": null, "confidence": 0.2}'),
+    (4, "no idea"), (5, '{"canonical_field": "amount", "confidence": "high"}'), (6, None), (7, '{"canonical_field": "amount"}'), (8, '{"canonical_field": "amount", "confidence": 0.5'),
+])
+
+
+def map_replies(spark, sf_dir):
+    """What is read of a language model's answers."""
+    return REPLIES.frame(spark).select("id", M.reply(F.col("reply")).alias("r")).select("id", "r.field", "r.confidence")
+
+
+QUERIES["map_replies"] = map_replies
+ORACLES["map_replies"] = f"""with j as (select id, regexp_extract(reply, '\\{{.*\\}}', 0, 's') as t from {REPLIES.sql} x),
+ p as (select id, case when json_valid(t) then json_extract_string(t, '$.canonical_field') end as f, case when json_valid(t) then json_extract_string(t, '$.confidence') end as c from j)
+ select id, case when c is null or try_cast(c as double) is not null then f end as field, coalesce(try_cast(c as double), 0.0)::double as confidence from p"""
 QUERIES |= {
     "sheet_names": lambda s, d: H.bronze_names(HEADERS.frame(s)),
     "sheet_sections": lambda s, d: H.sections(COLUMNS.frame(s)),

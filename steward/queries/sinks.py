@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ ORACLES: dict = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """A folder that all executors share: the checkpoint folder, or a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="steward-")
-    return f"{root}/{uuid.uuid4().hex}"
+    """A folder that all executors share: below the checkpoint folder, or a local one where none is set and all runs in this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='steward-')}/{uuid.uuid4().hex}"
 
 
 def store_versions(spark, sf_dir):

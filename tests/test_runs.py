@@ -1,7 +1,11 @@
 """A day of runs: fail, reset, retry."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
+from steward.monitor import RunMonitor
+from steward.operators import drift as D
 from steward.operators import runs as R
 from steward.operators import views as V
 from steward.operators.upsert import insert_only, next_id, upsert
@@ -108,3 +112,104 @@ def test_store(spark, tmp_path):
     store.append("masterDataCategory", held.limit(1))
     assert store.read("masterDataCategory").count() == 2
     assert len(TABLES) == 17 and evolve(held.select("_ID"), store.schema("masterDataCategory")).columns[-1] == "LastUpdatedOn"
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    row = lambda i: spark.createDataFrame([(i,)], "i int")
+    a.write("t", row(0))
+    asked = []
+
+    def change(old):
+        asked.append(1)
+        if len(asked) == 1:
+            b.update("t", lambda x: x.union(row(1)))  # comes between reading and writing
+        return old.union(row(2))
+
+    opened = a.read("t")
+    a.update("t", change)
+    assert len(asked) == 2 and sorted(r["i"] for r in b.read("t").collect()) == [0, 1, 2]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: (a, b)[i % 2].append("t", row(i)), range(10, 16)))
+        list(pool.map(lambda i: (a, b)[i % 2].update("t", lambda x: x.union(row(i))), range(20, 24)))
+    assert sorted(r["i"] for r in a.read("t").collect()) == [0, 1, 2, *range(10, 16), *range(20, 24)]
+    assert [r["i"] for r in opened.collect()] == [0]
+    a.update("t", lambda x: None)
+    before = a._current("t")
+    a.vacuum("t", 1)
+    assert a._current("t") == before and a.read("t").count() == 13 and len(a._numbers("t")) == 1
+
+
+def test_a_pointer_without_content_is_a_lost_writer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("steward.sources.store.WAIT", 0.1)
+    s = Store(spark, str(tmp_path))
+    s.write("t", spark.range(3))
+    (tmp_path / "t" / "_current_" / "0000000002").touch()
+    assert s.read("t").count() == 3
+    s.append("t", spark.range(2))
+    assert s.read("t").count() == 5 and s._numbers("t") == [1, 2, 3]
+
+
+def test_views_that_stay(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.write("region", spark.range(2))
+    s.append("region", spark.range(1))
+    s.views(["region"], "v_", database="default")
+    try:
+        assert spark.newSession().table("default.v_region").count() == 3
+    finally:
+        spark.sql("drop view default.v_region")
+
+
+def monitor(spark, path):
+    times = iter(f"2024-05-01 01:{i // 60:02d}:{i % 60:02d}" for i in range(3000))
+    r = RunMonitor(spark, str(path), clock=lambda: next(times))
+    r.setup()
+    r.register_task("P", "D", 1, 1, 1, "load", LoadFrequency="D", SourceSystemCode="SRC")
+    r.register_parameter("P", "D", "SRC", "DELTA_DATE")
+    return r
+
+
+def test_start_takes_the_attempt_that_waits(spark, tmp_path):
+    r = monitor(spark, tmp_path)
+    r.generate_execution_steps("E", "P", "D", DAY)
+    t = r.task_of("E", "P", "D", 1, 1, 1, DAY)
+    assert r.start_task(t) == 0
+    r.end_task(t, 0, "FAIL")
+    r.start_task(t, 1)
+    r.end_task(t, 1)
+    r._steps(lambda s: R.changed(s, s["Attempts"] == 0, Status="RQUE"))  # as after a reset of the first attempt
+    assert r.start_task(t) == 0
+    assert status(r.store.read("ETLProcessingSteps"))[(1, 1)] == "DONE"
+
+
+def test_a_step_is_closed_before_its_watermark_moves(spark, tmp_path, monkeypatch):
+    r = monitor(spark, tmp_path)
+    r.generate_execution_steps("E", "P", "D", DAY)
+    t = r.task_of("E", "P", "D", 1, 1, 1, DAY)
+    r.start_task(t, timestamp="2024-03-01 05:00:00")
+    monkeypatch.setattr(R, "advance_on_done", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        r.end_task(t, 0)
+    assert status(r.store.read("ETLProcessingSteps"))[(1, 0)] == "DONE"
+    assert r.get_active_watermark("P", "D", "SRC").first()["ValueDateTime"] is None
+    monkeypatch.undo()
+    r.end_task(t, 0)
+    assert str(r.get_active_watermark("P", "D", "SRC").first()["ValueDateTime"]) == "2024-03-01 05:00:00"
+
+
+def test_diff_follows_case_and_missing_properties(spark):
+    shape = "schema_name string, table_name string, column_name string, data_type string"
+    new = D.snapshot(spark.createDataFrame([("s", "t", "a", "INT", "x"), ("s", "t", "b", "int", None), ("s", "t", "n", "int", None)], f"{shape}, owner string"))
+    old = D.snapshot(spark.createDataFrame([("s", "t", "a", "int"), ("s", "t", "b", "int"), ("s", "t", "o", "int")], shape))
+    got = {r["FullFieldName"][-2]: r for r in D.diff(new, old).collect()}
+    assert got["a"]["ChangedColumns"] == "[SHA256Hash], [owner]" and got["b"]["Action"] == "Unchanged"
+    assert (got["n"]["Action"], got["n"]["SHA256Hash_from_n_minus_1"], got["o"]["SHA256Hash_from_n"]) == ("Added", "Missing", "Missing")
+
+
+def test_a_catalogs_keys_order_its_tables(spark):
+    from steward.operators.hierarchy import hierarchy
+    from steward.queries.drift import PRIORITIES, catalog
+
+    got = {r["table_name"]: (r["section_level"], r["Hierarchy"]) for r in hierarchy(catalog(spark).where("schema_name = 'dbo'"), PRIORITIES.frame(spark)).collect()}
+    assert got == {"cust": (1, 1), "orders": (3, 2), "line": (3, 3), "item": (999, 4)}
