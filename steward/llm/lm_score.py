@@ -32,14 +32,16 @@ from pyspark.sql import types as T
 from .common import REMEMBERED, in_pandas, require, result_columns, saved, schema_with
 
 #: Words for each squared word of the vocabulary; least and greatest number of words; hash values of the others, folded to as many buckets as are used.
-GROWTH, LEAST_WORDS, MOST_WORDS, HASHES = 8, 256, 1 << 15, 1 << 14
+GROWTH, LEAST_WORDS, MOST_WORDS, HASHES = 64, 256, 1 << 15, 1 << 14
 SIDE = 2
 HIDDEN = 16
 #: Tokens of a step, for each class.
-STEP = 64
+STEP = 128
 RATE = 0.3
 ROUNDS = 1
 FAN_IN = 32
+#: Scores are cut off here, where their exponentials stay far from the greatest 32-bit number.
+HIGHEST = np.float32(60)
 #: Different words that a partition counts before it sends them, and groups that words are sent in.
 COUNTED, GROUPS = 150_000, 1024
 _words = re.compile(r"\w+").findall
@@ -114,6 +116,15 @@ def read(column, look: dict | None) -> Iterator[np.ndarray]:
         yield np.frombuffer(t, np.uint16) if isinstance(t, (bytes, bytearray)) else ids_of(t, look)
 
 
+def row_sums(z: np.ndarray) -> np.ndarray:
+    """By a matrix product, which is faster than a sum over short rows."""
+    return z @ np.ones(z.shape[1], np.float32)
+
+
+def column_sums(z: np.ndarray) -> np.ndarray:
+    return np.ones(len(z), np.float32) @ z
+
+
 class Network:
     def __init__(self, known: Lexicon, weights: np.ndarray | None = None):
         self.known, n, c = known, len(known.counts), len(known.starts) - 1
@@ -137,15 +148,18 @@ class Network:
         return np.stack([ids[at + s] for s in (*range(-SIDE, 0), *range(1, SIDE + 1))])  # 16 bits: sorted by radix
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hidden layer and the log scores of the classes, 0 for the best."""
+        """The hidden layer and the log scores of the classes."""
         h = self.embed[0][context[0]]
         for table, c in zip(self.embed[1:], context[1:], strict=True):
             h += table[c]
         np.tanh(h, out=h)
-        z = h @ self.out
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        return h, z
+        return h, self.scores(h, self.out, self.bias)
+
+    @staticmethod
+    def scores(h: np.ndarray, out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        z = h @ out
+        z += bias
+        return np.minimum(z, HIGHEST, out=z)
 
     def by_class(self, token: np.ndarray) -> np.ndarray:
         return np.argsort(self.known.classes[token].astype(np.uint16), kind="stable")
@@ -163,12 +177,10 @@ class Network:
         order = self.by_class(token)
         token = token[order]
         h, z = self.forward(context[:, order])
-        p = z[np.arange(len(token)), self.known.classes[token]] - np.log(np.exp(z, out=z).sum(axis=1))
+        p = z[np.arange(len(token)), self.known.classes[token]] - np.log(row_sums(np.exp(z, out=z)))
         for rows, a, b in self.within(token):
-            z = h[rows] @ self.word[a:b].T
-            z += self.word_bias[a:b]
-            z -= z.max(axis=1, keepdims=True)
-            p[rows] += z[np.arange(len(z)), token[rows] - a] - np.log(np.exp(z, out=z).sum(axis=1))
+            z = self.scores(h[rows], self.word[a:b].T, self.word_bias[a:b])
+            p[rows] += z[np.arange(len(z)), token[rows] - a] - np.log(row_sums(np.exp(z, out=z)))
         out = np.empty_like(p)
         out[order] = p + self.known.share[token]
         return out
@@ -176,9 +188,8 @@ class Network:
     @staticmethod
     def softmax_error(z: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(right)), right] -= 1
-        z /= n
+        z *= (np.float32(1 / n) / row_sums(z))[:, None]
+        z[np.arange(len(right)), right] -= np.float32(1 / n)
         return z
 
     def move(self, place: int, rows, gradient: np.ndarray) -> None:
@@ -199,16 +210,13 @@ class Network:
         z = self.softmax_error(z, self.known.classes[token], len(token))
         dh = z @ self.out.T
         self.move(1, slice(None), h.T @ z)
-        self.move(2, slice(None), z.sum(axis=0))
+        self.move(2, slice(None), column_sums(z))
         for rows, a, b in self.within(token):
             mine = h[rows]
-            z = mine @ self.word[a:b].T
-            z += self.word_bias[a:b]
-            z -= z.max(axis=1, keepdims=True)
-            z = self.softmax_error(z, token[rows] - a, len(token))
+            z = self.softmax_error(self.scores(mine, self.word[a:b].T, self.word_bias[a:b]), token[rows] - a, len(token))
             dh[rows] += z @ self.word[a:b]
             self.move(3, slice(a, b), z.T @ mine)
-            self.move(4, slice(a, b), z.sum(axis=0))
+            self.move(4, slice(a, b), column_sums(z))
         dh *= 1 - h * h
         for k, c in enumerate(context):
             order = np.argsort(c, kind="stable")
