@@ -18,7 +18,7 @@ told otherwise). What is done:
    region can be near enough to are done with, so a dense group of near copies costs its rows once and not their pairs. A
    region that doesn't shrink so is cut into blocks, and each pair of blocks is a task of bounded memory.
 4. In a task regions split recursively the same way; small ones compare their sets by one matrix product. Sets already
-   joined are not compared. Only links that join two groups leave a task, less than one a set.
+   joined are not compared. Only links that join two groups leave a task, less than one a set, each to the group's least id.
 
 No step drops or caps candidates; the result is that of comparing all pairs.
 """
@@ -152,7 +152,7 @@ class Sets:
 
 
 class Groups:
-    """Union-find over rows that keeps the links that joined two groups."""
+    """Union-find over rows that keeps the links that joined two groups; a group's root is its first row."""
 
     def __init__(self, n: int):
         self.up, self.links = list(range(n)), []
@@ -253,9 +253,11 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     starts = F.coalesce(F.col("n") > F.max("reach").over(before), F.lit(True))
     islands = own.withColumn("starts", starts).withColumn("island", F.sum(F.col("starts").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = islands.withColumn("sets", F.count("*").over(Window.partitionBy("key", "island")).cast("int"))
-    islands = saved(islands.where("sets > 1").withColumn("last", F.when(F.col("sets") > SMALL, F.lag("doc_id").over(Window.partitionBy("key", "island").orderBy("n", "doc_id")))).select("key", "island", "sets", "doc_id", "n", "reach", "last"))
-    kept = islands.where("last is not null and last <> doc_id").select(F.col("doc_id").alias("src"), F.col("last").alias("dst")).distinct()
+    each_island = Window.partitionBy("key", "island")
+    islands = islands.withColumn("sets", F.count("*").over(each_island).cast("int")).withColumn("least", F.min("doc_id").over(each_island))
+    islands = saved(islands.where("sets > 1").select("key", "island", "sets", "doc_id", "n", "reach", "least"))
+    # stars, not chains: the components of stars take few rounds
+    kept = islands.where((F.col("sets") > SMALL) & (F.col("least") != F.col("doc_id"))).select(F.col("doc_id").alias("src"), F.col("least").alias("dst")).distinct()
     member = F.struct("n", "doc_id", "reach")
     small = islands.where(F.col("sets") <= SMALL).groupBy("key", "island").agg(F.array_sort(F.collect_list(member)).alias("m"))
     pair = lambda x, y: F.struct(x["doc_id"].alias("src"), y["doc_id"].alias("dst"), x["n"].alias("n"))
@@ -322,17 +324,20 @@ def local(now: DataFrame, percent: float, k: int) -> DataFrame:
     """Links (src, dst) within each region; a region holds LIMIT_SETS sets and LIMIT_GRAMS shingles at most, or one pair of blocks."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id", "z"])  # different texts of an id all count
-        groups = Groups(len(pdf))
+        pdf = pdf.drop_duplicates(["doc_id", "z"]).sort_values("doc_id", kind="stable")  # different texts of an id all count
+        groups, stars = Groups(len(pdf)), []
         if len(pdf) > 1:
             heads: dict[int, int] = {}
             for i, j in enumerate(pdf["joined"]):
                 if not pd.isna(j):
                     groups.merge(heads.setdefault(int(j), i), i)
+            roots = [i for i, up in enumerate(groups.up) if up == i]
             sets = Sets([shingles(unpacked(z), k) for z in pdf["z"]])
             join_rows(sets, np.arange(len(pdf)), groups, percent)
+            if groups.links:  # as many links, each to the first row of its group
+                stars = [(i, groups.root(i)) for i in roots if groups.up[i] != i]
         ids = pdf["doc_id"].to_numpy()
-        i = np.array(groups.links, int).reshape(-1, 2)
+        i = np.array(stars, int).reshape(-1, 2)
         return pd.DataFrame({"src": ids[i[:, 0]], "dst": ids[i[:, 1]]})
 
     return now.select("region", "doc_id", "z", "joined").groupBy("region").applyInPandas(join, "src long, dst long")
