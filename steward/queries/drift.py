@@ -51,8 +51,18 @@ KEYS = Values("schema_name string,table_name string,referenced_schema_name strin
     ("dbo", t, "<Primary Key>", "<Primary Key>") for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "x", "y")
 ] + [("dbo", a, "dbo", b) for a, b in (("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier"), ("ext", "part"), ("emp", "emp"), ("x", "y"), ("y", "x"))])
 PRIORITIES = Values("schema_name string,schema_priority int", [("dbo", 1)])
-#: What the order must be; SQL would need the rounds as recursion.
-HIERARCHY = [("events", -1, None, 1), ("region", 1, None, 2), ("part", 1, None, 2), ("ext", 2, None, 3), ("nation", 3, 1.0, 4), ("customer", 3, 2.0, 5), ("supplier", 3, 2.0, 5), ("orders", 3, 3.0, 6), ("emp", 4, 1.0, 7), ("y", 4, 2.0, 8), ("x", 4, 3.0, 9), ("lineitem", 999, None, 10)]
+HIERARCHY = f"""with recursive k as (select schema_name || '.' || table_name as x, referenced_schema_name || '.' || referenced_table_name as y, referenced_schema_name as rs from {KEYS.sql} z),
+ edges as (select distinct x as child, y as parent from k where rs <> '<Primary Key>'), t as (select * from edges where child <> parent), loops as (select child as x from edges where child = parent),
+ related as (select child as x from edges union select parent from edges), roots as (select distinct parent as x from t where parent not in (select child from t) and parent not in (select x from loops)),
+ leaves as (select distinct child as x from t where child not in (select parent from t) and child not in (select x from loops)), near as (select x from leaves where x not in (select child from t where parent not in (select x from roots))),
+ g as (select * from t where parent not in (select x from roots)), reach as (select parent as a, child as b from g union select r.a, g.child from reach r join g on g.parent = r.b), bad as (select b as x from reach where a in (select a from reach where a = b)),
+ walk as (select parent as x, 1 as n from g where parent not in (select child from g) union select g.child, w.n + 1 from walk w join g on g.parent = w.x where g.child not in (select x from bad)),
+ placed as (select distinct x, -1 as section_level, null::double as table_level from k where rs is not null and x not in (select x from related) union all select x, 1, null from roots union all select x, 2, null from near
+ union all select x, 999, null from leaves where x not in (select x from near) union all select x, 3, max(n)::double from walk where x in (select parent from g) group by 1),
+ missed as (select x, dense_rank() over (order by x) as id from (select x from related union select x from k where rs is not null) m where x not in (select x from placed) and x in (select parent from edges)),
+ rest as (select x, 4 as section_level, dense_rank() over (order by level nulls first)::double as table_level from missed left join (select child as x, max(id) + 1 as level from edges join missed on missed.x = parent group by 1) u using (x))
+ select split_part(x, '.', 2) as table_name, section_level, table_level, dense_rank() over (order by section_level nulls first, table_level nulls first, schema_priority nulls first)::int as Hierarchy
+ from (select * from placed union all select * from rest) p left join {PRIORITIES.sql} s on s.schema_name = split_part(x, '.', 1)"""
 
 CATALOG = {
     "columns": Values("table_schema string,table_name string,column_name string,ordinal_position int,data_type string,character_maximum_length int,numeric_precision int,numeric_scale int,is_nullable string", [
@@ -100,6 +110,7 @@ ORACLES |= {
     "drift_summary": " union all ".join(f"select 'Table {k}' as Action, '<Not Applicable>' as TableName, '<Not Applicable>' as ColumnName, count(*) as Statistics from {TABLES} t where ChangeType = '{k}'" for k in ("Added", "Deleted", "Changed", "Unchanged"))
     + "".join(f" union all select 'Columns {k}', FullTableName, '<Not Applicable>', count(*) filter (Action = '{k}') from {DIFF} d join {TABLES} t on {TABLE} = t.FullTableName where ChangeType not in ('Added', 'Deleted') group by 2" + (" having count(*) filter (Action = 'Unchanged') > 0" if k == "Unchanged" else "") for k in ("Added", "Deleted", "Changed", "Unchanged"))
     + f" union all select 'Columns Changed', {TABLE}, {PART}, len(string_split(d.ChangedColumns, ',')) from {DIFF} d join {TABLES} t on {TABLE} = t.FullTableName where Action = 'Changed' and ChangeType not in ('Added', 'Deleted')",
-    "drift_spark_schema": "select '[tpch].[nation].[' || c || ']' as FullFieldName, i::int as column_order, t as data_type, z as data_type_with_size, u as is_unique from (values ('n_nationkey', 1, 'integer', 'int', 'YES'), ('n_name', 2, 'string', 'string', 'NO'), ('n_regionkey', 3, 'integer', 'int', 'NO')) as x(c, i, t, z, u)",
-    "fk_hierarchy": "select * from " + Values("table_name string,section_level int,table_level double,Hierarchy int", HIERARCHY).sql + " t",
+    "drift_spark_schema": """select '[tpch].[nation].[' || column_name || ']' as FullFieldName, i as column_order, case column_type when 'INTEGER' then 'integer' when 'BIGINT' then 'long' when 'VARCHAR' then 'string' end as data_type,
+ case column_type when 'INTEGER' then 'int' when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' end as data_type_with_size, case when column_name = 'n_nationkey' then 'YES' else 'NO' end as is_unique from (select *, (row_number() over ())::int as i from (describe select * from nation)) d""",
+    "fk_hierarchy": HIERARCHY,
 }

@@ -15,8 +15,6 @@ HEADERS = Values("sheet string,idx int,header string", [
     ("a", 1, "[Order].[ID]"), ("a", 2, "[Customer].[ID]"), ("a", 3, "[Unit Price (%)]"), ("a", 4, "[Profit & Loss]"), ("a", 5, "[2024]"), ("a", 6, "[Unnamed]"), ("a", 7, "[Unnamed]"), ("a", 8, "[***]"),
     ("b", 1, "[ID]"), ("b", 2, "[Name]"), ("b", 3, "[A].[Name]"), ("b", 4, "[B].[Name]"), ("b", 5, "plain"),
 ])
-NAMES = {("a", 1): "order__id", ("a", 2): "customer__id", ("a", 3): "unit_price_pct", ("a", 4): "profit_and_loss", ("a", 5): "col_2024", ("a", 6): "unnamed_1", ("a", 7): "unnamed_2", ("a", 8): "col",
-         ("b", 1): "id", ("b", 2): "name", ("b", 3): "a__name", ("b", 4): "b__name", ("b", 5): "col"}
 COLUMNS = Values("sheet string,idx int,is_blank boolean", [("a", i, i in (5, 10)) for i in range(1, 14)] + [("b", i, i == 1) for i in range(1, 4)])
 CELLS = Values("sheet string,row int,col int,value string,kind string", [
     *(("plain", 1, c, f"Head {c}", "text") for c in range(1, 5)), *(("plain", r, c, str(r * c), "number") for r in range(2, 6) for c in range(1, 5)),
@@ -24,10 +22,7 @@ CELLS = Values("sheet string,row int,col int,value string,kind string", [
     *(("text", r, c, "word", "text") for r in range(1, 31) for c in range(1, 4)), *(("data", r, c, "2024-01-01", "date") for r in range(1, 4) for c in range(1, 3)),
     ("gap", 1, 1, "A", "text"), ("gap", 1, 2, "B", "text"), ("gap", 3, 1, "x", "text"), ("gap", 3, 2, "y", "text"), ("head", 1, 1, "A", "text"), ("head", 1, 2, "B", "text"), ("empty", 1, 1, " ", "text"),
 ])
-ZONES = [("data", "1", 2, False), ("empty", "1", 2, False), ("gap", "1", 2, False), ("head", "1", 2, True), ("plain", "1", 2, False), ("text", "1", 2, True), ("two", "2,3", 4, False)]
-STATUS = [("data", "VALID"), ("empty", "EMPTY_FILE"), ("gap", "VALID"), ("head", "NO_DATA"), ("plain", "VALID"), ("text", "VALID"), ("two", "VALID")]
 MERGES = Values("sheet string,min_row int,max_row int,min_col int,max_col int", [("two", 2, 2, 1, 2), ("two", 2, 2, 3, 4), ("plain", 1, 2, 1, 1)])
-SPREAD = [(1, "[Order].[h1]"), (2, "[Order].[h2]"), (3, "[Customer].[h3]"), (4, "[Customer].[h4]")]
 FIELDS = {"order_id": ["order id", "order number"], "customer_name": ["customer name", "client", "customer"], "amount": ["amount", "total price", "price"], "order_date": ["order date", "date"]}
 ALIASES = [(f, i, a) for i, (f, names) in enumerate(FIELDS.items()) for a in names]
 TO_MAP = Values("id int,header string,section string", [
@@ -39,6 +34,21 @@ SCORE = f"""(select t.id, t.header, a.field, a.ordinal, least(1.0, max(case when
  left join {PRIOR.sql} p on p.header = t.header and p.field = a.field group by 1, 2, 3, 4)"""
 BEST = f"(select id, header, case when score > 0 then field end as field, score as confidence from (select *, row_number() over (partition by id order by score desc, ordinal) as r from {SCORE} s) x where r = 1)"
 MAPPED = f"(select *, case when field is null then 'UNMAPPED' when confidence >= 0.9 then 'AUTO_APPROVED' when confidence >= 0.7 then 'NEEDS_REVIEW' else 'REQUIRES_HUMAN' end as status from {BEST} b)"
+_level = "case when s = '' then 'col' when s[1] between '0' and '9' then 'col_' || s else s end"
+NAMED = f"""(with found as (select *, case when regexp_matches(header, '\\[[^\\]]+\\]') then regexp_extract_all(header, '\\[([^\\]]+)\\]', 1) else [''] end as parts from {HEADERS.sql} h),
+ split as (select sheet, idx, header, unnest(parts) as part, generate_subscripts(parts, 1) as i from found),
+ plain as (select *, trim(regexp_replace(replace(replace(lower(part), '&', 'and'), '%', 'pct'), '[^a-z0-9]+', '_', 'g'), '_') as s from split),
+ paths as (select sheet, idx, header, string_agg({_level}, '__' order by i) as path, arg_max({_level}, i) as leaf from plain group by 1, 2, 3),
+ chosen as (select *, case when count(*) over (partition by sheet, leaf) > 1 then path else leaf end as name from paths)
+ select sheet, idx, header, case when count(*) over (partition by sheet, name) > 1 then name || '_' || row_number() over (partition by sheet, name order by idx) else name end as bronze_name from chosen)"""
+ZONES = f"""(with c as (select *, coalesce(trim(value) <> '', false) as filled from {CELLS.sql} z), w as (select sheet, max(col) as width, least(20, max(row)) as lim from c group by 1),
+ p as (select c.sheet, c.row, count(*) filter (filled) < 0.3 * max(width) as thin, count(*) filter (filled and (kind in ('number', 'date') or (kind = 'text' and regexp_matches(trim(value), '^[A-Z]{{2,6}}-[A-Z0-9]{{2,}}', 'i')))) > 0.35 * count(*) filter (filled) as data from c join w on w.sheet = c.sheet where c.row <= lim group by 1, 2),
+ f as (select sheet, min(row) as first from p where not thin group by 1),
+ e as (select p.sheet, min(p.row) as stop from p join f on f.sheet = p.sheet where (not thin and data) or (p.row > first and (thin or (p.sheet, p.row - 1) not in (select (sheet, row) from p))) group by 1),
+ h as (select p.sheet, p.row from p left join e on e.sheet = p.sheet where not thin and (stop is null or p.row < stop)),
+ g as (select w.sheet, coalesce(bool_or(h.row = lim), false) as fell_back, string_agg(h.row::varchar, ',' order by h.row) as found, max(h.row) as bottom from w left join h on h.sheet = w.sheet group by 1)
+ select sheet, case when fell_back or found is null then '1' else found end as header_rows, (1 + case when fell_back or found is null then 1 else bottom end)::int as data_start_row, fell_back from g)"""
+IN_ZONE = "list_contains(string_split(header_rows, ','), c.row::varchar)"
 
 
 def zones(s):
@@ -91,13 +101,16 @@ QUERIES |= {
     "path_kind": lambda s, d: table(s, d, "pages").select("page_id", path_kind(F.concat(F.element_at(F.array(F.lit("/Volumes/"), F.lit("dbfs:/"), F.lit("/dbfs/"), F.lit("abfss://"), F.lit("/Workspace/"), F.lit("/tmp/")), (F.col("page_id") % 6 + 1).cast("int")), F.col("url"))).alias("kind")),
 }
 ORACLES |= {
-    "sheet_names": f"select h.*, n.bronze_name from {HEADERS.sql} h join {Values('sheet string,idx int,bronze_name string', [(*k, v) for k, v in NAMES.items()]).sql} n using (sheet, idx)",
+    "sheet_names": f"select * from {NAMED} n",
     "sheet_sections": f"select *, (1 + sum(is_blank::int) over (partition by sheet order by idx))::int as section_id from {COLUMNS.sql} c",
     "sheet_signature": f"select sheet, sha256(string_agg(header, '|' order by idx)) as signature from {HEADERS.sql} h group by 1",
-    "sheet_superset": f"select distinct bronze_name from {Values('bronze_name string', [(v,) for v in NAMES.values()]).sql} n",
-    "sheet_header_zone": f"select * from {Values('sheet string,header_rows string,data_start_row int,fell_back boolean', ZONES).sql} z",
-    "sheet_status": f"select * from {Values('sheet string,status string', STATUS).sql} z",
-    "sheet_headers": f"select * from {Values('idx int,header string', SPREAD).sql} z",
+    "sheet_superset": f"select distinct bronze_name from {NAMED} n",
+    "sheet_header_zone": f"select * from {ZONES} z",
+    "sheet_status": f"""select c.sheet, case when count(*) filter (trim(value) <> '') = 0 then 'EMPTY_FILE' when count(*) filter (trim(value) <> '' and {IN_ZONE}) = 0 then 'NO_HEADERS' when count(*) filter (trim(value) <> '' and c.row >= data_start_row) = 0 then 'NO_DATA' else 'VALID' end as status
+ from {CELLS.sql} c join {ZONES} z on z.sheet = c.sheet group by 1""",
+    "sheet_headers": f"""select c.col as idx, coalesce(string_agg('[' || trim(coalesce(m.value, c.value)) || ']', '.' order by c.row) filter (trim(coalesce(m.value, c.value)) <> ''), '[Unnamed]') as header
+ from {CELLS.sql} c join {ZONES} z on z.sheet = c.sheet and {IN_ZONE} left join (select g.*, o.value from {MERGES.sql} g join {CELLS.sql} o on o.sheet = g.sheet and o.row = g.min_row and o.col = g.min_col where g.min_row = g.max_row) m
+ on m.sheet = c.sheet and m.min_row = c.row and c.col between m.min_col and m.max_col where c.sheet = 'two' group by 1""",
     "sheet_blank_columns": f"select sheet, max(col)::bigint as columns, max(col)::bigint - count(distinct col) filter (row <= 20 and trim(value) <> '') as blank from {CELLS.sql} c group by 1",
     "sheet_combine": "select n_nationkey::varchar as id, n_name as name, null::varchar as title, 'f1.xlsx' as source_file, 'n' as source_sheet, timestamp '2024-01-01 00:00:00' as insert_timestamp from nation union all select r_regionkey::varchar, null, r_name, 'f2.xlsx', 'r', timestamp '2024-01-01 00:00:00' from region",
     "map_canonical": f"select * from {MAPPED} m",
