@@ -10,7 +10,8 @@ told otherwise). What is done:
    regions and no more (the window). A region falls apart where the sizes allow no link (triangle inequality with the
    empty set: sizes within the threshold, and a place in the order bounds what can be shared). Regions carry ids, sizes and places only.
    l is EXTRA of the size: two sets that meet in small regions only (SMALL sets at most) must meet in l of them;
-   sets that meet in a larger one are kept together without counting.
+   sets that meet in a larger one aren't counted. Both are held against their parities: bit i says whether an odd number of
+   shingles hash to i, so the bits that differ are no more than the shingles that only one of two sets has, and linked sets always pass.
 3. What shares a region is a candidate neighbourhood (components of the candidate graph). Its texts are shipped once, compressed. One
    with more than LIMIT_SETS sets or LIMIT_GRAMS shingles is split again: documents as pivots, exact distances, a
    document goes to its nearest pivot's region and to every pivot q with d(x, q) <= d(x, nearest) + 2 TAU (no linked pair is
@@ -47,6 +48,8 @@ SKETCH_BITS = 20
 SKETCH = 1 << SKETCH_BITS
 #: Shared shingles asked for, for each hundred of a set, beyond the first.
 EXTRA = 3
+#: Bits of a set's parities: the first power of two from two thirds of its size on, within these. Beyond the most, fewer unlinked sets are told apart.
+FEWEST_BITS, MOST_BITS = 128, 4096
 #: Sets of a region whose pairs are counted; SMALL * (SMALL - 1) / 2 rows at most.
 SMALL = 12
 LIMIT_SETS = 512
@@ -90,6 +93,79 @@ def window(n: int, percent: int = PERCENT) -> tuple[int, np.ndarray]:
     return count, np.minimum(reach, n * 100 // percent)
 
 
+def parities(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Words of 64 bits: whether an odd number of shingles hash to each bit. Half as many bits are one half XOR the other."""
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Parities by row, as of width words."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def bits_for(n: int) -> int:
+    return min(MOST_BITS, max(FEWEST_BITS, 1 << (2 * n // 3).bit_length()))
+
+
+def alike(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (src, dst) over the sets of an island, in the order of sizes n, whose sizes and parities allow a link.
+
+    Pairs that are one group already are passed over, so near copies cost their rows and not their pairs.
+    """
+    group, top = np.arange(len(ids)), np.searchsorted(n, n * 100 // percent, side="right")
+    width = np.array([len(b) // 8 for b in bits])
+    for w in np.unique(width):
+        low, high = np.searchsorted(width, [w, w + 1])
+        parts = [folded(np.frombuffer(b"".join(bits[width == v]), np.uint64).reshape(-1, v), w) for v in np.unique(width[low : top[high - 1]])]
+        words = np.concatenate(parts)
+        for i in range(low, high):
+            j = slice(i + 1, top[i])
+            c = i + 1 + np.flatnonzero(group[j] != group[i])
+            if not len(c):
+                continue
+            apart = np.bitwise_count(words[c - low] ^ words[i - low]).sum(axis=1, dtype=np.int64)
+            c = c[apart * (100 + percent) <= (n[c] + n[i]) * (100 - percent)]
+            if len(c):
+                one = np.unique(group[np.r_[i, c]])
+                group[np.isin(group, one)] = one[0]
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    dst = least[group]
+    return ids[ids != dst], dst[ids != dst]
+
+
+def alike_by_island(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) of alike() for each island of rows (island, doc_id, n, bits)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list[np.ndarray]] = []  # of the island that the next rows may go on with
+
+        def stars() -> tuple[np.ndarray, np.ndarray]:
+            return alike(*(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]), percent)
+
+        for b in batches:
+            columns, out = [b[c].to_numpy() for c in ("island", "doc_id", "n", "bits")], []
+            cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(b)], strict=True):
+                if low == high:
+                    continue
+                if held and held[0][0][0] != columns[0][low]:
+                    out.append(stars())
+                    held = []
+                held.append([c[low:high] for c in columns])
+            if out:
+                yield pd.DataFrame({"src": np.concatenate([o[0] for o in out]), "dst": np.concatenate([o[1] for o in out])})
+        if held:
+            yield pd.DataFrame(dict(zip(("src", "dst"), stars(), strict=True)))
+
+    rows = rows.select("island", "doc_id", F.col("n").cast("long").alias("n"), "bits")
+    return in_pandas(rows.repartition("island").sortWithinPartitions("island", "n"), work, "src long, dst long")
+
+
 def sketch(docs: DataFrame, text: str, k: int = SHINGLE) -> np.ndarray:
     """Level of each counter: how many times the mean count, in steps of a fourth of a power of two. Counts all shingles of all documents."""
 
@@ -118,12 +194,13 @@ def sketch(docs: DataFrame, text: str, k: int = SHINGLE) -> np.ndarray:
                 total += np.frombuffer(c, np.int32)
         yield pd.DataFrame({"counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    parts = saved(map_rows(docs.select(F.col(text).cast("string").alias("text")), count, "counts binary"))
+    parts = first = saved(map_rows(docs.select(F.col(text).cast("string").alias("text")), count, "counts binary"))
     n = parts.count()
     while n > 1:  # in rounds, so that no task adds up more than 32 of them
         n = -(-n // 32)
         parts = in_pandas(parts.repartition(n), add, "counts binary")
     total = sum((np.frombuffer(r["counts"], np.int32) for r in parts.collect()), np.zeros(SKETCH))
+    forget(first)
     return np.minimum(127, 4 * np.log2(1 + total / max(1.0, total.mean()))).astype(np.int8)
 
 
@@ -239,33 +316,41 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
             for t in b["text"]:
                 g = shingles(t, k)
                 count, reach = window(len(g), percent) if len(g) else (0, np.empty(0, int))
-                out.append((len(g), xxh3_128_digest(g.tobytes()) if len(g) else None, longs(ranked(g, level.value)[:count]), reach))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [o[0] for o in out], "same": [o[1] for o in out], "first": [o[2] for o in out], "reach": [o[3] for o in out]})
+                words = parities(g, bits_for(len(g))) if len(g) else np.zeros(1, np.uint64)
+                fold = folded(words[None, :], 1).view(np.int64)[0, 0]
+                out.append((len(g), xxh3_128_digest(g.tobytes()) if len(g) else None, longs(ranked(g, level.value)[:count]), reach, words.tobytes(), fold))
+            yield pd.DataFrame({"doc_id": b["doc_id"]} | {c: [o[i] for o in out] for i, c in enumerate(("n", "same", "first", "reach", "bits", "fold"))})
 
-    rows = saved(map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("string")), regions, "doc_id string, n long, same binary, first array<long>, reach array<long>").withColumn("doc_id", F.col("doc_id").cast("long")))
+    ddl = "doc_id string, n long, same binary, first array<long>, reach array<long>, bits binary, fold long"
+    rows = saved(map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("string")), regions, ddl).withColumn("doc_id", F.col("doc_id").cast("long")))
     known = rows.where("same is not null and doc_id is not null")
     reps = saved(known.groupBy("same").agg(F.min("doc_id").alias("rep")))
 
     # Regions of the first level: ids and sizes only. In the order of sizes an island ends where no smaller set reaches further.
-    own = known.join(reps, (known["doc_id"] == reps["rep"]) & (known["same"] == reps["same"]), "left_semi").select("doc_id", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("first", "reach")).alias("z"))
+    ones = known.join(reps, (known["doc_id"] == reps["rep"]) & (known["same"] == reps["same"]), "left_semi").withColumn("n", F.col("n").cast("int"))
+    own = ones.select("doc_id", "n", F.explode(F.arrays_zip("first", "reach")).alias("z"))
     own = own.select("doc_id", "n", F.col("z.first").alias("key"), F.col("z.reach").cast("int").alias("reach"))
     by = Window.partitionBy("key").orderBy("n", "doc_id")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     starts = F.coalesce(F.col("n") > F.max("reach").over(before), F.lit(True))
     islands = own.withColumn("starts", starts).withColumn("island", F.sum(F.col("starts").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     each_island = Window.partitionBy("key", "island")
-    islands = islands.withColumn("sets", F.count("*").over(each_island).cast("int")).withColumn("least", F.min("doc_id").over(each_island))
-    islands = saved(islands.where("sets > 1").select("key", "island", "sets", "doc_id", "n", "reach", "least"))
-    # stars, not chains: the components of stars take few rounds
-    kept = islands.where((F.col("sets") > SMALL) & (F.col("least") != F.col("doc_id"))).select(F.col("doc_id").alias("src"), F.col("least").alias("dst")).distinct()
-    member = F.struct("n", "doc_id", "reach")
-    small = islands.where(F.col("sets") <= SMALL).groupBy("key", "island").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    islands = islands.withColumn("sets", F.count("*").over(each_island).cast("int")).withColumn("all", F.bit_xor(F.xxhash64("doc_id", "n")).over(each_island))
+    islands = saved(islands.where("sets > 1").select("key", "island", "sets", "doc_id", "n", "reach", "all"))
+    # islands of the same sets are one; stars, not chains: the components of stars take few rounds
+    large = islands.where(F.col("sets") > SMALL).select(F.col("all").alias("island"), "doc_id", "n").distinct()
+    kept = alike_by_island(large.join(ones.select("doc_id", "n", "bits").distinct(), ["doc_id", "n"]), percent).distinct()
+    member = F.struct("n", "doc_id", "reach", "fold")
+    small = islands.where(F.col("sets") <= SMALL).join(ones.select("doc_id", "n", "fold").distinct(), ["doc_id", "n"]).groupBy("key", "island").agg(F.array_sort(F.collect_list(member)).alias("m"))
     pair = lambda x, y: F.struct(x["doc_id"].alias("src"), y["doc_id"].alias("dst"), x["n"].alias("n"))
-    meets = lambda x, y: (y["n"] <= x["reach"]) & (x["n"] <= y["reach"]) & (y["doc_id"] != x["doc_id"])
+    apart = lambda x, y: F.bit_count(x["fold"].bitwiseXOR(y["fold"]))
+    allowed = lambda x, y: apart(x, y) * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent)
+    meets = lambda x, y: (y["n"] <= x["reach"]) & (x["n"] <= y["reach"]) & (y["doc_id"] != x["doc_id"]) & allowed(x, y)
     each = F.transform("m", lambda x, i: F.transform(F.filter(F.col("m"), lambda y, j: (j > i) & meets(x, y)), lambda y: pair(x, y)))
     met = small.select(F.explode_outer(F.flatten(each)).alias("p")).where("p is not null").groupBy("p.src", "p.dst", "p.n").agg(F.count("*").alias("c"))
     asked = F.least(1 + F.floor(F.col("n") * EXTRA / 100), F.ceil(F.col("n") * percent / 100))
     near = connected(kept.union(met.where(F.col("c") >= asked).select("src", "dst")))
+    forget(islands)
 
     # Each candidate's text is shipped once, to its neighbourhood.
     # rows that repeat an id come to the same region, where one of each text is taken

@@ -144,3 +144,37 @@ def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
     rows = [(5, edit(a)), (5, edit(b)), (7, " ".join(a)), (9, " ".join(b))]
     got = J.component_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["component_id"] for r in got} == {5}
+
+
+def test_documents_that_share_lines_are_not_shipped_as_near_duplicates(spark, monkeypatch):
+    """A sketch that is too small for the corpus tells no line from a rare one: regions are large, but only near documents may become one."""
+    shipped, candidates = [], J.candidates
+    monkeypatch.setattr(J, "SMALL", 3)
+    monkeypatch.setattr(J, "sketch", lambda *_: np.zeros(J.SKETCH, np.int8))
+    monkeypatch.setattr(J, "candidates", lambda texts, k: shipped.append(texts.count()) or candidates(texts, k))
+    rng = random.Random(8)
+    lines = [[f"l{j}x{i}" for i in range(12)] for j in range(6)]
+    texts = [" ".join([*(f"u{rng.randint(0, 10**9)}" for _ in range(60)), *rng.choice(lines), *rng.choice(lines)]) for _ in range(80)]
+    texts += [t.replace(" ", " edit ", 1) for t in texts[:5]]
+    rows = list(enumerate(texts))
+    assert result(J.component_ids(spark.createDataFrame(rows, "doc_id long, text string"), **J.NEAR)) == brute(rows, **J.NEAR)
+    assert shipped == [10]
+
+
+@pytest.mark.parametrize("percent", [90, 80, 55])
+def test_parities_lose_no_link(percent):
+    rng = random.Random(percent)
+    texts = [t for words in (3, 30, 70, 300) for t in variants(rng, 40, words, 9)] + [" ".join(f"v{rng.randint(0, 10**6)}" for _ in range(rng.randint(3, 300))) for _ in range(60)]
+    grams = sorted((J.shingles(t, 3) for t in texts), key=len)
+    n = np.array([len(g) for g in grams])
+    bits = np.array([J.parities(g, J.bits_for(len(g))).tobytes() for g in grams], object)
+    ids = np.arange(len(grams))[::-1].copy()
+    src, dst = J.alike(ids, n, bits, percent)
+    to = dict(zip(src.tolist(), dst.tolist(), strict=True))
+    for i, x in enumerate(grams):
+        for j, y in enumerate(grams[:i]):
+            both = len(np.intersect1d(x, y))
+            if J.linked(both, len(x), len(y), percent):
+                assert to.get(ids[i], ids[i]) == to.get(ids[j], ids[j])
+    if percent > 55:
+        assert len({to.get(i, i) for i in ids.tolist()}) > 50  # the unlike stay apart
