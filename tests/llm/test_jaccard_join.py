@@ -146,7 +146,8 @@ def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
     assert {r["component_id"] for r in got} == {5}
 
 
-def test_documents_that_share_lines_are_not_shipped_as_near_duplicates(spark, monkeypatch):
+@pytest.mark.parametrize("how", [J.NEAR, {}])
+def test_documents_that_share_lines_are_not_shipped_as_near_duplicates(spark, monkeypatch, how):
     """A sketch that is too small for the corpus tells no line from a rare one: regions are large, but only near documents may become one."""
     shipped, candidates = [], J.candidates
     monkeypatch.setattr(J, "SMALL", 3)
@@ -157,7 +158,7 @@ def test_documents_that_share_lines_are_not_shipped_as_near_duplicates(spark, mo
     texts = [" ".join([*(f"u{rng.randint(0, 10**9)}" for _ in range(60)), *rng.choice(lines), *rng.choice(lines)]) for _ in range(80)]
     texts += [t.replace(" ", " edit ", 1) for t in texts[:5]]
     rows = list(enumerate(texts))
-    assert result(J.component_ids(spark.createDataFrame(rows, "doc_id long, text string"), **J.NEAR)) == brute(rows, **J.NEAR)
+    assert result(J.component_ids(spark.createDataFrame(rows, "doc_id long, text string"), **how)) == brute(rows, **how)
     assert shipped == [10]
 
 
