@@ -131,13 +131,21 @@ _pack = zstandard.ZstdCompressor(1, write_content_size=True)
 _unpack = zstandard.ZstdDecompressor()
 
 
+def packed_bytes(raw: bytes) -> bytes:
+    return _pack.compress(raw)
+
+
+def unpacked_bytes(z: bytes) -> bytes:
+    return _unpack.decompress(z)
+
+
 def packed(text: str | None) -> bytes:
     """A text as it is shuffled: UTF-8, compressed."""
-    return _pack.compress((text or "").encode("utf-8", "surrogatepass"))
+    return packed_bytes((text or "").encode("utf-8", "surrogatepass"))
 
 
 def unpacked(z: bytes) -> str:
-    return _unpack.decompress(z).decode("utf-8", "surrogatepass")
+    return unpacked_bytes(z).decode("utf-8", "surrogatepass")
 
 
 def require(df: DataFrame, *names: str) -> None:

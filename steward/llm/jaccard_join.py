@@ -4,7 +4,7 @@ The distance 1 - J is a metric on shingle sets; two sets link at a distance of T
 told otherwise). What is done:
 
 1. Equal sets are folded into one representative, so groups of exact copies cost one row.
-2. The pivots of the whole space are the one-shingle sets, in one order for all (rare first by a bounded sketch of the corpus,
+2. The pivots of the whole space are the one-shingle sets, in one order for all (rare first by a sketch of the corpus,
    then by hash). A set's nearest pivot, ties broken by the order, is its first shingle: its Voronoi region. Two sets within TAU
    share l shingles among the first |S| - overlap + l of either, for any l up to the overlap, so a set is replicated to these
    regions and no more (the window). A region falls apart where the sizes allow no link (triangle inequality with the
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
-from .common import counted, forget, in_pandas, lean, longs, map_rows, packed, require, saved, shingles, unpacked
+from .common import counted, forget, in_pandas, lean, longs, map_rows, packed, packed_bytes, require, saved, shingles, unpacked, unpacked_bytes
 from .components import connected
 
 SHINGLE = 3
@@ -43,9 +43,12 @@ SHINGLE = 3
 PERCENT = 90
 #: Words and percentage of near duplicates where nothing else is asked for.
 NEAR = {"k": 5, "percent": 80}
-#: Counters of the corpus sketch (8 bytes each, summed over partitions; its size doesn't depend on the corpus).
-SKETCH_BITS = 20
+#: Counters of the corpus sketch: one for every LOAD words, within these (a byte each where they are broadcast). With too few, what some
+#: hundred documents share passes for rare, and windows, regions and pairs grow faster than the corpus.
+SKETCH_BITS, MOST_SKETCH_BITS, LOAD = 20, 24, 8
 SKETCH = 1 << SKETCH_BITS
+#: Counters that are added up together.
+BLOCK = 1 << 18
 #: Shared shingles asked for, for each hundred of a set, beyond the first.
 EXTRA = 3
 #: Bits of a set's parities: the first power of two from two thirds of its size on, within these. Beyond the most, fewer unlinked sets are told apart.
@@ -69,10 +72,7 @@ def linked(both, x, y, percent: int = PERCENT):
 
 def ranked(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The set in the order of the pivots: rare first by the sketch, then by hash."""
-    return grams[np.argsort(level[grams >> SHIFT], kind="stable")]  # grams ascend already
-
-
-SHIFT = np.uint64(64 - SKETCH_BITS)
+    return grams[np.argsort(level[grams >> np.uint64(65 - len(level).bit_length())], kind="stable")]  # grams ascend already
 
 
 def least_shared(n: int, percent: int = PERCENT) -> int:
@@ -166,42 +166,49 @@ def alike_by_island(rows: DataFrame, percent: int) -> DataFrame:
     return in_pandas(rows.repartition("island").sortWithinPartitions("island", "n"), work, "src long, dst long")
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of a counter's number for texts of so many bytes, some six a word."""
+    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, int(size / (6 * LOAD)).bit_length()))
+
+
 def sketch(docs: DataFrame, text: str, k: int = SHINGLE) -> np.ndarray:
-    """Level of each counter: how many times the mean count, in steps of a fourth of a power of two. Counts all shingles of all documents."""
+    """Level of each counter: its count in steps of a fourth of a power of two. Counts all shingles of all documents."""
+    bits = sketch_bits(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    shift, blocks = np.uint64(64 - bits), (1 << bits) // BLOCK
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, held, size = np.zeros(SKETCH, np.int32), [], 0
+        total, held, size = np.zeros(1 << bits, np.uint32), [], 0
 
         def flush() -> None:
-            nonlocal total, held, size
+            nonlocal held, size
             if held:
-                total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
+                np.add.at(total, np.concatenate(held), np.uint32(1))
             held, size = [], 0
 
         for b in batches:
             for t in b["text"]:
-                held.append((shingles(t, k, distinct=False) >> SHIFT).astype(np.int32))
+                held.append((shingles(t, k, distinct=False) >> shift).astype(np.int64))
                 size += len(held[-1])
                 if size > SKETCH:
                     flush()
         flush()
-        yield pd.DataFrame({"counts": [total.tobytes()]})
+        parts = [(i, total[i * BLOCK : (i + 1) * BLOCK]) for i in range(blocks)]
+        yield pd.DataFrame([(i, packed_bytes(p.tobytes())) for i, p in parts if p.any()], columns=["block", "counts"])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SKETCH, np.int64)
+        totals: dict[int, np.ndarray] = {}
         for b in batches:
-            for c in b["counts"]:
-                total += np.frombuffer(c, np.int32)
-        yield pd.DataFrame({"counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+            for i, c in zip(b["block"], b["counts"], strict=True):
+                totals.setdefault(i, np.zeros(BLOCK, np.int64))
+                totals[i] += np.frombuffer(unpacked_bytes(c), np.uint32)
+        for i, total in totals.items():
+            yield pd.DataFrame({"block": [i], "levels": [np.minimum(127, 4 * np.log2(1 + total)).astype(np.int8).tobytes()]})
 
-    parts = first = saved(map_rows(docs.select(F.col(text).cast("string").alias("text")), count, "counts binary"))
-    n = parts.count()
-    while n > 1:  # in rounds, so that no task adds up more than 32 of them
-        n = -(-n // 32)
-        parts = in_pandas(parts.repartition(n), add, "counts binary")
-    total = sum((np.frombuffer(r["counts"], np.int32) for r in parts.collect()), np.zeros(SKETCH))
-    forget(first)
-    return np.minimum(127, 4 * np.log2(1 + total / max(1.0, total.mean()))).astype(np.int8)
+    parts = map_rows(docs.select(F.col(text).cast("string").alias("text")), count, "block int, counts binary")
+    level = np.zeros(1 << bits, np.int8)
+    for r in in_pandas(parts.repartition(blocks, "block"), add, "block int, levels binary").collect():
+        level[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["levels"], np.int8)
+    return level
 
 
 class Sets:
@@ -308,7 +315,7 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     require(docs, doc_id, text)
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    level = spark.sparkContext.broadcast(sketch(docs, "text", k))  # bounded: SKETCH bytes
+    level = spark.sparkContext.broadcast(sketch(docs, "text", k))  # bounded: 2 ** MOST_SKETCH_BITS bytes
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -327,7 +334,9 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     reps = saved(known.groupBy("same").agg(F.min("doc_id").alias("rep")))
 
     # Regions of the first level: ids and sizes only. In the order of sizes an island ends where no smaller set reaches further.
-    ones = known.join(reps, (known["doc_id"] == reps["rep"]) & (known["same"] == reps["same"]), "left_semi").withColumn("n", F.col("n").cast("int"))
+    # the other copies are left out by their ids, so that the wide rows aren't shuffled for it
+    copies = known.select("doc_id", "same").join(reps, "same").where("doc_id <> rep").select("doc_id", "same").distinct()
+    ones = known.join(counted(copies), ["doc_id", "same"], "left_anti").withColumn("n", F.col("n").cast("int"))
     own = ones.select("doc_id", "n", F.explode(F.arrays_zip("first", "reach")).alias("z"))
     own = own.select("doc_id", "n", F.col("z.first").alias("key"), F.col("z.reach").cast("int").alias("reach"))
     by = Window.partitionBy("key").orderBy("n", "doc_id")

@@ -179,3 +179,17 @@ def test_parities_lose_no_link(percent):
                 assert to.get(ids[i], ids[i]) == to.get(ids[j], ids[j])
     if percent > 55:
         assert len({to.get(i, i) for i in ids.tolist()}) > 50  # the unlike stay apart
+
+
+def test_sketch_grows_with_the_corpus(spark, monkeypatch):
+    """With as many counters for any corpus, shingles of hundreds of documents pass for rare in a large one."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 300))) for _ in range(80)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
+    grams = np.concatenate([J.shingles(t, 3, distinct=False) for t in texts])
+    for load, bits in ((8, 20), (1 / 300, 22)):  # the second stands for a corpus that is so much larger
+        monkeypatch.setattr(J, "LOAD", load, raising=False)
+        level = J.sketch(df, "text")
+        want = 4 * np.log2(1 + np.bincount((grams >> np.uint64(64 - bits)).astype(int), minlength=1 << bits))
+        assert len(level) == 1 << bits and (level == want.astype(np.int8)).all()
+    assert J.ranked(np.unique(grams), level).tolist() == sorted(np.unique(grams).tolist(), key=lambda g: (level[g >> 42], g))
