@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import ahocorasick
+import numpy as np
 import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -36,6 +38,59 @@ LONG = 64
 LEAST = float("-inf")
 
 
+class Trie:
+    """The automaton's words as a trie in arrays: many places take a step at once. Node 0 is the root, letter 0 is in no word."""
+
+    SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, automaton: ahocorasick.Automaton):
+        words = list(automaton.items())
+        letters = {c: i for i, c in enumerate(sorted({c for w, _ in words for c in w}), 1)}
+        self.letters = np.zeros(0x110000, np.int32)  # by code point
+        self.letters[[ord(c) for c in letters]] = list(letters.values())
+        self.base = len(letters) + 1
+        nodes: dict[int, int] = {}  # parent and letter: node
+        ends = {}
+        for w, (_, _, i) in words:
+            node = 0
+            for c in w:
+                node = nodes.setdefault(node * self.base + letters[c], len(nodes) + 1)
+            ends[node] = i
+        #: The id of the word that ends at a node, or -1.
+        self.word = np.full(len(nodes) + 1, -1, np.int32)
+        self.word[list(ends)] = list(ends.values())
+        # open addressing, at most a quarter full; key 0 stands for an empty slot and is no node's
+        bits = max(4, (4 * len(nodes)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.nodes = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        key, node = np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int32)
+        slot = self._slot(key)
+        while key.size:
+            first = np.zeros(key.size, bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            first &= self.keys[slot] == 0
+            self.keys[slot[first]], self.nodes[slot[first]] = key[first], node[first]
+            key, node, slot = key[~first], node[~first], (slot[~first] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * self.SPREAD >> self.shift).view(np.int64)
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The nodes that letters lead to from nodes, 0 where there is none."""
+        key = node.astype(np.int64) * self.base + letter
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.nodes[slot], 0)
+        left = np.flatnonzero((there != key) & (there != 0))
+        while left.size:
+            slot[left] = s = (slot[left] + 1) & self.mask
+            there = self.keys[s]
+            found = there == key[left]
+            out[left[found]] = self.nodes[s[found]]
+            left = left[~found & (there != 0)]
+        return out
+
+
 class Vocabulary:
     def __init__(self, proto: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
@@ -75,6 +130,17 @@ class Vocabulary:
         else:  # spaces with what follows them
             self._parts = re.compile("|".join([f" +(?:{'|'.join(runs)})?", *runs, f"[^ {letters}{others}]"])).findall
 
+    @cached_property
+    def trie(self) -> Trie:
+        return Trie(self.automaton)
+
+    @cached_property
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """code in one array, and each id's score."""
+        scores = np.full(len(self.code), self.unknown)
+        scores[: self.size] = self.scores
+        return np.frombuffer(b"".join(self.code), "<i4"), scores
+
     def parts(self, text: str) -> list[str]:
         """The parts that the best path can be put together from."""
         return self._parts(" " + text) if text else []

@@ -8,15 +8,19 @@ are queued; the queue keeps no more of them than paths are still wanted.
 Parts don't interact: the N best segmentations of a text combine the parts' lists, and only the N - 1 parts whose second path loses
 least can take part in them. So a part's first path is followed and what its second would lose is noted, and both are remembered; the
 search goes on only for the parts of a text that lose least.
+
+First paths are sought for many parts in step: all parts' places of one distance from the start are solved by array operations, an edge
+length at a time, longest first; then all parts are followed back together, an edge at a time. Long parts, of which there are few, are solved alone.
 """
 
 from __future__ import annotations
 
 import gc
-from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 from heapq import nsmallest
+from itertools import chain, pairwise, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import in_arrow, require, result_columns, schema_with
-from .pieces import LEAST, MODEL, Remembered, Vocabulary, broadcast, vocabulary
+from .pieces import LEAST, LONG, MODEL, SPACE, Remembered, Vocabulary, broadcast, vocabulary
 
 N_BEST = 3
 #: Rows handled at a time, characters solved together, parts remembered: little memory for a step among others, or more for less work.
 LEAN, WIDE = (256, 20_000, 100_000), (1000, 200_000, 600_000)
+#: Parts looked up at a time.
+MANY = 1 << 18
 
 
 class Lattice:
@@ -114,6 +120,154 @@ class Lattice:
         return out
 
 
+class Firsts(NamedTuple):
+    """First paths of parts: score, what the second path loses, number of ids; the ids of all, one part after the other."""
+
+    score: np.ndarray
+    loss: np.ndarray
+    count: np.ndarray
+    ids: np.ndarray
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (count of them) for each start, one after the other."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def joined(firsts: list[Firsts]) -> Firsts:
+    return Firsts(*map(np.concatenate, zip(*firsts, strict=True)))
+
+
+def first_paths(v: Vocabulary, parts: list[str]) -> Firsts:
+    """What Lattice.first_path says of each part, for all in step. Parts come by falling length; none is longer than LONG or spelled in bytes."""
+    trie, (code, worth) = v.trie, v.codes
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    text = v.mark.join(parts).replace(" ", SPACE) + v.mark
+    letters = trie.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + 1)
+    place = (np.arange(len(letters)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)).astype(np.int32)
+
+    # edges: the part, what orders them (by end, of one end the longest first), the id
+    of, order, ids, n = [], [], [], 0
+    at, node = np.arange(len(letters)), np.zeros(len(letters), np.int32)
+    while at.size:
+        node = trie.step(node, letters[at + n])
+        live = np.flatnonzero(node)
+        at, node, n = at[live], node[live], n + 1
+        word = trie.word[node]
+        ends = np.flatnonzero(word >= 0)
+        s = at[ends]
+        of.append(part[s])
+        order.append(((place[s] + n - 1) * (LONG + 1) + LONG - n).astype(np.uint16))
+        ids.append(word[ends])
+    order = np.concatenate(order)
+    sort = np.argsort(order, kind="stable")
+    of, order, ids = np.concatenate(of)[sort], order[sort], np.concatenate(ids)[sort]
+    length, score = LONG - (order % (LONG + 1)).astype(np.int64), worth[ids]
+
+    # forward: places lie by their distance from the start, of one distance by part; longer parts come first, so each distance has the first ones
+    many = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")
+    column = np.r_[0, np.cumsum(many)]
+    best, second, taken = np.full(column[-1], LEAST), np.full(column[-1], LEAST), np.zeros(column[-1], np.int64)
+    begin = np.zeros(len(parts))
+    cuts = [0, *(np.flatnonzero(np.diff(order)) + 1).tolist(), len(order)]
+    for low, high in pairwise(cuts):
+        end, back = int(order[low]) // (LONG + 1), int(order[low]) // (LONG + 1) - int(length[low])
+        here, p = slice(column[end], column[end + 1]), of[low:high]
+        new = (begin if back < 0 else best[column[back] : column[back + 1]])[p] + score[low:high]
+        old = best[here][p]
+        better = np.flatnonzero(new > old)
+        second[here][p] = np.maximum(second[here][p], np.minimum(old, new))
+        best[here][p] = np.maximum(old, new)
+        taken[here][p[better]] = low + better
+
+    # back
+    total = best[column[sizes - 1] + np.arange(len(parts))]
+    p, at, done, other, steps = np.arange(len(parts)), sizes, np.zeros(len(parts)), np.full(len(parts), LEAST), []
+    while p.size:
+        here = column[at - 1] + p
+        edge = taken[here]
+        other[p] = np.maximum(other[p], done + second[here])
+        steps.append((p, ids[edge]))
+        at, done = at - length[edge], done + score[edge]
+        live = np.flatnonzero(at > 0)
+        p, at, done = p[live], at[live], done[live]
+    count = np.bincount(np.concatenate([p for p, _ in steps]), minlength=len(parts))
+    last, path = np.cumsum(count) - 1, np.empty(count.sum(), np.int32)
+    for k, (p, i) in enumerate(steps):
+        path[last[p] - k] = i
+    if path.max() >= v.size:  # characters that are no pieces, spelled in bytes
+        width = np.array(v.width)
+        first = np.cumsum(width) - width
+        count = np.bincount(np.repeat(np.arange(len(parts)), count), width[path], len(parts)).astype(np.int64)
+        path = code[ranges(first[path], width[path])]
+    return Firsts(total, total - other, count, path)
+
+
+class Known:
+    """First paths of parts, remembered as pieces.Remembered does, in arrays."""
+
+    def __init__(self, v: Vocabulary, together: int, limit: int):
+        self.v, self.together, self.limit = v, together, limit
+        self.old, self.young = self._none(), self._none()
+
+    @staticmethod
+    def _none() -> tuple[dict[str, int], Firsts, np.ndarray]:
+        """Where parts are; their paths; where each one's ids begin."""
+        return {}, Firsts(np.empty(0), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32)), np.empty(0, np.int64)
+
+    def _alone(self, parts: list[str]) -> Firsts:
+        lattice = Lattice(self.v, parts)
+        found = [lattice.first_path(p) for p in range(len(parts))]
+        raw = [b"".join([self.v.code[i] for i in ids]) for _, ids, _ in found]
+        return Firsts(np.array([f[0] for f in found]), np.array([f[2] for f in found]), np.array([len(r) // 4 for r in raw], np.int64), np.frombuffer(b"".join(raw), "<i4"))
+
+    def _solved(self, parts: list[str]) -> Iterator[tuple[list[str], Firsts]]:
+        alone, others = [], []
+        for p in parts:
+            (alone if len(p) > LONG or self.v.is_spelled(p) else others).append(p)
+        others.sort(key=len, reverse=True)
+        for some, solve in ((alone, self._alone), (others, lambda x: first_paths(self.v, x))):
+            held, size = [], 0
+            for p in some:
+                held.append(p)
+                size += len(p)
+                if size > self.together:
+                    yield held, solve(held)
+                    held, size = [], 0
+            if held:
+                yield held, solve(held)
+
+    def of(self, parts: list[str]) -> Firsts:
+        """The first paths of parts, in order."""
+        return joined([self._of(parts[k : k + MANY]) for k in range(0, len(parts) or 1, MANY)])
+
+    def _of(self, parts: list[str]) -> Firsts:
+        where, firsts, begin = self.young
+        slot = np.fromiter(map(where.get, parts, repeat(-1)), np.int64, len(parts))
+        fresh = np.flatnonzero(slot < 0).tolist()
+        if fresh:
+            new = list(dict.fromkeys([parts[k] for k in fresh]))
+            before, theirs, first = self.old
+            again = [p for p in new if p in before]
+            more = list(self._solved([p for p in new if p not in before]))
+            if again:
+                at = np.fromiter(map(before.__getitem__, again), np.int64, len(again))
+                more.append((again, Firsts(theirs.score[at], theirs.loss[at], theirs.count[at], theirs.ids[ranges(first[at], theirs.count[at])])))
+            where.update(zip(chain.from_iterable([p for p, _ in more]), range(len(begin), len(begin) + len(new)), strict=True))
+            firsts = joined([firsts, *(f for _, f in more)])
+            begin = np.cumsum(firsts.count) - firsts.count
+            slot[fresh] = np.fromiter(map(where.__getitem__, [parts[k] for k in fresh]), np.int64, len(fresh))
+            for p in new:
+                if len(p) > LONG:
+                    del where[p]
+            self.young = where, firsts, begin
+            if len(begin) > self.limit // 2 or len(firsts.ids) > 4 * self.limit:
+                self.old, self.young = self.young, self._none()
+        count = firsts.count[slot]
+        return Firsts(firsts.score[slot], firsts.loss[slot], count, firsts.ids[ranges(begin[slot], count)])
+
+
 def n_best(v: Vocabulary, parts: list[str], n: int = N_BEST) -> list[list[tuple[float, list[int]]]]:
     """The n best paths of each part."""
     lattice = Lattice(v, parts)
@@ -125,6 +279,14 @@ def nearest(losses: list[float], n: int) -> list[int]:
     return [p for x, p in nsmallest(n - 1, zip(losses, range(len(losses)), strict=True)) if x < -LEAST]
 
 
+def nearest_of(losses: np.ndarray, n: int) -> list[int]:
+    """nearest, of an array."""
+    if len(losses) < n or n < 2:
+        return nearest(losses.tolist(), n)
+    low = np.flatnonzero(losses <= np.partition(losses, n - 2)[n - 2])
+    return low[nearest(losses[low].tolist(), n)].tolist()
+
+
 def combined(lists: list[list[tuple]], n: int = N_BEST) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
     """The n best choices of one path for each part: (what it loses, ((part, rank), ...)) with the parts whose best isn't taken.
 
@@ -181,37 +343,42 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(low, rows)
 
 
+def cut(v: Vocabulary, texts: list[str | None]) -> Iterator[list[list[str]]]:
+    """The parts of each text, of a few texts at a time: as many as have MANY parts."""
+    held, size = [], 0
+    for t in texts:
+        held.append(v.parts(t or ""))
+        size += len(held[-1])
+        if size > MANY:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def segmented(batches: Iterator[pa.RecordBatch], column: str, held, n: int, use: tuple[int, int, int] = LEAN) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Per few rows: (ids as bytes, scores, sizes, decoded) of each text."""
     v = vocabulary(held)
-
-    def first(parts: list[str]) -> list[tuple[float, int, float, bytes]]:
-        lattice, code = Lattice(v, parts), v.code
-        out = []
-        for p in range(len(parts)):
-            score, ids, loss = lattice.first_path(p)
-            raw = b"".join([code[i] for i in ids])
-            out.append((score, len(raw) // 4, loss, raw))
-        return out
-
     gc.disable()  # millions of tuples, none in a cycle; counting references frees them
     try:
-        known = Remembered(first, *use[1:])
+        known = Known(v, *use[1:])
         more = Remembered(lambda parts: [[(s, sum([v.width[i] for i in ids])) for s, ids in paths] for paths in n_best(v, parts, n)])
         for b in slices(batches, use[0]):
-            rows, wanted = [], []
-            texts = [v.parts(t or "") for t in b.column(column).to_pylist()]
-            for parts, got in zip(texts, known.of(texts), strict=True):
-                raw = b"".join([g[3] for g in got])
-                wanted.append([parts[p] for p in nearest([g[2] for g in got], n)])
-                rows.append((raw, sum([g[0] for g in got])))
             out = []
-            for (raw, total), lists in zip(rows, more.of(wanted), strict=True):
-                size = len(raw) // 4
-                best = combined(lists, n)
-                scores = [float(total - c) for c, _ in best]
-                sizes = [size + sum([lists[p][k][1] - lists[p][0][1] for p, k in taken]) for _, taken in best]
-                out.append((raw, scores, sizes, v.decode(array("i", raw))))
+            for texts in cut(v, b.column(column).to_pylist()):
+                rows, wanted = [], []
+                firsts = known.of(list(chain.from_iterable(texts)))
+                ends = np.r_[0, np.cumsum(firsts.count)].tolist()
+                high = 0
+                for parts in texts:
+                    low, high = high, high + len(parts)
+                    wanted.append([parts[p] for p in nearest_of(firsts.loss[low:high], n)])
+                    rows.append((firsts.ids[ends[low] : ends[high]], sum(firsts.score[low:high].tolist())))
+                for (ids, total), lists in zip(rows, more.of(wanted), strict=True):
+                    best = combined(lists, n)
+                    scores = [float(total - c) for c, _ in best]
+                    sizes = [len(ids) + sum([lists[p][k][1] - lists[p][0][1] for p, k in taken]) for _, taken in best]
+                    out.append((ids.tobytes(), scores, sizes, v.decode(ids.tolist())))
             yield b, out
     finally:
         gc.enable()

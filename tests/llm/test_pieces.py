@@ -1,7 +1,11 @@
 import itertools
 import random
 import struct
+import time
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from helpers import documents
@@ -59,6 +63,63 @@ def test_n_best_is_exhaustive(v):
         assert (score, ids) == got[0] and (loss == score - every[1][0] if len(every) > 1 else loss == float("inf"))
 
 
+def alone(v, parts):
+    """(score, loss, ids) of each part's first path, each followed alone."""
+    lattice = segmentation.Lattice(v, parts)
+    found = [lattice.first_path(p) for p in range(len(parts))]
+    return [(s, x, b"".join(v.code[i] for i in ids)) for s, ids, x in found]
+
+
+def listed(firsts):
+    ends = np.r_[0, np.cumsum(firsts.count)]
+    return [(s, x, firsts.ids[low:high].astype("<i4").tobytes()) for s, x, low, high in zip(firsts.score.tolist(), firsts.loss.tolist(), ends[:-1], ends[1:], strict=True)]
+
+
+def some_parts(v, seed, letters="theringsa.\u00e9\u4e2d\x009 1b\n\u2581", n=400):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice((1, 2, 5, 30, 200)))) for _ in range(n)] + ["a" * k for k in (63, 64, 65, 300)] + TEXTS
+    return [p for t in texts for p in v.parts(t)]
+
+
+def test_first_paths_in_step_are_those_found_alone(v):
+    parts = some_parts(v, 6)
+    short = sorted({p for p in parts if len(p) <= pieces.LONG and not v.is_spelled(p)}, key=len, reverse=True)
+    assert listed(segmentation.first_paths(v, short)) == alone(v, short)
+    assert listed(segmentation.first_paths(v, short[-1:])) == alone(v, short[-1:])
+
+
+def test_known_paths_are_bounded_and_the_same(v, monkeypatch):
+    known, rng, parts = segmentation.Known(v, 50, 40), random.Random(4), some_parts(v, 7)
+    want = dict(zip(parts, alone(v, parts), strict=True))
+    assert listed(known.of([])) == []
+    for _ in range(60):
+        some = rng.choices(parts, k=rng.randint(1, 60))
+        assert listed(known.of(some)) == [want[p] for p in some]
+        assert len(known.young[0]) <= 20 and len(known.old[0]) <= 80 and not any(len(p) > pieces.LONG for p in (*known.young[0], *known.old[0]))
+    monkeypatch.setattr(segmentation, "MANY", 7)
+    assert listed(known.of(parts)) == [want[p] for p in parts]
+    assert [t for group in segmentation.cut(v, [*TEXTS, None]) for t in group] == [v.parts(t) for t in [*TEXTS, ""]]
+
+
+def test_new_parts_cost_less_than_when_solved_alone(v):
+    """Texts of words that never come again: all that is done for them takes less than half the time that their first paths take part by part."""
+    rng = random.Random(9)
+    words = list({"".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(4, 12))) for _ in range(60_000)})
+    texts = [" ".join(words[k : k + 300]) for k in range(0, len(words), 300)]
+    with open(pieces.MODEL, "rb") as f:
+        held = SimpleNamespace(value=f.read())
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    whole = min(seconds(lambda: list(segmentation.segmented(iter([batch]), "text", held, 3, segmentation.WIDE))) for _ in range(3))
+    parts = [p for t in texts for p in v.parts(t)]
+    assert 2 * whole < min(seconds(lambda: alone(v, parts)) for _ in range(3))
+
+
 def test_combined_is_exhaustive():
     rng = random.Random(2)
     for _ in range(200):
@@ -164,3 +225,19 @@ def test_any_vocabulary(spark, tmp_path, name):
         assert r["scores"][0] == counts[r["doc_id"]]["best_score"] and r["scores"] == sorted(r["scores"], reverse=True)
         spelled = sum(i in v.bytes_.values() for i in r["ids"]), sum(i in v.bytes_.values() for i in theirs)
         assert spelled[0] == spelled[1] and worth(r["ids"]) == pytest.approx(worth(theirs)), (t, r["ids"], theirs)
+
+
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_any_vocabulary_in_step(tmp_path, name):
+    with open(model_file(tmp_path / "m.model", VOCABULARIES[name]), "rb") as f:
+        v = pieces.Vocabulary(f.read())
+    parts = some_parts(v, 10, "aab1 \n\u00e9")
+    assert listed(segmentation.Known(v, 100, 100).of(parts)) == alone(v, parts)
+
+
+def test_nearest_of_an_array():
+    rng = random.Random(11)
+    for _ in range(300):
+        losses = [rng.choice((0.0, 1.0, 2.0, 3.0, float("inf"))) for _ in range(rng.randint(0, 9))]
+        for n in (1, 2, 3, 5):
+            assert segmentation.nearest_of(np.array(losses), n) == segmentation.nearest(losses, n)
