@@ -7,6 +7,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -181,19 +182,32 @@ _power = np.cumprod(np.r_[np.uint64(1), np.full(SEGMENT + LONGEST, _base, np.uin
 _inverse = np.cumprod(np.r_[np.uint64(1), np.full(SEGMENT + LONGEST, pow(_base, -1, 2**64), np.uint64)])
 
 
+def lowered(text: str | None) -> bytes:
+    """UTF-8 of the text, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the text's words: A-Z lower-cased, split at ASCII white space.
+    """64-bit hashes of the text's words: A-Z lower-cased, split at ASCII white space."""
+    return hashed_words(lowered(text))[0]
+
+
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word of a lower-cased text.
 
     A word's hash is the sum of its bytes' codes times powers of an odd base, modulo 2**64. The sums of all words are taken at once over the
     text, with powers by place in the text, and divided by the power at the word's start (the base has an inverse).
     """
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()
     b = np.frombuffer(raw, np.uint8)
     inside = ~_space[b]
-    change = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+    edge = np.zeros(len(b) + 1, bool)
+    edge[:-1] = inside
+    edge[1:] ^= inside
+    change = np.flatnonzero(edge)
     starts, ends = change[::2], change[1::2]
     out = np.empty(len(starts), np.uint64)
     sizes = ends - starts
+    longest = sizes.max(initial=0)
     low = 0
     while low < len(starts):
         if sizes[low] > LONGEST:
@@ -201,14 +215,37 @@ def word_hashes(text: str | None) -> np.ndarray:
             low += 1
             continue
         high = max(low + 1, int(np.searchsorted(starts, starts[low] + SEGMENT)))
-        if (long := np.flatnonzero(sizes[low:high] > LONGEST)).size:
+        if longest > LONGEST and (long := np.flatnonzero(sizes[low:high] > LONGEST)).size:
             high = low + int(long[0])
         first, last = starts[low], ends[high - 1]
         terms = _code[b[first:last]] * _power[: last - first]
         at = starts[low:high] - first
         out[low:high] = np.add.reduceat(terms, at) * _inverse[at]
         low = high
-    return mixed(out + sizes.astype(np.uint64))
+    return mixed(out + sizes.astype(np.uint64)), starts, ends
+
+
+def words_of(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and ends of the words of each lower-cased text, worked out at once: short texts cost little more than their bytes."""
+    hashes, starts, ends = hashed_words(b" ".join(raws))
+    out, base, at = [], 0, 0
+    for raw in raws:
+        to = at + int(np.searchsorted(starts[at:], base + len(raw)))
+        out.append((hashes[at:to], ends[at:to] - base))
+        base, at = base + len(raw) + 1, to
+    return out
+
+
+def bounded(texts) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have SEGMENT characters or one more text at most, to be worked out at once."""
+    low, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > SEGMENT:
+            yield low, i + 1
+            low, size = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -225,7 +262,12 @@ def shingles(text: str | None, k: int, distinct: bool = True) -> np.ndarray:
 
     distinct=False: all of them as they come.
     """
-    h = word_hashes(text)
+    out = runs(word_hashes(text), k)
+    return ascending(out) if distinct else out
+
+
+def runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of k consecutive words as they come; fewer words: the whole sequence as one; none: empty."""
     if not len(h):
         return h
     k = min(k, len(h))
@@ -233,8 +275,23 @@ def shingles(text: str | None, k: int, distinct: bool = True) -> np.ndarray:
     for i in range(k):
         out = out * np.uint64(0xD6E8FEB86659FD93) + h[i : len(h) - k + 1 + i]
         out ^= out >> np.uint64(32)
-    out = mixed(out)
-    return np.unique(out) if distinct else out
+    return mixed(out)
+
+
+def runs_of(words: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """runs() of each, worked out at once; what reaches over from one to the next is left out."""
+    found = runs(np.concatenate(words), k) if sum(map(len, words)) >= k else None
+    out, at = [], 0
+    for h in words:
+        out.append(found[at : at + len(h) - k + 1] if len(h) >= k else runs(h, k))
+        at += len(h)
+    return out
+
+
+def ascending(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def longs(x: np.ndarray) -> np.ndarray:

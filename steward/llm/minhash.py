@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import counted, in_pandas, longs, map_rows, mixed, packed, saved, shingles, unpacked
+from .common import SEGMENT, ascending, bounded, counted, in_pandas, longs, lowered, map_rows, mixed, packed, runs_of, saved, shingles, unpacked, words_of
 from .components import connected
 from .jaccard_join import candidates, links_within
 
@@ -31,6 +31,7 @@ _b = _rng.integers(0, 2**63, PERMUTATIONS, np.uint64)
 #: Shingles hashed at a time: the table of hashes stays in the cache, and bounded for any length of text.
 BLOCK = 512
 EMPTY = np.full(PERMUTATIONS, 0xFFFF, np.uint16)
+_room = np.empty(PERMUTATIONS * BLOCK, np.uint64)  # a new table each time would cost more than what is done in it
 
 
 def signature(text: str | None) -> np.ndarray:
@@ -40,12 +41,62 @@ def signature(text: str | None) -> np.ndarray:
 
 def minima(found: np.ndarray) -> np.ndarray:
     """The least value of each permutation over some shingles, folded."""
-    least = np.full(PERMUTATIONS, ~np.uint64(0))
+    return fold(least(found))
+
+
+def least(found: np.ndarray) -> np.ndarray:
+    """The least value of each permutation over some shingles; of none, the greatest there is."""
+    out = np.full(PERMUTATIONS, ~np.uint64(0))
     for at in range(0, len(found), BLOCK):
-        hashed = np.multiply.outer(_a, found[at : at + BLOCK])
+        part = found[at : at + BLOCK]
+        hashed = _room[: PERMUTATIONS * len(part)].reshape(PERMUTATIONS, len(part))
+        np.multiply(_a[:, None], part, out=hashed)
         hashed += _b[:, None]
-        np.minimum(least, hashed.min(axis=1), out=least)
-    return (mixed(least) >> np.uint64(48)).astype(np.uint16)
+        np.minimum(out, hashed.min(axis=1), out=out)
+    return out
+
+
+def fold(values: np.ndarray) -> np.ndarray:
+    return (mixed(values) >> np.uint64(48)).astype(np.uint16)
+
+
+class Own:
+    """A text with its signature, and what the signature of its edited text takes over.
+
+    kept: least values over the shingles that end before the last third; last: hashes of the words that go before the first
+    new shingle; rest: the lower-cased bytes from there on that stay. A word that the cut may lengthen is in rest.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.n, raw = text, len(text) // 3, lowered(text)
+        self.raw, self.stays = raw, len(raw) - len(lowered(text[len(text) - self.n :]))
+
+    def split(self, words: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Fill in kept, last and rest from the words and shingles of the text; the least values over all of them."""
+        whole = int(np.searchsorted(ends, self.stays))  # words that end, with a white space after them, in what stays
+        first = max(0, whole - SHINGLE + 1)
+        self.last, self.rest = words[first:whole], self.raw[ends[whole - 1] if whole else 0 : self.stays]
+        self.shared, self.kept, self.empty, self.raw = first, least(found[:first]), not len(found), None
+        return np.minimum(self.kept, least(found[first:]))
+
+
+def owns(texts: list[str]) -> list[Own]:
+    out = [Own(t) for t in texts]
+    words = words_of([x.raw for x in out])
+    found = runs_of([h for h, _ in words], SHINGLE)
+    values = fold(np.array([x.split(h, ends, f) for x, (h, ends), f in zip(out, words, found, strict=True)]))
+    for x, v in zip(out, values, strict=True):
+        x.signature = EMPTY if x.empty else v
+    return out
+
+
+def edited_signatures(pairs: list[tuple[Own, Own]]) -> list[np.ndarray]:
+    """The signature of edited(x.text, y.text) for each pair; only shingles that aren't x's are hashed."""
+    new = words_of([x.rest + lowered(y.text[: x.n]) for x, y in pairs])
+    lists = [np.concatenate([x.last, h]) if len(h) or not x.shared else h for (x, _), (h, _) in zip(pairs, new, strict=True)]
+    found = runs_of(lists, SHINGLE)
+    values = fold(np.array([np.minimum(x.kept, least(f)) for (x, _), f in zip(pairs, found, strict=True)]))
+    return [v if x.shared or len(f) else EMPTY for (x, _), f, v in zip(pairs, found, values, strict=True)]
 
 
 def fingerprint(x: np.ndarray) -> str:
@@ -56,7 +107,7 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
     """Share of equal values; a document without words is like another without words only."""
     if (x is EMPTY) != (y is EMPTY):
         return 0.0
-    return float((x == y).mean())
+    return int(np.count_nonzero(x == y)) / PERMUTATIONS
 
 
 def edited(text: str, other: str) -> str:
@@ -111,14 +162,22 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, pending = None, []  # held: range, doc_id, text, signature, component_id of the row that waits for its next one
+        held = None  # doc_id, component_id and text of the row that waits for its next one
+        waits = None  # range of the last row, if it waits for its next one
         group = None, None  # doc_id and component_id of the last row of groups
-
-        def row(now: tuple, text: str, sig: np.ndarray) -> tuple:
-            _, doc, own, own_sig, component = now
-            new = edited(own, text)
-            new_sig = own_sig if new == own else signature(new)
-            return doc, len(own), new, fingerprint(own_sig), fingerprint(new_sig), likeness(own_sig, new_sig), likeness(own_sig, sig), component
+        read, size, pending = [], 0, []
+
+        def work() -> None:
+            nonlocal held
+            pairs = []
+            for (follows, doc, component, _), now in zip(read, owns([r[3] for r in read]), strict=True):
+                if follows:
+                    pairs.append((*held, now))
+                held = doc, component, now
+            if pairs:
+                for (doc, component, own, now), new in zip(pairs, edited_signatures([p[2:] for p in pairs]), strict=True):
+                    pending.append((doc, len(own.text), edited(own.text, now.text), fingerprint(own.signature), fingerprint(new), likeness(own.signature, new), likeness(own.signature, now.signature), component))
+            read.clear()
 
         def out() -> pd.DataFrame:
             done = pd.DataFrame(pending, columns=[f.name for f in SCHEMA.fields])
@@ -132,15 +191,19 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 if not pd.isna(component):
                     group = doc, int(component)
                     continue
-                text = unpacked(text)
-                if held and held[0] != r:
-                    held = None
-                sig = signature(text) if not carrier or held else None
-                if held:
-                    pending.append(row(held, text, sig))
-                held = None if carrier else (r, None if pd.isna(doc) else int(doc), text, sig, None if pd.isna(doc) else group[1] if group[0] == doc else int(doc))
+                follows, waits = waits == r, None if carrier else r
+                if carrier and not follows:
+                    continue
+                known = None if pd.isna(doc) else int(doc)
+                read.append((follows, known, None if known is None else group[1] if group[0] == doc else known, unpacked(text)))
+                size += len(read[-1][3])
+                if size > SEGMENT or len(read) >= 500:
+                    work()
+                    size = 0
                 if len(pending) >= 500:
                     yield out()
+        if read:
+            work()
         if pending:
             yield out()
 
@@ -190,21 +253,23 @@ def banded(known: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for d, t in zip(b["doc_id"], b["text"], strict=True):
-                found = shingles(t, SHINGLE)
-                if len(found):
-                    out.append((d, xxh3_128_digest(found.tobytes()), longs(mixed(bands(minima(found)) ^ turn))))
-            yield pd.DataFrame(out, columns=["doc_id", "same", "keys"])
+            for low, high in bounded(b["text"]):
+                part = b.iloc[low:high]
+                sets = [ascending(g) for g in runs_of([h for h, _ in words_of([lowered(t) for t in part["text"]])], SHINGLE)]
+                kept = [i for i, g in enumerate(sets) if len(g)]
+                if kept:
+                    keys = longs(mixed(bands(fold(np.array([least(sets[i]) for i in kept]))) ^ turn))
+                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[kept], "same": [xxh3_128_digest(sets[i].tobytes()) for i in kept], "keys": list(keys)})
 
     return saved(map_rows(known, work, "doc_id long, same binary, keys array<long>"))
 
 
 def bands(values: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each band of ROWS values."""
-    out = np.zeros(BANDS, np.uint64)
-    for column in values[: BANDS * ROWS].reshape(BANDS, ROWS).T:
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1))
+    """A 64-bit value for each band of ROWS values; a row of them for each row of values."""
+    parts = values[..., : BANDS * ROWS].reshape(*values.shape[:-1], BANDS, ROWS)
+    out = np.zeros(parts.shape[:-1], np.uint64)
+    for i in range(ROWS):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + parts[..., i].astype(np.uint64) + np.uint64(1))
     return out
 
 

@@ -4,6 +4,7 @@ import numpy as np
 from helpers import documents
 from pyspark.sql import functions as F
 
+from steward.llm import common as C
 from steward.llm import minhash as M
 from steward.llm.common import shingles
 
@@ -104,3 +105,34 @@ def test_a_linked_copy_still_links_others(spark):
     assert any(not (keys[3 * n + 1] & keys[3 * n + 2]) - keys[3 * n] for n in met)
     got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[3 * n + 1] == got[3 * n + 2] == 3 * n for n in met)
+
+
+def odd_texts():
+    rng = np.random.default_rng(3)
+    made = ["".join("aB \u00e9\u4e2d\t\n "[i] for i in rng.integers(0, 8, rng.integers(0, 60))) for _ in range(1500)]
+    long = "x" * (C.LONGEST + 5)
+    return [*made, "", " ", "a", "one two", "a b c d e f g h", long, f"y {long} z", f"{long} b c d e f g", "a\x0bb\x0cc\x1c d" * 9, "w " * C.SEGMENT, " " * 300 + "b", "b" + " " * 300]
+
+
+def test_signatures_of_many_texts_are_those_of_each():
+    texts = odd_texts()
+    own = M.owns(texts)
+    pairs = [(own[i - 1], own[i]) for i in range(len(own))]
+    for (x, y), new in zip(pairs, M.edited_signatures(pairs), strict=True):
+        for got, text in ((x.signature, x.text), (new, M.edited(x.text, y.text))):
+            expected = M.signature(text)
+            assert (got == expected).all() and (got is M.EMPTY) == (expected is M.EMPTY)
+            assert (M.bands(np.array([got, expected])) == M.bands(expected)).all()
+    for t, (h, _) in zip(texts, C.words_of([C.lowered(t) for t in texts]), strict=True):
+        assert (h == C.word_hashes(t)).all()
+        assert (C.ascending(C.runs(h, 5)) == np.unique(shingles(t, 5, distinct=False))).all()
+    assert [t for low, high in C.bounded(texts) for t in texts[low:high]] == texts
+
+
+def test_edited_texts_hash_only_what_is_new(monkeypatch):
+    texts = [" ".join(f"w{n}-{i}" for i in range(300)) for n in range(20)]
+    count, least = [0], M.least
+    monkeypatch.setattr(M, "least", lambda found: count.__setitem__(0, count[0] + len(found)) or least(found))
+    own = M.owns(texts)
+    M.edited_signatures(list(zip(own, [*own[1:], own[0]], strict=True)))
+    assert count[0] < 1.4 * 296 * 20  # the texts and their edited forms have twice as many
