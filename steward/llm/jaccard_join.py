@@ -26,16 +26,18 @@ No step drops or caps candidates; the result is that of comparing all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
-from .common import counted, forget, in_pandas, lean, longs, map_rows, packed, packed_bytes, require, saved, shingles, unpacked, unpacked_bytes
+from .common import SEGMENT, ascending, counted, forget, in_arrow, in_pandas, lean, longs, map_rows, packed, packed_bytes, require, runs_of, saved, shingles, unpacked, unpacked_bytes, words_of
 from .components import connected
 
 SHINGLE = 3
@@ -414,27 +416,75 @@ def several(known: DataFrame) -> bool:
     return not known.select("doc_id", "same").distinct().groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+def sets_of(packs: Iterable[bytes], k: int) -> Iterator[np.ndarray]:
+    """shingles() of each packed text, worked out for some SEGMENT bytes at once."""
+    raws, size = [], 0
+    for z in packs:
+        raws.append(unpacked_bytes(z).lower())
+        size += len(raws[-1])
+        if size > SEGMENT:
+            yield from map(ascending, runs_of([h for h, _ in words_of(raws)], k))
+            raws, size = [], 0
+    if raws:
+        yield from map(ascending, runs_of([h for h, _ in words_of(raws)], k))
+
+
 def local(now: DataFrame, percent: float, k: int) -> DataFrame:
-    """Links (src, dst) within each region; a region holds LIMIT_SETS sets and LIMIT_GRAMS shingles at most, or one pair of blocks."""
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id", "z"]).sort_values("doc_id", kind="stable")  # different texts of an id all count
-        groups, stars = Groups(len(pdf)), []
-        if len(pdf) > 1:
-            heads: dict[int, int] = {}
-            for i, j in enumerate(pdf["joined"]):
-                if not pd.isna(j):
-                    groups.merge(heads.setdefault(int(j), i), i)
-            roots = [i for i, up in enumerate(groups.up) if up == i]
-            sets = Sets([shingles(unpacked(z), k) for z in pdf["z"]])
-            join_rows(sets, np.arange(len(pdf)), groups, percent)
-            if groups.links:  # as many links, each to the first row of its group
-                stars = [(i, groups.root(i)) for i in roots if groups.up[i] != i]
-        ids = pdf["doc_id"].to_numpy()
-        i = np.array(stars, int).reshape(-1, 2)
-        return pd.DataFrame({"src": ids[i[:, 0]], "dst": ids[i[:, 1]]})
-
-    return now.select("region", "doc_id", "z", "joined").groupBy("region").applyInPandas(join, "src long, dst long")
+    """Links (src, dst) within each region; a region holds LIMIT_SETS sets and LIMIT_GRAMS shingles at most, or one pair of blocks.
+
+    Most regions are of a few sets: the rows of a partition are taken as they come, and the words of many regions hashed at once.
+    """
+
+    def star(rows: list[tuple], grams: list[np.ndarray]) -> list[tuple[int, int]]:
+        groups, heads = Groups(len(rows)), {}
+        for i, (_, _, joined) in enumerate(rows):
+            if joined is not None:
+                groups.merge(heads.setdefault(joined, i), i)
+        roots = [i for i, up in enumerate(groups.up) if up == i]
+        join_rows(Sets(grams), np.arange(len(rows)), groups, percent)
+        # as many links, each to the first row of its group
+        return [(rows[i][0], rows[groups.root(i)][0]) for i in roots if groups.up[i] != i]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, rows, seen = None, [], set()  # of the region that the next rows may go on with
+        ready, size, links = [], 0, []  # regions whose words are to be hashed together
+
+        def close() -> None:
+            if len(rows) > 1:
+                ready.append(rows)
+
+        def join() -> None:
+            sets = sets_of((z for part in ready for _, z, _ in part), k)
+            for part in ready:
+                links.extend(star(part, list(islice(sets, len(part)))))
+            ready.clear()
+
+        def out() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["src", "dst"])
+            links.clear()
+            return done
+
+        for b in batches:
+            for of, doc, z, joined, n in zip(*(b.column(c).to_pylist() for c in ("region", "doc_id", "z", "joined", "n")), strict=True):
+                if of != region:
+                    close()
+                    if size > SEGMENT:
+                        join()
+                        size = 0
+                    region, rows, seen = of, [], set()
+                if (doc, z) not in seen:  # different texts of an id all count
+                    seen.add((doc, z))
+                    rows.append((doc, z, joined))
+                    size += n
+            if links:
+                yield out()
+        close()
+        join()
+        if links:
+            yield out()
+
+    rows = now.select("region", "doc_id", "z", "joined", "n")
+    return in_arrow(rows.repartition("region").sortWithinPartitions("region", "doc_id"), work, "src long, dst long")
 
 
 def split(todo: DataFrame, depth: int, percent: float, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from compare import actual, duck, expected
 from helpers import documents
 from pyspark.sql import functions as F
 
+from steward.llm import components
 from steward.llm import jaccard_join as J
 from steward.llm.components import connected
 from steward.llm.oracles import OP8
@@ -138,6 +139,28 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars are written once; a chain of three takes one round more, of two tables."""
+    written, save = [], components.saved
+    monkeypatch.setattr(components, "saved", lambda df: written.append(0) or save(df))
+    for edges, jobs in (([(9, 1), (2, 1), (1, 7), (4, 3), (6, 6)], 1), ([(1, 2), (2, 3)], 3)):
+        written.clear()
+        got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "src long, dst long")).collect()}
+        assert got == ({9: 1, 2: 1, 1: 1, 7: 1, 4: 3, 3: 3, 6: 6} if jobs == 1 else {1: 1, 2: 1, 3: 1})
+        assert len(written) == jobs
+
+
+def test_small_regions_are_joined_many_at_once(spark, monkeypatch, capfd):
+    """Regions of a partition come as one stream, whatever their number, and what is hashed at once doesn't join them."""
+    monkeypatch.setattr(J, "SEGMENT", 500)
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    rows = [(f"{r}", 10 * r + i, 98, J.packed(t), j) for r in range(40) for i, (t, j) in enumerate([(a, None), (a + " x", None), (b, 2**60), (b + " x y", None), ("c d e", 2**60 + 1), ("c d e", 2**60)])]
+    found = J.local(spark.createDataFrame(rows, "region string, doc_id long, n long, z binary, joined long"), 90, 3)
+    assert sorted(map(tuple, found.collect())) == sorted((10 * r + i, 10 * r + j) for r in range(40) for i, j in ((1, 0), (3, 2), (4, 2)))
+    found.explain()
+    assert "FlatMapGroupsInPandas" not in capfd.readouterr().out
+
+
 def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
     a, b = ([f"{x}{i}" for i in range(200)] for x in "ab")
     edit = lambda w: " ".join([*w[:100], "other", *w[101:]])
