@@ -44,10 +44,19 @@ FAN_IN = 32
 HIGHEST = np.float32(60)
 #: Different words that a partition counts before it sends them, and groups that words are sent in.
 COUNTED, GROUPS = 150_000, 1024
-_words = re.compile(r"\w+").findall
+#: What separates words, outside of ASCII; in it, as a table of bytes.
+_apart = re.compile(r"[^\w\x00-\x7f]+").sub
+_ascii = bytes(i if i > 127 or chr(i).isalnum() or chr(i) == "_" else 32 for i in range(256))
 PLACES = 2 * SIDE
 
 
+def _words(text: str) -> list[str]:
+    r"""What re.findall(r"\w+", text) finds, in less time."""
+    if not text.isascii():
+        text = _apart(" ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_ascii).decode("utf-8", "surrogatepass").split()
+
+
 def hash_of(word: str) -> int:
     return crc32(word.encode("utf-8", "surrogatepass")) % HASHES
 
@@ -79,12 +88,14 @@ class Lexicon:
         return len(self.counts)
 
     def look(self) -> dict:
+        buckets = self.buckets.tolist()
+
         class Look(dict):
             def __missing__(look, word):
                 if len(look) >= REMEMBERED:
                     look.clear()
                     look.update(self.ids)
-                value = look[word] = int(self.buckets[hash_of(word) % len(self.buckets)])
+                value = look[word] = buckets[hash_of(word) % len(buckets)]
                 return value
 
         return Look(self.ids)
@@ -116,24 +127,27 @@ def read(column, look: dict | None) -> Iterator[np.ndarray]:
         yield np.frombuffer(t, np.uint16) if isinstance(t, (bytes, bytearray)) else ids_of(t, look)
 
 
+def taken(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """table[rows], in less time where rows are short; no row is out of bounds."""
+    return table.take(rows, axis=0, mode="clip")
+
+
 def row_sums(z: np.ndarray) -> np.ndarray:
     """By a matrix product, which is faster than a sum over short rows."""
     return z @ np.ones(z.shape[1], np.float32)
 
 
-def column_sums(z: np.ndarray) -> np.ndarray:
-    return np.ones(len(z), np.float32) @ z
-
-
 class Network:
     def __init__(self, known: Lexicon, weights: np.ndarray | None = None):
         self.known, n, c = known, len(known.counts), len(known.starts) - 1
-        shapes = [(PLACES, n + 1, HIDDEN), (HIDDEN, c), (c,), (n, HIDDEN), (n,)]
+        shapes = [(PLACES, n + 1, HIDDEN), (HIDDEN + 1, c), (n, HIDDEN + 1)]  # the hidden layer ends in 1, so biases are weights of it
         ends = np.cumsum([int(np.prod(x)) for x in shapes])
         self.all = np.zeros(ends[-1], np.float32) if weights is None else np.array(weights, np.float32)
         self.seen = np.full_like(self.all, 1e-3)
         views = lambda flat: [part.reshape(x) for part, x in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
-        (self.embed, self.out, self.bias, self.word, self.word_bias), self.memory = views(self.all), views(self.seen)
+        (self.embed, self.out_all, self.word_all), self.memory = views(self.all), views(self.seen)
+        self.out, self.bias = self.out_all[:HIDDEN], self.out_all[HIDDEN]
+        self.word, self.word_bias = self.word_all[:, :HIDDEN], self.word_all[:, HIDDEN]
         if weights is None:
             rng = np.random.default_rng(7)
             for x in (self.embed, self.out, self.word):
@@ -148,18 +162,23 @@ class Network:
         return np.stack([ids[at + s] for s in (*range(-SIDE, 0), *range(1, SIDE + 1))])  # 16 bits: sorted by radix
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hidden layer and the log scores of the classes."""
-        h = self.embed[0][context[0]]
+        """The hidden layer, with a 1 behind it, and the log scores of the classes."""
+        h = taken(self.embed[0], context[0])
         for table, c in zip(self.embed[1:], context[1:], strict=True):
-            h += table[c]
-        np.tanh(h, out=h)
-        return h, self.scores(h, self.out, self.bias)
+            h += taken(table, c)
+        out = np.ones((len(h), HIDDEN + 1), np.float32)
+        np.tanh(h, out=out[:, :HIDDEN])
+        return out, self.scores(out, self.out_all, self.high(self.out_all, 0).any())
 
     @staticmethod
-    def scores(h: np.ndarray, out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    def scores(h: np.ndarray, out: np.ndarray, high: bool) -> np.ndarray:
         z = h @ out
-        z += bias
-        return np.minimum(z, HIGHEST, out=z)
+        return np.minimum(z, HIGHEST, out=z) if high else z
+
+    @staticmethod
+    def high(weights: np.ndarray, axis: int) -> np.ndarray:
+        """Where scores may be beyond HIGHEST: the hidden layer is within -1 and 1 (a weight that is no number counts as high)."""
+        return ~(np.abs(weights).sum(axis=axis) < HIGHEST)
 
     def by_class(self, token: np.ndarray) -> np.ndarray:
         return np.argsort(self.known.classes[token].astype(np.uint16), kind="stable")
@@ -176,10 +195,11 @@ class Network:
     def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         order = self.by_class(token)
         token = token[order]
-        h, z = self.forward(context[:, order])
+        h, z = self.forward(context.take(order, axis=1))
         p = z[np.arange(len(token)), self.known.classes[token]] - np.log(row_sums(np.exp(z, out=z)))
+        high = self.high(self.word_all, 1)
         for rows, a, b in self.within(token):
-            z = self.scores(h[rows], self.word[a:b].T, self.word_bias[a:b])
+            z = self.scores(h[rows], self.word_all[a:b].T, high[a:b].any())
             p[rows] += z[np.arange(len(z)), token[rows] - a] - np.log(row_sums(np.exp(z, out=z)))
         out = np.empty_like(p)
         out[order] = p + self.known.share[token]
@@ -194,7 +214,7 @@ class Network:
 
     def move(self, place: int, rows, gradient: np.ndarray) -> None:
         """A step for some rows of a table, each weight's scaled by what it has seen."""
-        seen, table = self.memory[place], (self.embed, self.out, self.bias, self.word, self.word_bias)[place]
+        seen, table = self.memory[place], (self.embed, self.out_all, self.word_all)[place]
         now = seen[rows] + gradient * gradient
         seen[rows] = now
         np.sqrt(now, out=now)
@@ -202,26 +222,37 @@ class Network:
         gradient /= now
         table[rows] -= gradient
 
+    def move_rows(self, k: int, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """move() for rows of the k-th table of embeddings."""
+        seen, table = self.memory[0][k], self.embed[k]
+        now = taken(seen, rows)
+        now += gradient * gradient
+        seen[rows] = now
+        np.sqrt(now, out=now)
+        gradient *= RATE
+        gradient /= now
+        table[rows] = taken(table, rows) - gradient
+
     def learn(self, context: np.ndarray, token: np.ndarray) -> None:
         """One step on a batch of tokens: gradient of the mean log probability."""
         order = self.by_class(token)
-        token, context = token[order], context[:, order]
+        token, context = token[order], context.take(order, axis=1)
         h, z = self.forward(context)
         z = self.softmax_error(z, self.known.classes[token], len(token))
-        dh = z @ self.out.T
+        dh = z @ self.out_all.T
         self.move(1, slice(None), h.T @ z)
-        self.move(2, slice(None), column_sums(z))
+        high = self.high(self.word_all, 1)
         for rows, a, b in self.within(token):
             mine = h[rows]
-            z = self.softmax_error(self.scores(mine, self.word[a:b].T, self.word_bias[a:b]), token[rows] - a, len(token))
-            dh[rows] += z @ self.word[a:b]
-            self.move(3, slice(a, b), z.T @ mine)
-            self.move(4, slice(a, b), column_sums(z))
+            z = self.softmax_error(self.scores(mine, self.word_all[a:b].T, high[a:b].any()), token[rows] - a, len(token))
+            dh[rows] += z @ self.word_all[a:b]
+            self.move(2, slice(a, b), z.T @ mine)
+        dh, h = np.ascontiguousarray(dh[:, :HIDDEN]), h[:, :HIDDEN]
         dh *= 1 - h * h
         for k, c in enumerate(context):
             order = np.argsort(c, kind="stable")
             first = np.flatnonzero(np.diff(c[order].astype(np.int32), prepend=-1))
-            self.move(0, (k, c[order][first]), np.add.reduceat(dh[order], first, axis=0))
+            self.move_rows(k, c[order][first], np.add.reduceat(taken(dh, order), first, axis=0))
 
 
 def steps(known: Lexicon, at: np.ndarray) -> Iterator[np.ndarray]:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,26 @@ def test_gradients():
         assert abs(abs(slope) - step[i]) < 5e-3 and (after.all[i] - before[i]) * slope < 0
 
 
+def test_a_step_moves_each_class_once(monkeypatch):
+    """Biases are weights of the 1 behind the hidden layer, so they take no products and steps of their own; high scores are still cut off."""
+    moved, move = [], M.Network.move
+    monkeypatch.setattr(M.Network, "move", lambda self, place, *x: moved.append(place) or move(self, place, *x))
+    known = small()
+    net = M.Network(known)
+    token = np.arange(30)
+    context = np.zeros((M.PLACES, 30), np.uint16)
+    net.learn(context, token)
+    assert len(moved) == 1 + sum(b > a + 1 for a, b in zip(known.starts, known.starts[1:], strict=False))
+    net.bias[:], net.word_bias[:] = 1e6, 1e6
+    assert np.isfinite(net.log_probability(context, token)).all()
+    assert (net.forward(context)[1] == M.HIGHEST).all()
+
+
+def test_words_are_those_of_the_pattern():
+    for text in (" ".join(f"a{chr(i)}b" for i in range(0x110000)), "", "plain words_9, of ascii\x1c\x85!", "\ud800x y"):
+        assert M._words(text) == re.findall(r"\w+", text)
+
+
 def test_lexicon_counts_all_words_and_grows(spark, sf_dir, monkeypatch):
     docs = documents(spark, sf_dir)
     known = M.lexicon(docs, "text")
